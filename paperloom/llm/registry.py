@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from paperloom.llm import op08_quality_rules
+from paperloom.llm import op08_quality_rules, op09_secret_scan
 
 QUERIES = {
     "op8_quality_rules": op08_quality_rules.query,
+    "op9_secret_scan": op09_secret_scan.query,
 }
 ORACLES = {
     "op8_quality_rules": op08_quality_rules.ORACLE,
+    "op9_secret_scan": op09_secret_scan.ORACLE,
 }
