@@ -43,21 +43,20 @@ def tokens(text: str) -> list[bytes]:
     return text.lower().replace("\n", " \x01 ").encode().split()
 
 
-def features(word: bytes) -> tuple[int, int]:
-    """Hashed word and word beginning (five characters), without punctuation around it."""
-    core = word.strip(PUNCTUATION)
-    if not core or word == BREAK:
-        return -1, -1
-    start = core.decode("utf-8", "ignore")[:5].encode()
-    return zlib.crc32(b"w" + core) % DIMENSIONS, zlib.crc32(b"p" + start) % DIMENSIONS
+#: A word gives itself and its beginnings of these lengths as features.
+BEGINNINGS = (3, 4, 5, 6, 7, 8)
+WIDTH = 1 + len(BEGINNINGS)
+#: Places of the weight that stays 0 and of the bias.
+NONE, BIAS = DIMENSIONS, DIMENSIONS + 1
 
 
-class _Pairs(dict):
-    def __missing__(self, word: bytes) -> tuple[int, int, bool]:
-        if len(self) > CACHE:
-            self.clear()
-        out = self[word] = (*features(word), word.endswith(ENDS))
-        return out
+def features(word: bytes) -> list[int]:
+    """Hashed word and beginnings, without punctuation around it; NONE fills up."""
+    core = word.strip(PUNCTUATION).decode("utf-8", "ignore")
+    if not core or word == BREAK:
+        return [NONE] * WIDTH
+    starts = [zlib.crc32(f"p{core[:n]}".encode()) % DIMENSIONS if len(core) >= n else NONE for n in BEGINNINGS]
+    return [zlib.crc32(f"w{core}".encode()) % DIMENSIONS, *starts]
 
 
 #: Marks the end of a sentence in a cached weight; far beyond any sum of weights.
@@ -71,24 +70,25 @@ class _Weights(dict):
     def __missing__(self, word: bytes) -> float:
         if len(self) > CACHE:
             self.clear()
-        a, b = features(word)
-        value = 0.0 if a < 0 else float(self.weights[a] + self.weights[b])
+        value = float(self.weights[features(word)].sum())
         out = self[word] = value + (_END if word.endswith(ENDS) else 0.0)
         return out
 
 
 def _bags(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Per document: feature ids, and the sentence of each, as little-endian int32."""
-    pairs, ids, where = _Pairs(), [], []
+    """Per document: its distinct words, and the word and the sentence of every token, as little-endian int32."""
+    words, which, where = [], [], []
     for text in batch.column("text").to_pylist():
-        row = [pairs[w] for w in tokens(text or "")]
-        x = np.array([r[:2] for r in row], np.int32).reshape(-1, 2)
-        ends = np.array([r[2] for r in row], bool)
-        sentence = np.concatenate([[0], np.cumsum(ends)[:-1]]).astype(np.int32) if len(row) else np.zeros(0, np.int32)
-        use = x[:, 0] >= 0
-        ids.append(x[use].tobytes())
-        where.append(sentence[use].tobytes())
-    return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(ids, pa.binary()), pa.array(where, pa.binary())], ["doc_id", "label", "ids", "sentence"])
+        row = tokens(text or "")
+        own: dict[bytes, int] = {}
+        at = np.array([own.setdefault(w, len(own)) for w in row], np.int32)
+        ends = np.array([w.endswith(ENDS) for w in row], bool)
+        sentence = np.concatenate([[0], np.cumsum(ends)[:-1]]).astype(np.int32) if row else np.zeros(0, np.int32)
+        words.append(b" ".join(own))
+        which.append(at.tobytes())
+        where.append(sentence.tobytes())
+    columns = [pa.array(x, pa.binary()) for x in (words, which, where)]
+    return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *columns], ["doc_id", "label", "words", "which", "sentence"])
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> DataFrame:
@@ -103,40 +103,43 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> DataFr
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = MAX_LABELLED, epochs: int = 12, seed: int = 7) -> np.ndarray:
-    """Weights (the last one is the bias) of the sentence model, by mini-batch gradient steps on the noisy-or likelihood."""
-    bags = map_arrow(sample(docs, labels, label, limit), _bags, "doc_id long, label int, ids binary, sentence binary").toPandas().sort_values("doc_id")
-    weights = np.zeros(DIMENSIONS + 1)
-    weights[-1] = -4.0
+    """Weights (and the bias) of the sentence model, by mini-batch gradient steps on the noisy-or likelihood."""
+    bags = map_arrow(sample(docs, labels, label, limit), _bags, "doc_id long, label int, words binary, which binary, sentence binary").toPandas().sort_values("doc_id")
+    weights = np.zeros(DIMENSIONS + 2)
+    weights[BIAS] = -4.0
     if bags.empty:
         return weights
-    x = [np.frombuffer(b, np.int32).reshape(-1, 2) for b in bags.ids]
+    known: dict[bytes, int] = {}
+    own = [np.array([known.setdefault(w, len(known)) for w in words.split()], np.int64) for words in bags.words]
+    x = [o[np.frombuffer(b, np.int32)] for o, b in zip(own, bags.which)]
     s = [np.frombuffer(b, np.int32) for b in bags.sentence]
     y = bags.label.to_numpy()
-    seen = np.zeros(DIMENSIONS, np.int32)
-    for a in x:
-        seen[np.unique(a)] += 1
-    usable = seen >= 3
-    rng, squares = np.random.default_rng(seed), np.full(DIMENSIONS + 1, 1e-6)
+    of_word = np.array([features(w) for w in known] or [[NONE] * WIDTH], np.int64)
+    seen = np.zeros(DIMENSIONS + 2, np.int32)
+    for o in own:
+        seen[np.unique(of_word[o])] += 1
+    of_word[seen[of_word] < 3] = NONE
+    rng, squares = np.random.default_rng(seed), np.full(DIMENSIONS + 2, 1e-6)
     for _ in range(epochs):
         order = rng.permutation(len(x))
         for chunk in np.array_split(order, max(1, len(order) // 200)):
             n_sentences = [int(s[i][-1]) + 1 if len(s[i]) else 1 for i in chunk]
             base = np.concatenate([[0], np.cumsum(n_sentences)])
             rows = np.concatenate([s[i] + base[k] for k, i in enumerate(chunk)])
-            cols = np.concatenate([x[i] for i in chunk])
-            live = usable[cols]
-            z = weights[-1] + np.bincount(rows, (weights[cols] * live).sum(1), base[-1])
+            words, inverse = np.unique(np.concatenate([x[i] for i in chunk]), return_inverse=True)
+            z = weights[BIAS] + np.bincount(rows, weights[of_word[words]].sum(1)[inverse], base[-1])
             doc = np.repeat(np.arange(len(chunk)), n_sentences)
             log_none = -np.bincount(doc, np.logaddexp(0, z), len(chunk))
             any_ = np.maximum(-np.expm1(log_none), 1e-9)
             pull = np.where(y[chunk] == 1, -np.exp(log_none) / any_, 1.0)
-            dz = pull[doc] / (1 + np.exp(-z)) / len(chunk)
-            g = np.bincount(cols.ravel(), (dz[rows][:, None] * live).ravel(), DIMENSIONS + 1)
-            g[-1] = dz.sum()
-            g[:-1] += 1e-6 * weights[:-1]
+            dz = pull[doc] * np.exp(-np.logaddexp(0, -z)) / len(chunk)
+            per_word = np.bincount(inverse, dz[rows], len(words))
+            g = np.bincount(of_word[words].ravel(), np.repeat(per_word, WIDTH), DIMENSIONS + 2)
+            g[BIAS] = dz.sum()
+            g[:DIMENSIONS] += 1e-6 * weights[:DIMENSIONS]
+            g[NONE] = 0
             squares += g * g
             weights -= 0.3 * g / np.sqrt(squares)
-    weights[:-1][~usable] = 0
     return weights
 
 
@@ -156,8 +159,8 @@ def score_with(weights: np.ndarray):
             ends[-1] = True
             stop = np.flatnonzero(ends)
             start = np.concatenate([[0], stop[:-1] + 1])
-            z = weights[-1] + np.add.reduceat(v, start)
-            p = 1 / (1 + np.exp(-z))
+            z = weights[BIAS] + np.add.reduceat(v, start)
+            p = np.exp(-np.logaddexp(0, -z))
             doc = float(-np.expm1(-np.logaddexp(0, z).sum()))
             k = int(z.argmax())
             bad = int((p >= 0.5).sum())
