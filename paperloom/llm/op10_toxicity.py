@@ -27,6 +27,8 @@ DIMENSIONS = 1 << 18
 #: At most so many labelled documents are used for fitting.
 MAX_LABELLED = 12_000
 #: Word caches are emptied beyond so many entries.
+#: Features tied to the labels by less than this log-likelihood ratio get no weight: a rare word can't be learnt by heart.
+LEAST_ASSOCIATION = 15.0
 CACHE = 400_000
 BREAK = b"\x01"
 FOLDS = 5
@@ -102,6 +104,18 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> DataFr
     return docs.select("doc_id", "text").join(F.broadcast(rows.limit(limit)), "doc_id").dropDuplicates(["doc_id"])
 
 
+def _association(seen: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Log-likelihood ratio between a feature's presence in documents and their label."""
+    n = np.array([[(y == 0).sum()], [(y > 0).sum()]], float)
+    total = n.sum()
+    out = np.zeros(seen.shape[1])
+    for label_ in (0, 1):
+        for count, share in ((seen[label_], seen.sum(0)), (n[label_] - seen[label_], total - seen.sum(0))):
+            expected = np.maximum(share * n[label_] / total, 1e-9)
+            out += 2 * np.where(count > 0, count * np.log(np.maximum(count, 1e-9) / expected), 0)
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = MAX_LABELLED, epochs: int = 12, seed: int = 7) -> np.ndarray:
     """Weights (and the bias) of the sentence model, by mini-batch gradient steps on the noisy-or likelihood."""
     bags = map_arrow(sample(docs, labels, label, limit), _bags, "doc_id long, label int, words binary, which binary, sentence binary").toPandas().sort_values("doc_id")
@@ -115,10 +129,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = M
     s = [np.frombuffer(b, np.int32) for b in bags.sentence]
     y = bags.label.to_numpy()
     of_word = np.array([features(w) for w in known] or [[NONE] * WIDTH], np.int64)
-    seen = np.zeros(DIMENSIONS + 2, np.int32)
-    for o in own:
-        seen[np.unique(of_word[o])] += 1
-    of_word[seen[of_word] < 3] = NONE
+    seen = np.zeros((2, DIMENSIONS + 2))
+    for o, label_ in zip(own, y):
+        seen[int(label_ > 0), np.unique(of_word[o])] += 1
+    of_word[_association(seen, y)[of_word] < LEAST_ASSOCIATION] = NONE
     rng, squares = np.random.default_rng(seed), np.full(DIMENSIONS + 2, 1e-6)
     for _ in range(epochs):
         order = rng.permutation(len(x))
@@ -136,10 +150,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = M
             per_word = np.bincount(inverse, dz[rows], len(words))
             g = np.bincount(of_word[words].ravel(), np.repeat(per_word, WIDTH), DIMENSIONS + 2)
             g[BIAS] = dz.sum()
-            g[:DIMENSIONS] += 1e-6 * weights[:DIMENSIONS]
+            g[:DIMENSIONS] += 1e-4 * weights[:DIMENSIONS]
             g[NONE] = 0
             squares += g * g
-            weights -= 0.3 * g / np.sqrt(squares)
+            weights -= 0.2 * g / np.sqrt(squares)
     return weights
 
 
