@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from paperloom.llm import op05_cotraining, op08_quality_rules, op09_secret_scan, op10_toxicity
+from paperloom.llm import op05_cotraining, op07_language_id, op08_quality_rules, op09_secret_scan, op10_toxicity
 
 QUERIES = {
     "op5_cotraining": op05_cotraining.query,
+    "op7_language_id": op07_language_id.query,
     "op8_quality_rules": op08_quality_rules.query,
     "op9_secret_scan": op09_secret_scan.query,
     "op10_toxicity": op10_toxicity.query,
