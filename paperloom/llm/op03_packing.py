@@ -5,8 +5,8 @@ each length: at most ``capacity`` numbers, however large the corpus. From this h
 
 1. lengths above an eighth of the capacity are sorted, cut into groups of equal cardinality, and rounded up to the
    largest of their group;
-2. the few rounded sizes are packed by the configuration program (column generation with a knapsack, whole parts
-   of the solution);
+2. the few rounded sizes are packed by configurations (sets of up to four sizes) that are optimised one after the
+   other and used as often as the sizes' demand allows;
 3. actual lengths take the rounded places, so places become tighter;
 4. what is left, and all small pieces, go by best fit, longest first, into the tightest room.
 
@@ -38,7 +38,9 @@ CAPACITY = 1024
 END_ID = 2
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-GROUPS = 48
+GROUPS = 1024
+#: Configurations with more room than this share of the capacity are left to best fit.
+MOST_SLACK = 0.05
 Class = tuple[int, list[int]]
 _NOT_LATIN = re.compile("[^\\x00-ɏ]")
 
@@ -111,46 +113,58 @@ def linear_groups(counts: dict[int, int], groups: int) -> list[tuple[int, list[l
     return out
 
 
-def _best_configuration(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """The unbounded knapsack over all capacities."""
-    best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    order = np.argsort(sizes)
-    s, v = sizes[order], np.maximum(values[order], 0)
-    for c in range(int(s[0]), capacity + 1):
-        fits = int(np.searchsorted(s, c, "right"))
-        total = best[c - s[:fits]] + v[:fits]
-        k = int(total.argmax())
-        if total[k] > best[c - 1] + 1e-12:
-            best[c], pick[c] = total[k], order[k]
-        else:
-            best[c] = best[c - 1]
-    config, c = np.zeros(len(sizes), int), capacity
-    while c > 0:
-        if pick[c] >= 0:
-            config[pick[c]] += 1
-            c -= int(sizes[pick[c]])
-        else:
-            c -= 1
-    return float(best[capacity]), config
-
-
-def configurations(sizes: list[int], demand: list[int], capacity: int, steps: int = 800) -> list[tuple[int, np.ndarray]]:
-    """Whole parts of the configuration program's solution: (how many, pieces of each size)."""
-    s, d = np.array(sizes), np.array(demand, float)
-    basis = np.diag(capacity // s).astype(float)
-    for _ in range(steps):
-        value, config = _best_configuration(s, np.linalg.solve(basis.T, np.ones(len(s))), capacity)
-        if value <= 1 + 1e-7:
-            break
-        x, change = np.linalg.solve(basis, d), np.linalg.solve(basis, config.astype(float))
-        up = change > 1e-9
-        if not up.any():
-            break
-        ratio = np.full(len(s), np.inf)
-        ratio[up] = np.maximum(x[up], 0) / change[up]
-        basis[:, int(ratio.argmin())] = config
-    x = np.linalg.solve(basis, d)
-    return [(int(n), basis[:, k].astype(int)) for k, n in enumerate(np.floor(x + 1e-9)) if n >= 1]
+def _fullest(sizes: np.ndarray, room: int) -> tuple[int, ...]:
+    """Up to three of the ascending sizes that fill the room best; fewer, larger ones where that is as good."""
+    s = sizes[: np.searchsorted(sizes, room, "right")]
+    if not len(s):
+        return ()
+    best: tuple[int, ...] = (int(s[-1]),)
+    if best[0] == room:
+        return best
+
+    def partner(left: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(s, left, "right") - 1
+        return np.where(at >= 0, s[at], -(1 << 30))
+
+    pair = s + partner(room - s)
+    k = len(s) - 1 - int(pair[::-1].argmax())
+    if pair[k] > sum(best):
+        best = (int(s[k]), int(pair[k] - s[k]))
+    if sum(best) == room:
+        return best
+    two = s[:, None] + s[None, :]
+    three = two + partner(room - two)
+    i, j = np.unravel_index(int(three.argmax()), three.shape)
+    if three[i, j] > sum(best):
+        best = (int(s[i]), int(s[j]), int(three[i, j] - two[i, j]))
+    return best
+
+
+def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[tuple[int, np.ndarray]]:
+    """Sequential optimisation of configurations: (how many, pieces of each size).
+
+    The longest size still wanted gets the companions that fill its sequence best, as often as the demand allows;
+    every step uses up a size. A size that no configuration fills well is left to best fit.
+    """
+    place = {s: k for k, s in enumerate(sizes)}
+    left = dict(zip(sizes, demand))
+    out: list[tuple[int, np.ndarray]] = []
+    for longest in sorted(sizes, reverse=True):
+        while left[longest] > 0:
+            open_ = np.array(sorted(s for s in left if 0 < left[s] and s <= longest))
+            chosen = _fullest(open_, capacity - longest)
+            if capacity - longest - sum(chosen) > capacity * MOST_SLACK:
+                break
+            config = np.zeros(len(sizes), int)
+            for s in (longest, *chosen):
+                config[place[s]] += 1
+            many = min(left[s] // int(config[place[s]]) for s in {longest, *chosen})
+            if not many:  # one piece short of its copies
+                break
+            for s in {longest, *chosen}:
+                left[s] -= many * int(config[place[s]])
+            out.append((many, config))
+    return out
 
 
 def substitute(patterns: list[tuple[int, np.ndarray]], groups: list[tuple[int, list[list[int]]]]) -> tuple[list[Class], dict[int, int]]:
