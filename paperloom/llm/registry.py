@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from paperloom.llm import op01_media, op03_packing, op05_cotraining, op07_language_id, op08_quality_rules, op09_secret_scan, op10_toxicity
+from paperloom.llm import op01_media, op03_packing, op05_cotraining, op06_substring, op07_language_id, op08_quality_rules, op09_secret_scan, op10_toxicity
 
 QUERIES = {
     "op1_media": op01_media.query,
     "op3_packing": op03_packing.query,
     "op5_cotraining": op05_cotraining.query,
+    "op6_substring": op06_substring.query,
     "op7_language_id": op07_language_id.query,
     "op8_quality_rules": op08_quality_rules.query,
     "op9_secret_scan": op09_secret_scan.query,
     "op10_toxicity": op10_toxicity.query,
 }
 ORACLES = {
+    "op6_substring": op06_substring.ORACLE,
     "op8_quality_rules": op08_quality_rules.ORACLE,
     "op9_secret_scan": op09_secret_scan.ORACLE,
 }
