@@ -25,7 +25,7 @@ from paperloom.llm.common import map_arrow, table
 #: Size of the hashed feature space.
 DIMENSIONS = 1 << 18
 #: At most so many labelled documents are used for fitting.
-MAX_LABELLED = 12_000
+MAX_LABELLED = 6_000
 #: Word caches are emptied beyond so many entries.
 #: Features tied to the labels by less than this log-likelihood ratio get no weight: a rare word can't be learnt by heart.
 LEAST_ASSOCIATION = 15.0
@@ -124,11 +124,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = M
     if bags.empty:
         return weights
     known: dict[bytes, int] = {}
-    own = [np.array([known.setdefault(w, len(known)) for w in words.split()], np.int64) for words in bags.words]
+    own = [np.array([known.setdefault(w, len(known)) for w in words.split()], np.int32) for words in bags.words]
     x = [o[np.frombuffer(b, np.int32)] for o, b in zip(own, bags.which)]
     s = [np.frombuffer(b, np.int32) for b in bags.sentence]
     y = bags.label.to_numpy()
-    of_word = np.array([features(w) for w in known] or [[NONE] * WIDTH], np.int64)
+    of_word = np.array([features(w) for w in known] or [[NONE] * WIDTH], np.int32)
     seen = np.zeros((2, DIMENSIONS + 2))
     for o, label_ in zip(own, y):
         seen[int(label_ > 0), np.unique(of_word[o])] += 1

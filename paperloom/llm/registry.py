@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from paperloom.llm import op01_media, op03_packing, op04_minhash, op05_cotraining, op06_substring, op07_language_id, op08_quality_rules, op09_secret_scan, op10_toxicity
+from paperloom.llm import op01_media, op02_bpe, op03_packing, op04_minhash, op05_cotraining, op06_substring, op07_language_id, op08_quality_rules, op09_secret_scan, op10_toxicity
 
 QUERIES = {
     "op1_media": op01_media.query,
+    "op2_bpe": op02_bpe.query,
     "op3_packing": op03_packing.query,
     "op4_minhash": op04_minhash.query,
     "op5_cotraining": op05_cotraining.query,
