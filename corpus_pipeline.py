@@ -1,7 +1,82 @@
-"""The corpus pipeline (filled in below as operators land)."""
-STAGES = []
-ORACLE_SQL = None
+"""The corpus pipeline: documents to packed sequences in five stages.
 
+Every stage takes the columns of ``documents`` (doc_id, text, lang, source, n_chars) and, but for the last, returns
+them; further columns of its input are dropped. Each works on all rows its predecessor kept.
+"""
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from paperloom.llm import op03_packing, op04_minhash, op06_substring, op07_language_id, op09_secret_scan
+from paperloom.llm.common import cut_lineage, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Language models, sets and packings have no SQL; tests compare the stages with brute force.
+ORACLE_SQL: str | None = None
+
+
+def _documents(docs: DataFrame) -> DataFrame:
+    return docs.select(
+        F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long")
+    )
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that language identification accepts; ``lang`` becomes the language found."""
+    d = _documents(docs)
+    found = op07_language_id.identify(op07_language_id.documents_evidence(d)).filter("accepted")
+    found = found.groupBy(F.col("doc_id").alias("_id")).agg(F.first("language").alias("_lang"))
+    return d.join(found, d["doc_id"].eqNullSafe(found["_id"])).select("doc_id", "text", F.col("_lang").alias("lang"), "source", "n_chars")
+
+
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of every group of near duplicates, once."""
+    d = _documents(docs)
+    kept = op04_minhash.near_duplicates(d).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
+    return d.join(kept, d["doc_id"].eqNullSafe(kept["_id"]), "left_semi").dropDuplicates(["doc_id"])
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages that occur earlier; documents of which nothing is left go."""
+    d = op06_substring.remove_duplicates(_documents(docs).withColumn("_had", F.length("text")))
+    had = F.coalesce(F.col("_had"), F.lit(0))
+    left = F.coalesce(F.length("text"), F.lit(0))
+    n_chars = F.when(left == had, F.col("n_chars")).otherwise(left.cast("long"))
+    return d.filter((left > 0) | (had == 0)).select("doc_id", "text", "lang", "source", n_chars.alias("n_chars"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with secrets replaced by their kind in brackets."""
+    d = op09_secret_scan.redact(_documents(docs))
+    n_chars = F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return d.select("doc_id", "text", "lang", "source", n_chars.alias("n_chars"))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents with their places in sequences of 1024 tokens."""
+    return op03_packing.pack(_documents(docs))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id),
+    ("minhash_near_dedup", minhash_near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("secret_scan", secret_scan),
+    ("best_fit_packing", best_fit_packing),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each stage's rows are written as Parquet and read by the next."""
+    docs = table(spark, sf_dir, "documents")
+    cut_lineage(spark.range(0))  # sets the shared folder where the session has none
+    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
+        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
