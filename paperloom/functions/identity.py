@@ -73,7 +73,7 @@ def retry_after_seconds(header: Column, now: Column) -> Column:
     """Seconds, or an HTTP date less now; null if it is neither, never negative."""
     date = F.try_to_timestamp(F.regexp_extract(header, r"^\w{3}, (\d{2} \w{3} \d{4} \d{2}:\d{2}:\d{2}) GMT$", 1), F.lit("dd MMM yyyy HH:mm:ss"))
     seconds = F.coalesce(F.trim(header).try_cast("long"), F.unix_seconds(date) - F.unix_seconds(now))
-    return F.greatest(seconds, F.lit(0))
+    return F.when(seconds.isNotNull(), F.greatest(seconds, F.lit(0)))
 
 
 def http_date(moment: Column) -> Column:
