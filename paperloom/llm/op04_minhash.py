@@ -6,11 +6,13 @@ groups, so 16 groups of 2 (32 minhashes) stand for 120 tables of 4 (480 minhashe
 before pairs are formed.
 
 1. Documents of equal shingle sets are one class, represented by its smallest id.
-2. Round one compares every member of a band with the band's smallest; round two with one drawn by hash; only members
-   of different components are compared again. Components are found after each round.
+2. Round one compares every member of a band with the band's smallest; round two with the band's hub, the member
+   that shares the most bands with others; only members of different components are compared again. Components are
+   found after each round.
 3. What is left, members of one band in different components, is compared exhaustively, so no link is lost to the
-   choice of partners. A 256-bit sketch of 64 minhashes rejects pairs far below the threshold first (a pair at 0.75
-   fails it with probability about 1e-8).
+   choice of partners: members of a band's first group meet in pairs of blocks of bounded size, where each pair is
+   checked in the lowest group it shares, and only links leave the task. A 256-bit sketch of 64 minhashes rejects
+   pairs far below the threshold first (a pair at 0.75 fails it with probability about 1e-8).
 4. Every link is confirmed on both full sets (48-bit shingle hashes).
 
 Rows out: one per document with its component. Copies and bands are never expanded into all their pairs unless they
@@ -39,6 +41,8 @@ TABLES, DEPTH = 16, 2
 SKETCHED = 64
 #: Of 64 sketched minhashes, two sets of similarity 0.75 agree in 49 on average, with a deviation of 3.4.
 LEAST_AGREEMENT = 29
+#: Members of a block in the exhaustive comparison.
+BLOCK = 512
 _RNG = np.random.default_rng(4)
 _KEYS = _RNG.integers(0, 1 << 63, SKETCHED, np.uint64)
 _OF_SHINGLE = _RNG.integers(1, 1 << 62, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -105,13 +109,12 @@ def agreement(a: str, b: str) -> Column:
 
 
 def bands(classes: DataFrame) -> DataFrame:
-    """(band, rep) of the pairs of groups that other classes share too."""
+    """(rep, unit, band) of the pairs of groups that other classes share too; unit is the pair's first group."""
     postings = classes.select("rep", F.posexplode("groups").alias("g", "key"))
     shared = postings.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     own = postings.join(shared, "key", "left_semi").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("g", "key"))).alias("own")).filter(F.size("own") > 1)
-    pairs = F.flatten(F.transform("own", lambda x, i: F.transform(F.slice("own", i + 2, TABLES), lambda y: F.xxhash64(x["key"], y["key"]))))
-    every = own.select("rep", F.explode(pairs).alias("band"))
-    return every
+    pairs = F.flatten(F.transform("own", lambda x, i: F.transform(F.slice("own", i + 2, TABLES), lambda y: F.struct(x["key"].alias("unit"), F.xxhash64(x["key"], y["key"]).alias("band")))))
+    return own.select("rep", F.inline(pairs))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -157,19 +160,22 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         ok = []
         for x, y in zip(batch.column("x"), batch.column("y")):
             a, b = (_wide(v.as_py()) for v in (x, y))
-            small, large = (a, b) if len(a) <= len(b) else (b, a)
-            if 4 * len(small) < 3 * len(large):
-                ok.append(False)
-                continue
-            at = np.searchsorted(large, small)
-            both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-            ok.append(100 * both >= 75 * (len(a) + len(b) - both))
+            ok.append(_linked(a, b))
         return pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     d = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
     return map_arrow(d.select("a", "b", "x", "y"), run, "a long, b long")
 
 
+def _linked(a: np.ndarray, b: np.ndarray) -> bool:
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    if 4 * len(small) < 3 * len(large):
+        return False
+    at = np.searchsorted(large, small)
+    both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+    return 100 * both >= 75 * (len(a) + len(b) - both)
+
+
 def _wide(raw: bytes) -> np.ndarray:
     out = np.zeros((len(raw) // 6, 8), np.uint8)
     out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
@@ -182,6 +188,60 @@ def _sketch_filter(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return d.filter(agreement("sa", "sb") >= LEAST_AGREEMENT).select("a", "b")
 
 
+def exhaust(rest: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between different components within the units of rest (unit, rep, comp).
+
+    A unit's members are dealt to blocks of about BLOCK; every pair of blocks is one group of bounded size.
+    """
+    sizes = rest.groupBy("unit").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    d = rest.join(sizes, "unit").join(classes.select("rep", "groups", "k0", "k1", "k2", "k3"), "rep").join(sets.withColumnRenamed("id", "rep"), "rep")
+    d = d.withColumn("own", F.pmod(F.xxhash64("rep", "unit"), F.col("blocks")).cast("int"))
+    d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    d = d.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")})
+
+    def run(table_: pa.Table) -> pa.Table:
+        t = table_.combine_chunks().to_batches()[0]
+        rep, comp, own = (t.column(c).to_numpy() for c in ("rep", "comp", "own"))
+        x, y = t.column("x")[0].as_py(), t.column("y")[0].as_py()
+        unit = t.column("unit")[0].as_py()
+        group = np.array(t.column("groups").to_pylist(), np.int64).reshape(len(rep), -1)
+        sketch = np.stack([t.column(f"k{i}").to_numpy() for i in range(4)], 1).view(np.uint64)
+        wide = [None] * len(rep)
+        parent = {c: c for c in comp.tolist()}
+
+        def top(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = parent[parent[c]]
+                c = parent[c]
+            return c
+
+        links: list[tuple[int, int]] = []
+        ones = np.uint64(0x1111111111111111)
+        for i in np.flatnonzero(own == x).tolist():
+            j = np.flatnonzero((own == y) & (comp != comp[i]) & ((rep > rep[i]) if x == y else True))
+            if not len(j):
+                continue
+            z = sketch[j] ^ sketch[i]
+            z = ~(z | z >> np.uint64(1) | z >> np.uint64(2) | z >> np.uint64(3)) & ones
+            alike = np.bitwise_count(z).sum(1) >= LEAST_AGREEMENT
+            same = group[j] == group[i]
+            # each pair once: in the lowest group that both share
+            alike &= (same.sum(1) > 1) & (group[i][same.argmax(1)] == unit)
+            for k in j[alike].tolist():
+                if top(comp[i]) == top(comp[k]):
+                    continue
+                for q in (i, k):
+                    if wide[q] is None:
+                        wide[q] = _wide(t.column("set")[q].as_py())
+                if _linked(wide[i], wide[k]):
+                    links.append((min(rep[i], rep[k]), max(rep[i], rep[k])))
+                    parent[top(comp[i])] = top(comp[k])
+        a, b = zip(*links) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return d.groupBy("unit", "x", "y").applyInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept; one row per document."""
     d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), text_of(text_col).alias("text"))
@@ -190,8 +250,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = some.groupBy("digest").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("groups", "k0", "k1", "k2", "k3")])
     classes = cut_lineage(classes)
     every = bands(classes)
-    shared = every.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("first"), F.expr("min_by(rep, xxhash64(rep, band))").alias("drawn")).filter("n > 1").drop("n")
+    shared = every.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("first")).filter("n > 1")
     members = cut_lineage(every.join(shared, "band"))
+    degree = members.groupBy("rep").agg(F.sum("n").alias("degree"))
+    hubs = members.filter("n > 2").join(degree, "rep").groupBy("band").agg(F.expr("max_by(rep, struct(degree, -rep))").alias("hub"))
     sketched = classes.select("rep", "k0", "k1", "k2", "k3")
     sets = cut_lineage(_sets(d, members.select(F.col("rep").alias("id")).distinct()))
 
@@ -207,20 +269,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         own = comp.select(F.col("id").alias(column), F.col("comp").alias(f"{column}_comp"))
         return rows.join(own, column, "left").withColumn(f"{column}_comp", F.coalesce(f"{column}_comp", column))
 
-    apart = placed(placed(members.select("rep", "drawn").distinct(), "rep"), "drawn").filter("rep_comp <> drawn_comp")
-    more = _sketch_filter(apart.select(*pair("rep", "drawn")).distinct().join(checked, ["a", "b"], "left_anti"), sketched)
+    apart = placed(placed(members.join(hubs, "band").select("rep", "hub").distinct(), "rep"), "hub").filter("rep_comp <> hub_comp")
+    more = _sketch_filter(apart.select(*pair("rep", "hub")).distinct().join(checked, ["a", "b"], "left_anti"), sketched)
     more = cut_lineage(more)
     links = links.unionAll(cut_lineage(confirm(more, sets)))
     checked = checked.unionAll(more)
     comp = components(links)
     # the rest: bands that still hold several components
-    lone = cut_lineage(placed(members.select("band", "rep"), "rep"))
+    lone = cut_lineage(placed(members.select("unit", "band", "rep"), "rep"))
     mixed = lone.groupBy("band").agg(F.min("rep_comp").alias("lo"), F.max("rep_comp").alias("hi")).filter("lo <> hi").select("band")
-    rest = lone.join(mixed, "band", "left_semi").join(sketched, "rep")
-    p, q = rest.alias("p"), rest.alias("q")
-    left = p.join(q, (F.col("p.band") == F.col("q.band")) & (F.col("p.rep_comp") < F.col("q.rep_comp")) & (agreement("p", "q") >= LEAST_AGREEMENT))
-    final = left.select(F.least("p.rep", "q.rep").alias("a"), F.greatest("p.rep", "q.rep").alias("b")).distinct().join(checked, ["a", "b"], "left_anti")
-    found = cut_lineage(confirm(final, sets))
+    rest = lone.join(mixed, "band", "left_semi").groupBy("unit", "rep").agg(F.first("rep_comp").alias("comp"))
+    found = cut_lineage(exhaust(rest, classes, sets))
     if not found.isEmpty():
         comp = components(links.unionAll(found))
 
