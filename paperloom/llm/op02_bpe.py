@@ -1,7 +1,8 @@
 """Byte-level BPE with Spark's higher-order functions.
 
-Documents of one task are gathered to blocks of a bounded number of characters. A block holds its distinct words
-(matches of the split pattern) as arrays of byte tokens, and every document as positions in that list. Ranked
+The words of a bounded sample of documents are encoded first. Then documents of one task are gathered to blocks of a
+bounded number of characters. A block holds its other distinct words (matches of the split pattern) as arrays of
+byte tokens, and every document as positions in the list of both. Ranked
 merges are folded over each distinct word once: the state is the word's tokens and the ranks of its neighbours,
 looked up in a literal rank map; every step merges the first pair of lowest rank. Documents then take their words'
 ids by position, and decoding joins the ids' byte pieces.
@@ -27,12 +28,14 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import table, text_of
+from paperloom.llm.common import map_arrow, table, text_of
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 #: Characters of text in one block.
 BLOCK = 32_000_000
+#: Documents whose words are folded before all others.
+SAMPLE = 6_000
 BUCKETS = 1 << 17
 _NO_RANK = 2**31 - 1
 
@@ -116,40 +119,69 @@ def _lists(sizes: np.ndarray, values) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values)
 
 
-BLOCK_SCHEMA = "words array<array<int>>, docs array<struct<doc_id:bigint,at:array<int>>>"
+BLOCK_SCHEMA = "words array<array<int>>, known array<array<int>>, docs array<struct<doc_id:bigint,at:array<int>>>"
 
 
-def blocks(docs: DataFrame, path: str = RANKS, pattern: str = PATTERN, block: int = BLOCK) -> DataFrame:
-    """words: the distinct words' byte tokens (a whole-word entry that merges don't reach is one token); docs."""
+class Known:
+    """Words whose ids are known already: a dictionary of places in one flat array."""
+
+    def __init__(self, words: list[str], ids: list):
+        self.place = {w: k for k, w in enumerate(words)}
+        self.size = np.array([len(x) for x in ids], np.int64)
+        self.end = np.cumsum(self.size)
+        self.flat = np.concatenate([np.asarray(x, np.int32) for x in ids]) if ids else np.zeros(0, np.int32)
+
+    def of(self, places: list[int]) -> pa.ListArray:
+        size = self.size[places]
+        start = np.repeat(self.end[places] - size, size)
+        return _lists(size, self.flat[start + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)])
+
+
+def _byte_tokens(words: list[str], path: str) -> pa.ListArray:
+    ranks, whole = read_ranks(path), unreached(path)
+    byte = np.array([ranks[bytes([c])] for c in range(256)], np.int32)
+    raw = [w.encode() for w in words]
+    tokens = [np.array([whole[w]], np.int32) if w in whole else byte[np.frombuffer(w, np.uint8)] for w in raw] if whole else None
+    size = np.array([len(x) for x in (tokens or raw)], np.int64)
+    if not len(size):
+        return _lists(size, np.zeros(0, np.int32))
+    return _lists(size, np.concatenate(tokens) if tokens else byte[np.frombuffer(b"".join(raw), np.uint8)])
+
+
+def blocks(docs: DataFrame, known, path: str = RANKS, pattern: str = PATTERN, block: int = BLOCK) -> DataFrame:
+    """docs (doc_id and positions of their words), the ids of known words, and the other distinct words' byte tokens.
+
+    known is a broadcast of ``Known``. A whole-word entry that merges don't reach is one token.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = splitter(pattern)
-        ranks, whole = read_ranks(path), unreached(path)
-        byte = np.array([ranks[bytes([c])] for c in range(256)], np.int32)
-
-        def flush(known: dict[str, int], ids: list, held: list[np.ndarray]) -> pa.RecordBatch:
-            raw = [x.encode() for x in known]
-            tokens = [np.array([whole[w]], np.int32) if w in whole else byte[np.frombuffer(w, np.uint8)] for w in raw] if whole else None
-            size = np.array([len(x) for x in (tokens or raw)])
-            flat = np.concatenate(tokens) if tokens else byte[np.frombuffer(b"".join(raw), np.uint8)]
-            words = _lists(size, flat)
-            docs_ = pa.StructArray.from_arrays([pa.array(ids, pa.int64()), _lists(np.array([len(x) for x in held]), np.concatenate(held))], ["doc_id", "at"])
-            return pa.RecordBatch.from_arrays([_lists(np.array([len(size)]), words), _lists(np.array([len(ids)]), docs_)], ["words", "docs"])
-
-        known: dict[str, int] = {}
+        find, cache = splitter(pattern), known.value
+
+        def flush(own: dict[str, int], ids: list, held: list[np.ndarray]) -> pa.RecordBatch:
+            place = np.array([cache.place.get(w, -1) for w in own], np.int64)
+            old = place >= 0
+            number = np.where(old, np.cumsum(old) - 1, old.sum() + np.cumsum(~old) - 1).astype(np.int32)
+            at = number[np.concatenate(held)] if len(number) else np.zeros(0, np.int32)
+            docs_ = pa.StructArray.from_arrays([pa.array(ids, pa.int64()), _lists(np.array([len(x) for x in held]), at)], ["doc_id", "at"])
+            fresh = [w for w, o in zip(own, old.tolist()) if not o]
+            one = lambda n, x: _lists(np.array([n]), x)
+            return pa.RecordBatch.from_arrays(
+                [one(len(fresh), _byte_tokens(fresh, path)), one(int(old.sum()), cache.of(place[old].tolist())), one(len(ids), docs_)], ["words", "known", "docs"]
+            )
+
+        own: dict[str, int] = {}
         ids, held, size = [], [], 0
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                own = text.as_py()
-                if size and size + len(own) > block:
-                    yield flush(known, ids, held)
-                    known, ids, held, size = {}, [], [], 0
-                at = [known.setdefault(w, len(known)) for w in find(own)]
+                t = text.as_py()
+                if size and size + len(t) > block:
+                    yield flush(own, ids, held)
+                    own, ids, held, size = {}, [], [], 0
+                held.append(np.array([own.setdefault(w, len(own)) for w in find(t)], np.int32))
                 ids.append(doc_id)
-                held.append(np.array(at, np.int32))
-                size += len(own) + 1
+                size += len(t) + 1
         if held:
-            yield flush(known, ids, held)
+            yield flush(own, ids, held)
 
     return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, BLOCK_SCHEMA)
 
@@ -186,15 +218,50 @@ def fold_merges(tokens: Column, ranks: Column) -> Column:
     return _let(neighbours, lambda n: F.aggregate(n, F.struct(tokens.alias("t"), n.alias("r")), step, lambda acc: acc["t"]))
 
 
+def known_words(docs: DataFrame, vocabulary: DataFrame, path: str, pattern: str, sample: int = SAMPLE) -> Known:
+    """The words of a bounded sample of documents, folded once, so that blocks needn't fold them again.
+
+    It only saves work: what it lacks is folded in its block. Its size is bounded by ``sample`` texts of at most
+    20,000 characters.
+    """
+    share = sample / max(1, docs.count())
+    some = docs.select("doc_id", text_of().alias("text")).filter(F.length("text") <= 20_000)
+    if share < 1:
+        some = some.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, words = splitter(pattern), set()
+        for batch in batches:
+            for text in batch.column("text"):
+                words.update(find(text.as_py()))
+        yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string())], ["word"])
+
+    def listed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        words = batch.column("list").to_pylist()
+        tokens = pa.concat_arrays([_byte_tokens(w, path) for w in words])
+        return pa.RecordBatch.from_arrays([batch.column("list"), _lists(np.array([len(w) for w in words]), tokens)], ["list", "tokens"])
+
+    lists = some.mapInArrow(split, "word string").groupBy(F.pmod(F.hash("word"), F.lit(48)).alias("k")).agg(F.collect_set("word").alias("list"))
+    d = map_arrow(lists, listed, "list array<string>, tokens array<array<int>>").withColumn("ranks", vocabulary.select("ranks").scalar())
+    got = d.select("list", _folded("tokens")).toArrow()
+    words = [w for row in got.column(0).to_pylist() for w in row]
+    return Known(words, [x for row in got.column(1).to_pylist() for x in row])
+
+
+def _folded(column: str) -> Column:
+    ranks = F.col("ranks")
+    return F.transform(column, lambda w: F.when(F.size(w) > 1, fold_merges(w, ranks)).otherwise(w)).alias("ids")
+
+
 def encode(docs: DataFrame, path: str = RANKS, pattern: str = PATTERN) -> DataFrame:
     """doc_id, ids: as the tiktoken library encodes ordinary text."""
     return _encoded(docs, literals(docs.sparkSession, path), path, pattern)
 
 
 def _encoded(docs: DataFrame, vocabulary: DataFrame, path: str, pattern: str) -> DataFrame:
-    b = blocks(docs, path, pattern).withColumn("ranks", vocabulary.select("ranks").scalar())
-    ranks = F.col("ranks")
-    b = b.select("docs", F.transform("words", lambda w: F.when(F.size(w) > 1, fold_merges(w, ranks)).otherwise(w)).alias("ids"))
+    known = docs.sparkSession.sparkContext.broadcast(known_words(docs, vocabulary, path, pattern))
+    b = blocks(docs, known, path, pattern).withColumn("ranks", vocabulary.select("ranks").scalar())
+    b = b.select("docs", "known", _folded("words").alias("folded")).select("docs", F.concat("known", "folded").alias("ids"))
     ids = F.col("ids")
     # the size keeps the ids a column of their own: computed once for the block
     taken = F.when(F.size(ids) >= 0, F.transform("docs", lambda d: F.struct(d["doc_id"].alias("doc_id"), F.flatten(F.transform(d["at"], lambda i: ids[i])).alias("ids"))))
