@@ -43,6 +43,8 @@ SKETCHED = 64
 LEAST_AGREEMENT = 29
 #: Members of a block in the exhaustive comparison.
 BLOCK = 512
+#: Edges that one task of a components round takes.
+EDGES_A_TASK = 50_000
 _RNG = np.random.default_rng(4)
 _KEYS = _RNG.integers(0, 1 << 63, SKETCHED, np.uint64)
 _OF_SHINGLE = _RNG.integers(1, 1 << 62, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -120,15 +122,18 @@ def bands(classes: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(id, comp): the smallest id reachable over edges (a, b), for every id that has an edge.
 
-    Labels spread to neighbours, and every label is replaced by its own label, until none changes.
+    Labels spread to neighbours, and every label is replaced by its own label, until none changes. The rounds run in as
+    many tasks as the edges need, so that few edges don't leave many small files.
     """
     both = cut_lineage(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut_lineage(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("comp")).withColumnRenamed("a", "id"))
+    parts = both.count() // EDGES_A_TASK + 1
+    both = both.coalesce(parts)
+    labels = cut_lineage(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("comp")).withColumnRenamed("a", "id").coalesce(parts))
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), F.col("comp").alias("other")), "b").groupBy("a").agg(F.min("other").alias("other"))
         spread = labels.join(near.withColumnRenamed("a", "id"), "id").select("id", F.col("comp").alias("before"), F.least("comp", "other").alias("comp"))
         jump = labels.select(F.col("id").alias("comp"), F.col("comp").alias("further"))
-        after = cut_lineage(spread.join(jump, "comp", "left").select("id", "before", F.least("comp", F.coalesce("further", "comp")).alias("comp")))
+        after = cut_lineage(spread.join(jump, "comp", "left").select("id", "before", F.least("comp", F.coalesce("further", "comp")).alias("comp")).coalesce(parts))
         labels = after.select("id", "comp")
         if after.filter("before <> comp").isEmpty():
             return labels
