@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm import op03_packing, op04_minhash, op06_substring, op07_language_id, op09_secret_scan
-from paperloom.llm.common import cut_lineage, table
+from paperloom.llm.common import LAST_ID, cut_lineage, row_key, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Language models, sets and packings have no SQL; tests compare the stages with brute force.
@@ -29,16 +29,19 @@ def _documents(docs: DataFrame) -> DataFrame:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that language identification accepts; ``lang`` becomes the language found."""
     d = _documents(docs)
-    found = op07_language_id.identify(op07_language_id.documents_evidence(d)).filter("accepted")
-    found = found.groupBy(F.col("doc_id").alias("_id")).agg(F.first("language").alias("_lang"))
-    return d.join(found, d["doc_id"].eqNullSafe(found["_id"])).select("doc_id", "text", F.col("_lang").alias("lang"), "source", "n_chars")
+    # what decides is hashed in place of the id, which may be missing or repeated; equal rows are judged alike
+    decides = [F.col(c) for c in ("doc_id", "text", "lang", "source")]
+    d = d.withColumn("_key", F.xxhash64(*[c.isNull() for c in decides], *decides))
+    found = op07_language_id.identify(op07_language_id.documents_evidence(d.withColumn("doc_id", F.col("_key")))).filter("accepted")
+    found = found.groupBy(F.col("doc_id").alias("_key")).agg(F.first("language").alias("_lang"))
+    return d.join(found, "_key").select("doc_id", "text", F.col("_lang").alias("lang"), "source", "n_chars")
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of near duplicates, once."""
-    d = _documents(docs)
-    kept = op04_minhash.near_duplicates(d).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return d.join(kept, d["doc_id"].eqNullSafe(kept["_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """The document with the smallest id of every group of near duplicates; of rows equal in id and shingle set one."""
+    d = _documents(docs).withColumns({"_id": F.coalesce("doc_id", F.lit(LAST_ID)), "_row": row_key("doc_id")})
+    kept = op04_minhash.resolve(d).filter("kept").groupBy(F.col("id").alias("_id"), "digest").agg(F.min("row").alias("_row"))
+    return d.join(kept, ["_id", "_row"], "left_semi").dropDuplicates(["_id", "_row"]).select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,6 +24,11 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def row_key(id_col: str, text_col: str = "text") -> Column:
+    """With the id it tells documents apart: 64 bits of the text, and of whether there is an id."""
+    return F.xxhash64(F.col(id_col).isNull(), text_of(text_col))
+
+
 def words_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 

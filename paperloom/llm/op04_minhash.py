@@ -5,8 +5,9 @@ groups, so 16 groups of 2 (32 minhashes) stand for 120 tables of 4 (480 minhashe
 0.75 misses all tables with probability 4e-5. Groups that no other set shares can't make a common band and are dropped
 before pairs are formed.
 
-1. Documents of equal shingle sets are one class, represented by its smallest id.
-2. Round one compares every member of a band with the band's smallest; round two with the band's hub, the member
+1. Documents of equal shingle sets are one class. Classes are numbered, since ids may be missing or repeated with other
+   texts; ids only order documents and name components.
+2. Round one compares every member of a band with the band's first; round two with the band's hub, the member
    that shares the most bands with others; only members of different components are compared again. Components are
    found after each round.
 3. What is left, members of one band in different components, is compared exhaustively, so no link is lost to the
@@ -19,7 +20,9 @@ Rows out: one per document with its component. Copies and bands are never expand
 stay unconnected.
 
 Defined results: a null text, or one without words, has an empty set and is linked with nothing; a null id counts as
-the largest; rows that repeat an id with one text share its component; an empty table gives no rows.
+the largest; rows that repeat an id (or have none) and differ in their sets are documents of their own; of a component
+with several sets under its smallest id one set is kept; rows equal in id and set are kept or dropped alike; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import LAST_ID, cut_lineage, map_arrow, table, text_of
+from paperloom.llm.common import LAST_ID, cut_lineage, map_arrow, row_key, table, text_of
 from paperloom.llm.op06_substring import WordHashes, mix, rolling
 
 WORDS = 5
@@ -72,7 +75,7 @@ def minhashes(s: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """id, n_shingles, digest (of the set; null if empty), groups (long each), k0..k3 (the sketch)."""
+    """id, row, n_shingles, digest (of the set; null if empty), groups (long each), k0..k3 (the sketch)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         cache, sizes, digests, groups, sketches = WordHashes(), [], [], [], []
@@ -94,11 +97,11 @@ def signatures(docs: DataFrame) -> DataFrame:
             sketches.append((((m & np.uint64(15)).reshape(4, 16)) << shift).sum(1, dtype=np.uint64).view(np.int64).tolist())
         k = np.array(sketches, np.int64).reshape(-1, 4)
         return pa.RecordBatch.from_arrays(
-            [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(groups, pa.list_(pa.int64())), *[pa.array(k[:, i]) for i in range(4)]],
-            ["id", "n_shingles", "digest", "groups", "k0", "k1", "k2", "k3"],
+            [batch.column("id"), batch.column("row"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(groups, pa.list_(pa.int64())), *[pa.array(k[:, i]) for i in range(4)]],
+            ["id", "row", "n_shingles", "digest", "groups", "k0", "k1", "k2", "k3"],
         )
 
-    return map_arrow(docs, run, "id long, n_shingles long, digest binary, groups array<long>, k0 long, k1 long, k2 long, k3 long")
+    return map_arrow(docs, run, "id long, row long, n_shingles long, digest binary, groups array<long>, k0 long, k1 long, k2 long, k3 long")
 
 
 def agreement(a: str, b: str) -> Column:
@@ -140,11 +143,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, set): 48-bit shingle hashes, sorted, of the wanted ids, laid out by id."""
+    """(id, set): 48-bit shingle hashes, sorted, of the classes wanted (rep, id, row), laid out by their number."""
 
     def press(batch: pa.RecordBatch) -> pa.RecordBatch:
         z = zstandard.ZstdCompressor(level=1)
-        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array([z.compress((x or "").encode()) for x in batch.column("text").to_pylist()], pa.binary())], ["id", "packed"])
+        packed = pa.array([z.compress((x or "").encode()) for x in batch.column("text").to_pylist()], pa.binary())
+        return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), packed], ["id", "row", "packed"])
 
     def shingle(batch: pa.RecordBatch) -> pa.RecordBatch:
         z, cache, out = zstandard.ZstdDecompressor(), WordHashes(), []
@@ -154,7 +158,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], ["id", "set"])
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = map_arrow(docs, press, "id long, packed binary").join(wanted, "id", "left_semi")
+    packed = map_arrow(docs, press, "id long, row long, packed binary").join(wanted, ["id", "row"]).select(F.col("rep").alias("id"), "packed")
     return map_arrow(packed.repartition(parts, "id").dropDuplicates(["id"]), shingle, "id long, set binary")
 
 
@@ -247,20 +251,20 @@ def exhaust(rest: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
     return d.groupBy("unit", "x", "y").applyInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept; one row per document."""
-    d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), text_of(text_col).alias("text"))
+def resolve(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id (LAST_ID if null), row (``row_key``), n_shingles, digest, component_id, kept; one row per document."""
+    d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), row_key(id_col, text_col).alias("row"), text_of(text_col).alias("text"))
     signed = cut_lineage(signatures(d))
     some = signed.filter("digest is not null")
-    classes = some.groupBy("digest").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("groups", "k0", "k1", "k2", "k3")])
-    classes = cut_lineage(classes)
+    classes = some.groupBy("digest").agg(F.min(F.struct("id", "row")).alias("lead"), *[F.first(c).alias(c) for c in ("groups", "k0", "k1", "k2", "k3")])
+    classes = cut_lineage(classes.select("digest", "lead.id", "lead.row", "groups", "k0", "k1", "k2", "k3", F.monotonically_increasing_id().alias("rep")))
     every = bands(classes)
     shared = every.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("first")).filter("n > 1")
     members = cut_lineage(every.join(shared, "band"))
     degree = members.groupBy("rep").agg(F.sum("n").alias("degree"))
     hubs = members.filter("n > 2").join(degree, "rep").groupBy("band").agg(F.expr("max_by(rep, struct(degree, -rep))").alias("hub"))
     sketched = classes.select("rep", "k0", "k1", "k2", "k3")
-    sets = cut_lineage(_sets(d, members.select(F.col("rep").alias("id")).distinct()))
+    sets = cut_lineage(_sets(d, classes.select("rep", "id", "row").join(members.select("rep"), "rep", "left_semi")))
 
     def pair(x: str, y: str) -> list[Column]:
         return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
@@ -288,11 +292,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not found.isEmpty():
         comp = components(links.unionAll(found))
 
-    own = classes.select("digest", "rep").join(comp.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("digest", F.coalesce("comp", "rep").alias("component_id"))
-    told = some.select("id", "n_shingles", "digest").join(own, "digest").select("id", "n_shingles", "component_id")
-    none = signed.filter("digest is null").select("id", "n_shingles", F.col("id").alias("component_id"))
+    # a component is named by its smallest id; of equal ids the smallest digest leads
+    linked = cut_lineage(comp.withColumnRenamed("id", "rep").join(classes.select("rep", "id", "digest"), "rep"))
+    heads = linked.groupBy("comp").agg(F.min(F.struct("id", "digest")).alias("head"))
+    named = linked.join(heads, "comp").select("rep", F.col("head.id").alias("head_id"), (F.col("digest") == F.col("head.digest")).alias("leads"))
+    own = classes.select("digest", "rep", F.col("id").alias("lead_id")).join(named, "rep", "left")
+    own = own.select("digest", F.coalesce("head_id", "lead_id").alias("component_id"), F.coalesce("leads", F.lit(True)).alias("leads"))
+    told = some.select("id", "row", "n_shingles", "digest").join(own, "digest")
+    told = told.select("id", "row", "n_shingles", "digest", "component_id", (F.col("leads") & (F.col("id") == F.col("component_id"))).alias("kept"))
+    none = signed.filter("digest is null").select("id", "row", "n_shingles", "digest", F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    return told.unionAll(none)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, kept; one row per document."""
     real = lambda c: F.when(F.col(c) != LAST_ID, F.col(c))
-    return told.unionAll(none).select(real("id").alias("doc_id"), "n_shingles", real("component_id").alias("component_id"), (F.col("id") == F.col("component_id")).alias("kept"))
+    return resolve(docs, id_col, text_col).select(real("id").alias("doc_id"), "n_shingles", real("component_id").alias("component_id"), "kept")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

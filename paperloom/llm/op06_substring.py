@@ -13,8 +13,9 @@ occurrence travels, so that groups of copies shrink by the chunk's size before t
 
 Hashes: words by 64 bits, windows by 48 bits within an anchor of 64 bits.
 
-Defined results: a null text has no words; a null id counts as the largest; rows that repeat an id are one
-document (they don't make each other duplicates); texts under 20 words lose nothing; an empty table gives none.
+Defined results: a null text has no words; a null id counts as the largest; rows that repeat an id with one text are
+one document (they don't make each other duplicates), with different texts they are different documents, ordered by
+``row_key``; texts under 20 words lose nothing; an empty table gives none.
 Only id and text are read; carried columns keep their names.
 """
 
@@ -31,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import LAST_ID, map_arrow, table, text_of
+from paperloom.llm.common import LAST_ID, map_arrow, row_key, table, text_of
 
 WINDOW, GRAM = 20, 3
 #: Words that a task handles at once.
@@ -81,26 +82,28 @@ def _runs(breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.append(start, len(breaks)))
 
 
-def _chunk_segments(ids: np.ndarray, words: list[np.ndarray]) -> tuple[list, list, list, list, list]:
-    """Segments and settled duplicates of documents in order of their ids: anchor, doc_id, start, n, hashes."""
+def _chunk_segments(ids: np.ndarray, keys: np.ndarray, words: list[np.ndarray]) -> tuple[list, list, list, list, list, list]:
+    """Segments and settled duplicates of documents in order of (id, row): anchor, doc_id, row, start, n, hashes."""
     sizes = np.array([len(w) for w in words])
     h = np.concatenate(words)
     total = len(h)
     if total < WINDOW:
-        return [], [], [], [], []
+        return [], [], [], [], [], []
     doc = np.repeat(np.arange(len(words)), sizes)
     first = np.repeat(np.cumsum(sizes) - sizes, sizes)
     whole = np.flatnonzero(doc[: total - WINDOW + 1] == doc[WINDOW - 1 :])  # windows within one document
     window = rolling(h, _OF_WINDOW)[whole]
     anchor = sliding_min(rolling(h, _OF_GRAM), WINDOW - GRAM + 1)[whole]
     doc, start = doc[whole], (whole - first[whole]).astype(np.int64)
-    # settle what repeats in this chunk; position order is (id, start) order
+    # settle what repeats in this chunk; position order is (id, row, start) order
     order = np.argsort(window, kind="stable")
     w, a = window[order], anchor[order]
     same = np.zeros(len(order), bool)
     same[1:] = (w[1:] == w[:-1]) & (a[1:] == a[:-1])
     lead = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
-    known = ids[doc]
+    fresh = np.ones(len(ids), bool)
+    fresh[1:] = (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])
+    known = np.cumsum(fresh)[doc]  # rows of one id and text are the same document
     settled = np.zeros(len(order), bool)
     settled[order] = same & ((known[order] != known[lead]) | (start[order] != start[lead]))
     breaks = np.ones(len(whole), bool)
@@ -108,78 +111,81 @@ def _chunk_segments(ids: np.ndarray, words: list[np.ndarray]) -> tuple[list, lis
     seg, n = _runs(breaks)
     keep = np.add.reduceat(~settled, seg) > 0 if len(seg) else np.zeros(0, bool)
     raw = (window >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-    out_a, out_d, out_s, out_n, out_h = [], [], [], [], []
+    out_a, out_d, out_r, out_s, out_n, out_h = [], [], [], [], [], []
     for k, m in zip(seg[keep].tolist(), n[keep].tolist()):
         out_h.append(raw[6 * k : 6 * (k + m)])
     out_a = anchor[seg[keep]].view(np.int64).tolist()
-    out_d, out_s, out_n = known[seg[keep]].tolist(), start[seg[keep]].tolist(), n[keep].tolist()
+    out_d, out_r, out_s, out_n = ids[doc[seg[keep]]].tolist(), keys[doc[seg[keep]]].tolist(), start[seg[keep]].tolist(), n[keep].tolist()
     breaks[1:] = (settled[1:] != settled[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)
     run, n = _runs(breaks)
     bad = settled[run]
     if bad.any():
         run, n = run[bad], n[bad]
         out_a += mix((run + 1).astype(np.uint64)).view(np.int64).tolist()  # anywhere: these only pass through
-        out_d += known[run].tolist()
+        out_d += ids[doc[run]].tolist()
+        out_r += keys[doc[run]].tolist()
         out_s += start[run].tolist()
         out_n += n.tolist()
         out_h += [None] * len(run)
-    return out_a, out_d, out_s, out_n, out_h
+    return out_a, out_d, out_r, out_s, out_n, out_h
 
 
 def segments(docs: DataFrame) -> DataFrame:
-    """anchor, doc_id, start, n, hashes of docs (doc_id, text); hashes are null in settled duplicates."""
+    """anchor, doc_id, row, start, n, hashes of docs (doc_id, row, text); hashes are null in settled duplicates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
 
-        def flush(ids: list[int], words: list[np.ndarray]) -> pa.RecordBatch:
-            order = np.argsort(np.array(ids, np.int64), kind="stable")
-            a, d, s, n, h = _chunk_segments(np.array(ids, np.int64)[order], [words[k] for k in order])
+        def flush(ids: list[int], keys: list[int], words: list[np.ndarray]) -> pa.RecordBatch:
+            order = np.lexsort((np.array(keys, np.int64), np.array(ids, np.int64)))
+            a, d, r, s, n, h = _chunk_segments(np.array(ids, np.int64)[order], np.array(keys, np.int64)[order], [words[k] for k in order])
             return pa.RecordBatch.from_arrays(
-                [pa.array(a, pa.int64()), pa.array(d, pa.int64()), pa.array(s, pa.int32()), pa.array(n, pa.int32()), pa.array(h, pa.binary())],
-                ["anchor", "doc_id", "start", "n", "hashes"],
+                [pa.array(a, pa.int64()), pa.array(d, pa.int64()), pa.array(r, pa.int64()), pa.array(s, pa.int32()), pa.array(n, pa.int32()), pa.array(h, pa.binary())],
+                ["anchor", "doc_id", "row", "start", "n", "hashes"],
             )
 
         ids: list[int] = []
+        keys: list[int] = []
         words: list[np.ndarray] = []
         held = 0
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+            for doc_id, key, text in zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), batch.column("text")):
                 own = text.as_py().encode().split()
                 if len(own) < WINDOW:
                     continue
                 ids.append(doc_id)
+                keys.append(key)
                 words.append(np.fromiter(map(cache.__getitem__, own), np.uint64, len(own)))
                 held += len(own)
                 if held > CHUNK:
-                    yield flush(ids, words)
-                    ids, words, held = [], [], 0
+                    yield flush(ids, keys, words)
+                    ids, keys, words, held = [], [], [], 0
         if ids:
-            yield flush(ids, words)
+            yield flush(ids, keys, words)
 
-    return docs.mapInArrow(run, "anchor long, doc_id long, start int, n int, hashes binary")
+    return docs.mapInArrow(run, "anchor long, doc_id long, row long, start int, n int, hashes binary")
 
 
 def parse_blocks(parts: DataFrame) -> DataFrame:
-    """doc_id, start, n: runs of windows that occur earlier, in the blocks' order of (anchor, doc_id, start)."""
+    """doc_id, row, start, n: runs of windows that occur earlier, in the blocks' order of (anchor, doc_id, row, start)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # (anchor, doc_id, start) of the row before
+        last = None  # (anchor, doc_id, row, start) of the row before
         seen = np.zeros(0, np.uint64)  # windows of the block that goes on in the next batch
         for batch in batches:
             n_all = batch.column("n").to_numpy()
-            doc_all, start_all = batch.column("doc_id").to_numpy(), batch.column("start").to_numpy().astype(np.int64)
+            doc_all, key_all, start_all = batch.column("doc_id").to_numpy(), batch.column("row").to_numpy(), batch.column("start").to_numpy().astype(np.int64)
             hashes = batch.column("hashes")
             passing = hashes.is_null().to_numpy(zero_copy_only=False)
-            out_d, out_s, out_n = [doc_all[passing]], [start_all[passing]], [n_all[passing].astype(np.int64)]
+            out_d, out_r, out_s, out_n = [doc_all[passing]], [key_all[passing]], [start_all[passing]], [n_all[passing].astype(np.int64)]
             rows = np.flatnonzero(~passing)
             if len(rows):
-                anchor, doc, start, n = batch.column("anchor").to_numpy()[rows], doc_all[rows], start_all[rows], n_all[rows].astype(np.int64)
+                anchor, doc, own_key, start, n = batch.column("anchor").to_numpy()[rows], doc_all[rows], key_all[rows], start_all[rows], n_all[rows].astype(np.int64)
                 raw = np.frombuffer(b"".join(x for x in hashes.to_pylist() if x is not None), np.uint8).reshape(-1, 6)
-                # rows of one id and place are the same document
+                # rows of one id, text and place are the same document
                 again = np.zeros(len(rows), bool)
-                again[1:] = (anchor[1:] == anchor[:-1]) & (doc[1:] == doc[:-1]) & (start[1:] == start[:-1])
-                again[0] = last == (anchor[0], doc[0], start[0])
+                again[1:] = (anchor[1:] == anchor[:-1]) & (doc[1:] == doc[:-1]) & (own_key[1:] == own_key[:-1]) & (start[1:] == start[:-1])
+                again[0] = last == (anchor[0], doc[0], own_key[0], start[0])
                 fresh_block = np.ones(len(rows), bool)
                 fresh_block[1:] = anchor[1:] != anchor[:-1]
                 block = np.cumsum(fresh_block) - 1
@@ -201,27 +207,28 @@ def parse_blocks(parts: DataFrame) -> DataFrame:
                     seen = np.zeros(0, np.uint64)
                 own = value[block[place] == block[-1]]
                 seen = np.unique(np.concatenate([seen, own])) if block[-1] == 0 else np.unique(own)
-                last = (anchor[-1], doc[-1], start[-1])
+                last = (anchor[-1], doc[-1], own_key[-1], start[-1])
                 hits = np.flatnonzero(hit)
                 if len(hits):
                     breaks = np.ones(len(hits), bool)
                     breaks[1:] = (place[hits[1:]] != place[hits[:-1]]) | (at[hits[1:]] != at[hits[:-1]] + 1)
                     first, length = _runs(breaks)
                     out_d.append(doc[place[hits[first]]])
+                    out_r.append(own_key[place[hits[first]]])
                     out_s.append(at[hits[first]])
                     out_n.append(length)
-            d, s, m = map(np.concatenate, (out_d, out_s, out_n))
+            d, r, s, m = map(np.concatenate, (out_d, out_r, out_s, out_n))
             if len(d):
-                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(s, pa.int64()), pa.array(m, pa.int64())], ["doc_id", "start", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (d, r, s, m)], ["doc_id", "row", "start", "n"])
 
-    return parts.mapInArrow(run, "doc_id long, start long, n long")
+    return parts.mapInArrow(run, "doc_id long, row long, start long, n long")
 
 
 def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, spans: array<struct<start, n>> of windows (start, number of windows) that occur earlier."""
-    d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc_id"), text_of(text_col).alias("text"))
-    blocks = segments(d).repartition("anchor").sortWithinPartitions("anchor", "doc_id", "start")
-    return parse_blocks(blocks).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    """doc_id, row, spans: array<struct<start, n>> of windows (start, number of windows) that occur earlier."""
+    d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc_id"), row_key(id_col, text_col).alias("row"), text_of(text_col).alias("text"))
+    blocks = segments(d).repartition("anchor").sortWithinPartitions("anchor", "doc_id", "row", "start")
+    return parse_blocks(blocks).groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
 
 def covered(n_words: int, spans) -> np.ndarray:
@@ -242,10 +249,10 @@ def _pack(batch: pa.RecordBatch) -> pa.RecordBatch:
 def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with ``_packed`` (the compressed text; it is moved once) in place of the text, and ``_spans``."""
     rest = [c for c in docs.columns if c != text_col]
-    d = docs.select(*rest, F.col(text_col).alias("_text"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("_id"))
+    d = docs.select(*rest, F.col(text_col).alias("_text"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("_id"), row_key(id_col, text_col).alias("_row"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields if f.name != "_text") + ", _packed binary"
-    spans = duplicate_spans(docs, id_col, text_col).select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"))
-    return map_arrow(d, _pack, schema).join(spans, "_id", "left").drop("_id")
+    spans = duplicate_spans(docs, id_col, text_col).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.col("spans").alias("_spans"))
+    return map_arrow(d, _pack, schema).join(spans, ["_id", "_row"], "left").drop("_id", "_row")
 
 
 def _unpack(packed: bytes | None) -> str | None:

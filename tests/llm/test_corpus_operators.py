@@ -218,3 +218,30 @@ def test_pipeline_stages(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         stage(spark, odd, SF).collect()
         stage(spark, odd.limit(0), SF).collect()
+
+
+def test_documents_without_or_with_equal_ids_stay_apart(spark, documents):
+    import corpus_pipeline
+
+    shared = prose(1, 40)
+    texts = [prose(200 + k, 60) for k in range(4)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1].upper()), (5, texts[2]), (5, texts[3]), (5, texts[3]), (6, f"{texts[3]} end"), (None, None)]
+    got = sorted((r["doc_id"] or 0, r["component_id"] or 0, r["n_shingles"], r["kept"]) for r in near.near_duplicates(documents(rows)).collect())
+    assert got == sorted([*[(0, 0, 56, True)] * 3, *[(5, 5, 56, True)] * 3, (6, 5, 57, False), (0, 0, 0, True)])
+    left = corpus_pipeline.minhash_near_dedup(spark, documents(rows), "").collect()
+    assert sorted((r["doc_id"] or 0, (r["text"] or "").lower()) for r in left) == sorted([(0, texts[0]), (0, texts[1]), (5, texts[2]), (5, texts[3]), (0, "")])
+    # near copies under one id: one of them stays
+    near_copies = [(7, f"{texts[0]} {k}") for k in range(3)]
+    assert [r["kept"] for r in near.near_duplicates(documents(near_copies)).collect()].count(True) == 1
+    # passages: of two texts under one id (or none) one loses the shared words, the own words of both stay
+    for i in (None, 8):
+        rows = [(i, f"{shared} {texts[0]}"), (i, f"{texts[1]} {shared}"), (i, f"{texts[1]} {shared}"), (i, f"{shared} {texts[2]}")]
+        for chunk in (passages.CHUNK, 60):
+            with pytest.MonkeyPatch.context() as m:
+                m.setattr(passages, "CHUNK", chunk)
+                got = [r["text"] for r in passages.remove_duplicates(documents(rows)).collect()]
+            assert sorted(x.replace(shared, "").strip() for x in got) == sorted([texts[0], texts[1], texts[1], texts[2]])
+            assert len({x for x in got if shared in x}) == 1
+    # language: every row by its own text
+    rows = [(i, t) for i in (None, 9) for t in ("the text of the house and the garden", "12345 678", "more text for the garden and the house")]
+    assert sorted(r["text"] for r in corpus_pipeline.language_id(spark, documents(rows), "").collect()) == sorted(t for _, t in rows if t[0] != "1")
