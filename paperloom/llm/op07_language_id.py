@@ -44,7 +44,8 @@ def _buckets(text: str) -> tuple[np.ndarray, int]:
     """Trigram buckets of the lower-case text, white space as one blank, and the number of letters."""
     low = text.lower()
     c = np.frombuffer(f" {' '.join(low.split())} ".encode("utf-32-le"), np.uint32)
-    letters = sum(map(str.isalpha, low[:4096])) if len(low) <= 4096 else int(((c > 96) & (c != 0xD7) & (c != 0xF7) & ~((c > 122) & (c < 0xC0))).sum())
+    kinds, many = np.unique(c, return_counts=True)
+    letters = sum(n for x, n in zip(kinds.tolist(), many.tolist()) if chr(x).isalpha())
     if len(c) < 3:
         return np.zeros(0, np.int64), letters
     c = c.astype(np.uint64)

@@ -245,3 +245,13 @@ def test_documents_without_or_with_equal_ids_stay_apart(spark, documents):
     # language: every row by its own text
     rows = [(i, t) for i in (None, 9) for t in ("the text of the house and the garden", "12345 678", "more text for the garden and the house")]
     assert sorted(r["text"] for r in corpus_pipeline.language_id(spark, documents(rows), "").collect()) == sorted(t for _, t in rows if t[0] != "1")
+
+
+def test_letters_by_one_rule_at_all_lengths(spark, documents):
+    for sample in ("•", "─", "—", "\U0001f600", "a", "ªµº", "Straße × ÷ 日本 “x”—\n", "İ"):
+        for size in (4000, 4096, 4097, 5000):
+            text = (sample * size)[:size]
+            assert language._buckets(text)[1] == sum(map(str.isalpha, text.lower())), (sample, size)
+    rows = [(1, "the house and the garden"), (2, "•" * 4000), (3, "•" * 5000)]
+    got = {r["doc_id"]: (r["letters"], r["language"], r["accepted"]) for r in language.identify(language.documents_evidence(documents(rows))).collect()}
+    assert got[2] == got[3] == (0, None, False) and got[1][2]
