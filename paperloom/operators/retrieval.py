@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +14,9 @@ from paperloom.functions.text import TERM, query_terms, trigram_similarity, trig
 K1, B = 1.5, 0.75
 RRF_K = 60
 PAGE = 100
+#: Vectors and queries that are scored at once.
+VECTORS, QUERIES = 4096, 256
+_NO_ID = 2**63 - 1
 
 
 def tokens(text: Column) -> Column:
@@ -62,6 +69,77 @@ def nearest(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_i
     return d.orderBy("distance", "id").limit(k)
 
 
+def _blocks(rows: DataFrame, size: int, prefix: str) -> DataFrame:
+    """Blocks of at most size rows (id, row, cell, v): a row each, with the columns' values as bytes; v as unit vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, size):
+                part = batch.slice(start, size)
+                v = np.array(part.column("v").to_pylist(), np.float64)
+                length = np.sqrt((v * v).sum(1))
+                good = length > 0  # without a direction nothing is near
+                if not good.any():
+                    continue
+                own = [part.column(c).to_numpy()[good].tobytes() for c in ("id", "row", "cell")]
+                own.append((v[good] / length[good, None]).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in own], [f"{prefix}{c}" for c in ("id", "row", "cell", "v")])
+
+    return rows.mapInArrow(run, ", ".join(f"{prefix}{c} binary" for c in ("id", "row", "cell", "v")))
+
+
+def nearest_each(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", column: str = "embedding", cell: str | None = None) -> DataFrame:
+    """(query_id, query_row, id, distance, rank): the exact k neighbours of every query among all vectors, by (distance, id).
+
+    Blocks of queries meet blocks of vectors. A task keeps the best k of each of its queries, and only these are ranked.
+    Distances are cosine distances to nine digits, so that equal vectors tie. ``query_row`` tells queries of one id
+    apart. With ``cell`` only vectors equal to the query in that column are candidates.
+    """
+
+    def rows(d: DataFrame) -> DataFrame:
+        own = F.xxhash64(cell) if cell else F.lit(0).cast("long")
+        d = d.filter(F.col(column).isNotNull() & (F.col(cell).isNotNull() if cell else F.lit(True)))
+        return d.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(column).alias("row"), own.alias("cell"), F.col(column).cast("array<double>").alias("v"))
+
+    def best(q: np.ndarray, ids: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.lexsort((ids, far, q))
+        q, ids, far = q[order], ids[order], far[order]
+        top = np.arange(len(q)) - np.searchsorted(q, q) < k
+        return q[top], ids[top], far[top]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[tuple[bytes, bytes, bytes], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                key = (r["qid"], r["qrow"], r["qcell"])
+                ids = np.frombuffer(r["vid"], np.int64)
+                q = np.frombuffer(r["qv"]).reshape(len(r["qid"]) // 8, -1)
+                far = np.round(1 - q @ np.frombuffer(r["vv"]).reshape(len(ids), -1).T, 9) + 0.0
+                if cell:
+                    far[np.frombuffer(r["qcell"], np.int64)[:, None] != np.frombuffer(r["vcell"], np.int64)] = np.inf
+                last = np.partition(far, k - 1, axis=1)[:, k - 1 : k] if len(ids) > k else np.full((len(q), 1), np.inf)
+                i, j = np.nonzero((far <= last) & (far < np.inf))
+                new = (i, ids[j], far[i, j])
+                kept[key] = best(*(np.concatenate(x) for x in zip(kept[key], new))) if key in kept else best(*new)
+        for (qid, qrow, _), (i, ids, far) in kept.items():
+            own = [np.frombuffer(x, np.int64)[i] for x in (qid, qrow)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*own, ids, far)], ["query_id", "query_row", "id", "distance"])
+
+    asked = _blocks(rows(queries).dropDuplicates(["id", "row", "cell"]), QUERIES, "q")
+    d = _blocks(rows(vectors), VECTORS, "v").crossJoin(asked).mapInArrow(run, "query_id long, query_row long, id long, distance double")
+    w = Window.partitionBy("query_id", "query_row").orderBy("distance", "id")
+    real = lambda c: F.when(F.col(c) != _NO_ID, F.col(c)).alias(c)
+    return d.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(real("query_id"), "query_row", real("id"), "distance", "rank")
+
+
+def recall_each(exact: DataFrame, approximate: DataFrame) -> DataFrame:
+    """query_id, found, wanted, recall of every query that has exact neighbours (rows of ``nearest_each``)."""
+    keys = ["query_id", "query_row", "id"]
+    hit = approximate.select(*keys).distinct().withColumn("hit", F.lit(1))
+    d = exact.select(*keys).distinct().join(hit, keys, "left").groupBy("query_id", "query_row").agg(F.count("hit").alias("found"), F.count("*").alias("wanted"))
+    return d.select("query_id", "found", "wanted", (F.col("found") / F.col("wanted")).alias("recall"))
+
+
 def alias_hits(docs: DataFrame, aliases: list[str], threshold: float, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per alias the k texts of the highest trigram similarity above the threshold."""
     d = docs.select(F.col(id_col).alias("id"), trigrams(F.col(text_col)).alias("g"))
@@ -102,4 +180,4 @@ def recall_at_k(exact: DataFrame, approximate: DataFrame, key: str = "id") -> Da
     return d.select("found", "wanted", F.when(F.col("wanted") == 0, 1.0).otherwise(F.col("found") / F.col("wanted")).alias("recall"))
 
 
-__all__ = ["alias_hits", "bm25", "channel", "cosine_distance", "fuse", "nearest", "postings", "query_terms", "recall_at_k", "recall_page"]
+__all__ = ["alias_hits", "bm25", "channel", "cosine_distance", "fuse", "nearest", "nearest_each", "postings", "query_terms", "recall_at_k", "recall_each", "recall_page"]

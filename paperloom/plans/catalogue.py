@@ -134,6 +134,29 @@ def knn_recall_gate(spark, d):
     return retrieval.recall_at_k(retrieval.nearest(v, q, 10), retrieval.nearest(same, q, 10)).withColumn("passes", F.col("recall") >= 0.98)
 
 
+_EACH = f"""qs AS (SELECT vec_id AS query_id, label AS query_label, embedding AS q FROM embeddings WHERE vec_id % 100 = 0),
+k AS (SELECT query_id, vec_id, label = query_label AS near, round({_DIST}, 9) AS distance FROM (SELECT vec_id, label, embedding AS e, qs.* FROM embeddings, qs))"""
+
+
+def _queries(vectors: DataFrame) -> DataFrame:
+    return vectors.filter(F.col("vec_id") % 100 == 0)
+
+
+@query(f"WITH {_EACH} SELECT query_id, vec_id, round(distance, 5) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY k.distance, vec_id) AS rank FROM k QUALIFY rank <= 20")
+def knn_exact_each(spark, d):
+    v = load(spark, d, "embeddings")
+    return retrieval.nearest_each(v, _queries(v), 20).select("query_id", F.col("id").alias("vec_id"), rounded("distance", 5).alias("distance"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"""WITH {_EACH}, e AS (SELECT query_id, vec_id FROM k QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) <= 10),
+a AS (SELECT query_id, vec_id, 1 AS hit FROM k WHERE near QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) <= 10)
+SELECT query_id, count(hit) AS found, count(*) AS wanted, count(hit) / count(*) AS recall, count(hit) / count(*) >= 0.98 AS passes FROM e LEFT JOIN a USING (query_id, vec_id) GROUP BY query_id""")
+def knn_recall_gate_each(spark, d):
+    v = load(spark, d, "embeddings")
+    q = _queries(v)
+    return retrieval.recall_each(retrieval.nearest_each(v, q, 10), retrieval.nearest_each(v, q, 10, cell="label")).withColumn("passes", F.col("recall") >= 0.98)
+
+
 @query("SELECT count(DISTINCT doc_id) AS gap FROM documents ANTI JOIN embeddings ON doc_id = vec_id")
 def embedding_gap(spark, d):
     return load(spark, d, "documents").join(load(spark, d, "embeddings"), F.col("doc_id") == F.col("vec_id"), "left_anti").agg(F.countDistinct("doc_id").alias("gap"))
