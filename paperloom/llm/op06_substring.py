@@ -1,12 +1,11 @@
-"""Substring dedup by relative Lempel-Ziv parsing against an index of reference blocks.
+"""Substring dedup by window hashes in an index of anchored blocks.
 
 Every window of 20 words is an entry of the index, filed under its anchor: the smallest hash of its 18 three-word
 grams. Equal windows have equal anchors, so an index block (all segments of one anchor) holds every earlier
 occurrence of its windows, and a document's consecutive windows of one anchor form one segment that is sent to one
-block. There the segment is parsed greedily: it is matched window by window against all earlier segments of the
-block, and consecutive hits make a factor. Factors are found in steps of one word, so the windows across a
-factor's boundaries are looked up like all others; factors that meet at segment boundaries join. Every factor has
-at least 20 words and becomes a duplicate span.
+block. There the block's window hashes are sorted, and windows that occur earlier are hits; consecutive hits make a
+span, whose windows may come from different sources. No longest factor with one source is looked for. Spans that
+meet at segment boundaries join; every span has at least 20 words.
 
 Within a task, windows that repeat in the same chunk of documents are settled before the shuffle: only their first
 occurrence travels, so that groups of copies shrink by the chunk's size before they meet.
