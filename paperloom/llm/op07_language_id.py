@@ -1,22 +1,24 @@
 """Language identification by Bayesian evidence fusion.
 
 Four kinds of evidence are combined for every document: the likelihood of its character trigrams, the language it
-declares, the suffix of its address, and a prior of its host. The trigram model, the reliability of declarations,
-the suffix table and the priors are all grouped aggregations over every document; the host prior is smoothed
-towards its suffix's distribution and that one towards the corpus.
+declares, the suffix of its address, and a prior of its host. The languages are those that enough documents declare.
+The trigram model, the reliability of declarations, the suffix table and the priors are all grouped aggregations over
+every document; the host prior is smoothed towards its suffix's distribution and that one towards the corpus.
 
 A document is rejected if its text has fewer than ``min_letters`` letters, or if no language reaches
-``min_posterior``.
+``min_posterior``. A text in a language that hardly any document declares is given the nearest one modelled.
 
 Defined results: a null or empty text has no letters and is rejected with language null; a null or unknown
-declaration, address or host is evidence of its own category; rows pass one to one, repeated rows alike; on an
-empty table the result is empty. Only the named columns are read.
+declaration, address or host is evidence of its own category; where no document declares a language all texts with
+letters are ``und``; rows pass one to one, repeated rows alike; very long texts are read whole, in slices of bounded
+size; on an empty table the result is empty. Only the named columns are read, so others can't clash.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +28,16 @@ from pyspark.sql import functions as F
 from paperloom.llm.common import cut_lineage, table, text_of
 
 BUCKETS = 1 << 15
+#: Characters of a text that are looked at together.
+SLICE = 1 << 17
 
 
 @dataclass(frozen=True)
 class Config:
-    languages: tuple[str, ...] = ("de", "en", "es", "fr")
+    #: The modelled languages; None takes every tag that ``least_share`` of the declaring documents declare.
+    languages: tuple[str, ...] | None = None
+    #: Bounds the number of languages, and with it what the driver holds, by its inverse.
+    least_share: float = 0.005
     #: Trigrams of one text are strongly dependent; it counts as at most so many independent ones.
     most_evidence: float = 60.0
     smoothing: float = 0.5
@@ -40,23 +47,53 @@ class Config:
     min_posterior: float = 0.5
 
 
-def _buckets(text: str) -> tuple[np.ndarray, int]:
-    """Trigram buckets of the lower-case text, white space as one blank, and the number of letters."""
-    low = text.lower()
-    c = np.frombuffer(f" {' '.join(low.split())} ".encode("utf-32-le"), np.uint32)
-    kinds, many = np.unique(c, return_counts=True)
-    letters = sum(n for x, n in zip(kinds.tolist(), many.tolist()) if chr(x).isalpha())
-    if len(c) < 3:
-        return np.zeros(0, np.int64), letters
-    c = c.astype(np.uint64)
-    h = (c[:-2] * np.uint64(0x9E3779B97F4A7C15)) ^ (c[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (c[2:] * np.uint64(0x165667B19E3779F9))
-    return ((h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(49)).astype(np.int64), letters
+@functools.lru_cache(maxsize=1)
+def _alphabet() -> np.ndarray:
+    """str.isalpha of every code point."""
+    return np.fromiter((chr(x).isalpha() for x in range(0x110000)), bool, 0x110000)
 
 
-def declared_language(column: Column, languages: tuple[str, ...]) -> Column:
-    """The primary tag in lower case; ``other`` if it isn't modelled, ``none`` if there is none."""
+def _slices(text: str) -> Iterator[tuple[np.ndarray, int]]:
+    """Trigram buckets of the lower-case text, white space as one blank, and its letters, in slices of bounded size.
+
+    Slices share their last two characters, so that the buckets are those of the whole text.
+    """
+    low, before, blank = text.lower(), "", True
+    for at in range(0, len(low), SLICE):
+        raw = low[at : at + SLICE]
+        part = " ".join(raw.split())
+        if part:
+            part = f"{' ' if blank or raw[0].isspace() else ''}{part}"
+            blank = raw[-1].isspace()
+        else:
+            blank = True
+        last = at + SLICE >= len(low)
+        c = np.frombuffer(f"{before}{part}{' ' if last and (part or before) else ''}".encode("utf-32-le", "surrogatepass"), np.uint32)
+        letters = int(_alphabet()[c[len(before) :]].sum())
+        before = f"{before}{part}"[-2:]
+        if len(c) < 3:
+            yield np.zeros(0, np.int32), letters
+            continue
+        x = c.astype(np.uint64)
+        h = x[:-2] * np.uint64(0x9E3779B97F4A7C15)
+        h ^= x[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F)
+        h ^= x[2:] * np.uint64(0x165667B19E3779F9)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h >>= np.uint64(49)
+        yield h.astype(np.int32), letters
+
+
+def declared_language(column: Column) -> Column:
+    """The primary tag in lower case, ``none`` if there is none."""
     tag = F.lower(F.regexp_extract(F.coalesce(column.cast("string"), F.lit("")), r"^\s*([A-Za-z]{2,3})(?![A-Za-z])", 1))
-    return F.when(tag == "", "none").when(tag.isin(*languages), tag).otherwise("other")
+    return F.when(tag == "", "none").otherwise(tag)
+
+
+def declared_languages(rows: DataFrame, config: Config) -> tuple[str, ...]:
+    """The tags declared often enough, in order; ``und`` alone where nothing is declared."""
+    told = rows.filter("declared <> 'none'").groupBy("declared").agg(F.count("*").alias("n"))  # tags of two or three letters
+    often = told.join(F.broadcast(told.agg(F.sum("n").alias("all"))), F.col("n") >= config.least_share * F.col("all"))  # one row
+    return tuple(sorted(r["declared"] for r in often.collect())) or ("und",)
 
 
 def address_host(url: Column) -> Column:
@@ -68,13 +105,13 @@ def markup_language(html: Column) -> Column:
     return F.regexp_extract(F.coalesce(html, F.lit("")), r"(?i)<html[^>]*?\slang\s*=\s*[\"']?([A-Za-z]{2,3})", 1)
 
 
-def evidence(docs: DataFrame, config: Config, text: Column | None = None, declared: Column | None = None, url: Column | None = None, host: Column | None = None) -> DataFrame:
+def evidence(docs: DataFrame, text: Column | None = None, declared: Column | None = None, url: Column | None = None, host: Column | None = None) -> DataFrame:
     """doc_id, text, declared, suffix, host. Without an address the suffix is empty."""
     from_url = address_host(url) if url is not None else F.lit("")
     return docs.select(
         "doc_id",
         (text if text is not None else text_of()).alias("text"),
-        declared_language(declared if declared is not None else F.lit(None), config.languages).alias("declared"),
+        declared_language(declared if declared is not None else F.lit(None)).alias("declared"),
         F.regexp_extract(from_url, r"\.([a-z]{2,})$", 1).alias("suffix"),
         F.coalesce(host, from_url).alias("host") if host is not None else from_url.alias("host"),
     )
@@ -92,11 +129,10 @@ def trigram_model(rows: DataFrame, config: Config) -> np.ndarray:
         total = np.zeros((len(languages), BUCKETS), np.int64)
         place = {x: i for i, x in enumerate(languages)}
         for batch in batches:
-            waiting: dict[int, list[np.ndarray]] = {}
             for text, lang in zip(batch.column("text"), batch.column("declared").to_pylist()):
-                waiting.setdefault(place[lang], []).append(_buckets(text.as_py())[0])
-            for k, parts in waiting.items():
-                total[k] += np.bincount(np.concatenate(parts), minlength=BUCKETS)
+                own = total[place[lang]]
+                for b, _ in _slices(text.as_py()):
+                    own += np.bincount(b, minlength=BUCKETS)
         k, b = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(total[k, b])], ["k", "bucket", "n"])
 
@@ -115,9 +151,11 @@ def likelihoods(rows: DataFrame, model: np.ndarray, config: Config) -> DataFrame
         for batch in batches:
             ll, letters = [], []
             for text in batch.column("text"):
-                b, n = _buckets(text.as_py())
-                s = model32[b].sum(0, dtype=np.float64) if len(b) else np.zeros(model32.shape[1])
-                s *= min(1.0, config.most_evidence / max(1, len(b)))
+                s, n, size = np.zeros(model32.shape[1]), 0, 0
+                for b, own in _slices(text.as_py()):
+                    s += model32[b].sum(0, dtype=np.float64)
+                    n, size = n + own, size + len(b)
+                s *= min(1.0, config.most_evidence / max(1, size))
                 ll.append((s - s.max()).tolist())
                 letters.append(n)
             yield pa.RecordBatch.from_arrays(
@@ -131,7 +169,10 @@ def likelihoods(rows: DataFrame, model: np.ndarray, config: Config) -> DataFrame
 
 def identify(rows: DataFrame, config: Config = Config()) -> DataFrame:
     """doc_id, language, posterior, letters, accepted for rows of ``evidence``."""
+    config = replace(config, languages=config.languages or declared_languages(rows, config))
     n = len(config.languages)
+    modelled = F.col("declared").isin(*config.languages, "none")
+    rows = rows.withColumn("declared", F.when(modelled, F.col("declared")).otherwise("other"))
     scored = cut_lineage(likelihoods(rows, trigram_model(rows, config), config))
     told = scored.filter(F.col("letters") >= config.min_letters)
     # bounded: declarations are the modelled languages, other and none
@@ -167,16 +208,22 @@ def identify(rows: DataFrame, config: Config = Config()) -> DataFrame:
     return d.withColumn("accepted", enough & (F.col("posterior") >= config.min_posterior))
 
 
-def documents_evidence(docs: DataFrame, config: Config = Config()) -> DataFrame:
+def documents_evidence(docs: DataFrame) -> DataFrame:
     """The corpus table: ``lang`` is what a document declares, ``source`` stands for its host."""
-    return evidence(docs, config, declared=F.col("lang"), host=F.coalesce(F.col("source"), F.lit("")))
+    return evidence(docs, declared=F.col("lang"), host=F.coalesce(F.col("source"), F.lit("")))
 
 
-def pages_evidence(pages: DataFrame, config: Config = Config()) -> DataFrame:
+def pages_evidence(pages: DataFrame) -> DataFrame:
     """Raw pages: the markup declares the language, the address gives suffix and host."""
     text = F.regexp_replace(F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>", " "), r"(?s)<[^>]*>", " ")
-    return evidence(pages.withColumn("doc_id", F.col("page_id")), config, text=text, declared=markup_language(F.col("html")), url=F.col("url"))
+    return evidence(pages.withColumn("doc_id", F.col("page_id")), text=text, declared=markup_language(F.col("html")), url=F.col("url"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     return identify(documents_evidence(table(spark, sf_dir, "documents")))
+
+
+def pages_query(spark, sf_dir: str) -> DataFrame:
+    """All pages: what the markup declares, the address suffix and the host's prior all act."""
+    found = identify(pages_evidence(table(spark, sf_dir, "pages")))
+    return found.select(F.col("doc_id").alias("page_id"), "language", "posterior", "letters", "accepted")
