@@ -1,21 +1,26 @@
-"""Substring dedup by window hashes in an index of anchored blocks.
+"""Substring dedup by relative Lempel-Ziv parsing against anchored reference blocks.
 
-Every window of 20 words is an entry of the index, filed under its anchor: the smallest hash of its 18 three-word
-grams. Equal windows have equal anchors, so an index block (all segments of one anchor) holds every earlier
-occurrence of its windows, and a document's consecutive windows of one anchor form one segment that is sent to one
-block. There the block's window hashes are sorted, and windows that occur earlier are hits; consecutive hits make a
-span, whose windows may come from different sources. No longest factor with one source is looked for. Spans that
-meet at segment boundaries join; every span has at least 20 words.
+Every window of 20 words is filed under its anchor: the smallest hash of its six-word grams. Equal windows have equal
+anchors, so the reference block of an anchor holds every earlier occurrence of its windows, and a document's consecutive
+windows of one anchor form one segment that is sent to one block: every document meets every block that can hold a
+match of it.
 
-Within a task, windows that repeat in the same chunk of documents are settled before the shuffle: only their first
-occurrence travels, so that groups of copies shrink by the chunk's size before they meet.
+In a block the segments are parsed greedily, in order of (doc_id, row, start), against those before them: a factor is the
+longest match that begins at a position, with its source, and the next one begins where it ends. At that boundary, and
+at the segment's ends, the windows across it are checked by themselves: each that occurs earlier begins a factor of its
+own. Factors are at least 20 words long; those that meet or overlap make one duplicate span.
+
+Within a task, windows that repeat in the same chunk of documents are settled before the shuffle (as factors of their
+first source): only their first occurrence travels, so that groups of copies shrink by the chunk's size before they meet.
+Anchors that many documents of a bounded sample share (a licence line in a third of all documents) are split by the
+window's hash, so no block is large; the sample only decides how blocks are laid out, never what is found.
 
 Hashes: words by 64 bits, windows by 48 bits within an anchor of 64 bits.
 
 Defined results: a null text has no words; a null id counts as the largest; rows that repeat an id with one text are
 one document (they don't make each other duplicates), with different texts they are different documents, ordered by
-``row_key``; texts under 20 words lose nothing; an empty table gives none.
-Only id and text are read; carried columns keep their names.
+``row_key``; texts under 20 words lose nothing; very long texts are hashed whole, their spans merged per document; an
+empty table gives none. Carried columns keep their names, whatever they are.
 """
 
 from __future__ import annotations
@@ -33,10 +38,14 @@ from pyspark.sql import functions as F
 
 from paperloom.llm.common import LAST_ID, map_arrow, row_key, table, text_of
 
-WINDOW, GRAM = 20, 3
+WINDOW, GRAM = 20, 6
+#: Documents that tell which anchors are hot, and the least share of them that makes an anchor hot.
+SAMPLE, HOT = 5_000, 0.01
 #: Words that a task handles at once.
 CHUNK = 1_000_000
 CACHE = 500_000
+#: Segments parsed together; their blocks are numbered by 16 bits.
+MOST_ROWS = 10_000
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _RNG = np.random.default_rng(20)
 _OF_WINDOW = _RNG.integers(1, 1 << 63, WINDOW, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -81,18 +90,27 @@ def _runs(breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.append(start, len(breaks)))
 
 
-def _chunk_segments(ids: np.ndarray, keys: np.ndarray, words: list[np.ndarray]) -> tuple[list, list, list, list, list, list]:
-    """Segments and settled duplicates of documents in order of (id, row): anchor, doc_id, row, start, n, hashes."""
+def _anchored(h: np.ndarray, whole: np.ndarray | slice, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and anchor of the windows; a hot anchor is mixed with the window's hash."""
+    window = rolling(h, _OF_WINDOW)[whole]
+    anchor = sliding_min(rolling(h, _OF_GRAM), WINDOW - GRAM + 1)[whole]
+    if len(hot):
+        k = np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)
+        anchor = np.where(hot[k] == anchor, mix(anchor ^ window), anchor)
+    return window, anchor
+
+
+def _chunk_segments(ids: np.ndarray, keys: np.ndarray, words: list[np.ndarray], hot: np.ndarray) -> tuple[list, list, list, list, list, list, list]:
+    """Segments and settled factors of documents in order of (id, row): anchor, doc_id, row, start, n, hashes, source."""
     sizes = np.array([len(w) for w in words])
     h = np.concatenate(words)
     total = len(h)
     if total < WINDOW:
-        return [], [], [], [], [], []
+        return [], [], [], [], [], [], []
     doc = np.repeat(np.arange(len(words)), sizes)
     first = np.repeat(np.cumsum(sizes) - sizes, sizes)
     whole = np.flatnonzero(doc[: total - WINDOW + 1] == doc[WINDOW - 1 :])  # windows within one document
-    window = rolling(h, _OF_WINDOW)[whole]
-    anchor = sliding_min(rolling(h, _OF_GRAM), WINDOW - GRAM + 1)[whole]
+    window, anchor = _anchored(h, whole, hot)
     doc, start = doc[whole], (whole - first[whole]).astype(np.int64)
     # settle what repeats in this chunk; position order is (id, row, start) order
     order = np.argsort(window, kind="stable")
@@ -103,6 +121,8 @@ def _chunk_segments(ids: np.ndarray, keys: np.ndarray, words: list[np.ndarray])
     fresh = np.ones(len(ids), bool)
     fresh[1:] = (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])
     known = np.cumsum(fresh)[doc]  # rows of one id and text are the same document
+    source = np.zeros(len(order), np.int64)
+    source[order] = lead
     settled = np.zeros(len(order), bool)
     settled[order] = same & ((known[order] != known[lead]) | (start[order] != start[lead]))
     breaks = np.ones(len(whole), bool)
@@ -115,7 +135,7 @@ def _chunk_segments(ids: np.ndarray, keys: np.ndarray, words: list[np.ndarray])
         out_h.append(raw[6 * k : 6 * (k + m)])
     out_a = anchor[seg[keep]].view(np.int64).tolist()
     out_d, out_r, out_s, out_n = ids[doc[seg[keep]]].tolist(), keys[doc[seg[keep]]].tolist(), start[seg[keep]].tolist(), n[keep].tolist()
-    breaks[1:] = (settled[1:] != settled[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)
+    breaks[1:] = (settled[1:] != settled[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1) | (settled[1:] & (source[1:] != source[:-1] + 1))
     run, n = _runs(breaks)
     bad = settled[run]
     if bad.any():
@@ -126,21 +146,31 @@ def _chunk_segments(ids: np.ndarray, keys: np.ndarray, words: list[np.ndarray])
         out_s += start[run].tolist()
         out_n += n.tolist()
         out_h += [None] * len(run)
-    return out_a, out_d, out_r, out_s, out_n, out_h
+    from_ = [None] * int(keep.sum())
+    if bad.any():
+        from_ += [{"doc_id": i, "row": r, "start": at} for i, r, at in zip(ids[doc[source[run]]].tolist(), keys[doc[source[run]]].tolist(), start[source[run]].tolist())]
+    return out_a, out_d, out_r, out_s, out_n, out_h, from_
+
+
+SOURCE = "source struct<doc_id:bigint,row:bigint,start:bigint>"
+_SOURCE = pa.struct([("doc_id", pa.int64()), ("row", pa.int64()), ("start", pa.int64())])
 
 
-def segments(docs: DataFrame) -> DataFrame:
-    """anchor, doc_id, row, start, n, hashes of docs (doc_id, row, text); hashes are null in settled duplicates."""
+def segments(docs: DataFrame, hot: np.ndarray) -> DataFrame:
+    """anchor, doc_id, row, start, n, hashes, source of docs (doc_id, row, text).
+
+    Settled factors have a source and no hashes. hot: the sorted anchors to split.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
 
         def flush(ids: list[int], keys: list[int], words: list[np.ndarray]) -> pa.RecordBatch:
             order = np.lexsort((np.array(keys, np.int64), np.array(ids, np.int64)))
-            a, d, r, s, n, h = _chunk_segments(np.array(ids, np.int64)[order], np.array(keys, np.int64)[order], [words[k] for k in order])
+            a, d, r, s, n, h, f = _chunk_segments(np.array(ids, np.int64)[order], np.array(keys, np.int64)[order], [words[k] for k in order], hot)
             return pa.RecordBatch.from_arrays(
-                [pa.array(a, pa.int64()), pa.array(d, pa.int64()), pa.array(r, pa.int64()), pa.array(s, pa.int32()), pa.array(n, pa.int32()), pa.array(h, pa.binary())],
-                ["anchor", "doc_id", "row", "start", "n", "hashes"],
+                [pa.array(a, pa.int64()), pa.array(d, pa.int64()), pa.array(r, pa.int64()), pa.array(s, pa.int32()), pa.array(n, pa.int32()), pa.array(h, pa.binary()), pa.array(f, _SOURCE)],
+                ["anchor", "doc_id", "row", "start", "n", "hashes", "source"],
             )
 
         ids: list[int] = []
@@ -162,72 +192,131 @@ def segments(docs: DataFrame) -> DataFrame:
         if ids:
             yield flush(ids, keys, words)
 
-    return docs.mapInArrow(run, "anchor long, doc_id long, row long, start int, n int, hashes binary")
+    return docs.mapInArrow(run, f"anchor long, doc_id long, row long, start int, n int, hashes binary, {SOURCE}")
 
 
-def parse_blocks(parts: DataFrame) -> DataFrame:
-    """doc_id, row, start, n: runs of windows that occur earlier, in the blocks' order of (anchor, doc_id, row, start)."""
+def hot_anchors(docs: DataFrame, sample: int = SAMPLE, share: float = HOT) -> np.ndarray:
+    """Sorted anchors that at least ``share`` of about ``sample`` documents have: a layout hint of bounded size."""
+    n = docs.count()
+    part = min(1.0, sample / max(1, n))
+    some = docs if part == 1 else docs.filter(F.pmod(F.xxhash64("row", "doc_id"), F.lit(1 << 20)) < int(part * (1 << 20)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # (anchor, doc_id, row, start) of the row before
-        seen = np.zeros(0, np.uint64)  # windows of the block that goes on in the next batch
+        cache = WordHashes()
         for batch in batches:
-            n_all = batch.column("n").to_numpy()
-            doc_all, key_all, start_all = batch.column("doc_id").to_numpy(), batch.column("row").to_numpy(), batch.column("start").to_numpy().astype(np.int64)
-            hashes = batch.column("hashes")
-            passing = hashes.is_null().to_numpy(zero_copy_only=False)
-            out_d, out_r, out_s, out_n = [doc_all[passing]], [key_all[passing]], [start_all[passing]], [n_all[passing].astype(np.int64)]
-            rows = np.flatnonzero(~passing)
-            if len(rows):
-                anchor, doc, own_key, start, n = batch.column("anchor").to_numpy()[rows], doc_all[rows], key_all[rows], start_all[rows], n_all[rows].astype(np.int64)
-                raw = np.frombuffer(b"".join(x for x in hashes.to_pylist() if x is not None), np.uint8).reshape(-1, 6)
-                # rows of one id, text and place are the same document
-                again = np.zeros(len(rows), bool)
-                again[1:] = (anchor[1:] == anchor[:-1]) & (doc[1:] == doc[:-1]) & (own_key[1:] == own_key[:-1]) & (start[1:] == start[:-1])
-                again[0] = last == (anchor[0], doc[0], own_key[0], start[0])
-                fresh_block = np.ones(len(rows), bool)
-                fresh_block[1:] = anchor[1:] != anchor[:-1]
-                block = np.cumsum(fresh_block) - 1
-                wide = np.zeros((len(raw), 8), np.uint8)
-                wide[:, :6] = raw
-                place = np.repeat(np.arange(len(rows)), n)
-                use = ~again[place]
-                value = wide.view(np.uint64).ravel()
-                at = start[place] + np.arange(len(place)) - np.repeat(np.cumsum(n) - n, n)
-                value, place, at = value[use], place[use], at[use]
-                key = (block[place].astype(np.uint64) << np.uint64(48)) | value
-                order = np.argsort(key, kind="stable")
-                hit = np.zeros(len(order), bool)
-                hit[order[1:]] = key[order[1:]] == key[order[:-1]]
-                in_first = block[place] == 0
-                if last is not None and last[0] == anchor[0]:
-                    hit |= in_first & np.isin(value, seen)
-                else:
-                    seen = np.zeros(0, np.uint64)
-                own = value[block[place] == block[-1]]
-                seen = np.unique(np.concatenate([seen, own])) if block[-1] == 0 else np.unique(own)
-                last = (anchor[-1], doc[-1], own_key[-1], start[-1])
-                hits = np.flatnonzero(hit)
-                if len(hits):
-                    breaks = np.ones(len(hits), bool)
-                    breaks[1:] = (place[hits[1:]] != place[hits[:-1]]) | (at[hits[1:]] != at[hits[:-1]] + 1)
-                    first, length = _runs(breaks)
-                    out_d.append(doc[place[hits[first]]])
-                    out_r.append(own_key[place[hits[first]]])
-                    out_s.append(at[hits[first]])
-                    out_n.append(length)
-            d, r, s, m = map(np.concatenate, (out_d, out_r, out_s, out_n))
-            if len(d):
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (d, r, s, m)], ["doc_id", "row", "start", "n"])
-
-    return parts.mapInArrow(run, "doc_id long, row long, start long, n long")
+            for text in batch.column("text"):
+                own = text.as_py().encode().split()
+                if len(own) >= WINDOW:
+                    h = np.fromiter(map(cache.__getitem__, own), np.uint64, len(own))
+                    each = np.unique(_anchored(h, slice(None), np.zeros(0, np.uint64))[1])
+                    yield pa.RecordBatch.from_arrays([pa.array(each.view(np.int64))], ["anchor"])
+
+    least = max(20, int(share * min(sample, n)))
+    often = some.select("text").mapInArrow(run, "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    return np.sort(np.array([r["anchor"] for r in often.select("anchor").collect()], np.int64).view(np.uint64))
+
+
+def longest_matches(key: np.ndarray, seg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every window the length of the longest match that begins earlier, and where it begins.
+
+    key: windows in order, equal keys for equal windows of one block; seg: the segment of each; matches end with their
+    segments. Matches grow window by window: the class of a match of length k + 1 is that of length k and the next
+    window. Only windows whose match goes on, and those they may match, stay in work.
+    """
+    n = len(key)
+    length, source = np.zeros(n, np.int64), np.full(n, -1, np.int64)
+    first = np.unique(key, return_index=True, return_inverse=True)
+    first = first[1][first[2]]  # the first equal window of each
+    at, own, k = np.arange(n), first, 1
+    while len(at):
+        _, lead, group, size = np.unique(own, return_index=True, return_inverse=True, return_counts=True)
+        shared = size[group] > 1
+        at, origin = at[shared], at[lead[group]][shared]
+        later = at > origin
+        length[at[later]], source[at[later]] = k, origin[later]
+        further = at + k < n
+        further[further] = seg[at[further] + k] == seg[at[further]]
+        at, origin = at[further], origin[further]
+        own, k = origin * n + first[at + k], k + 1
+    return length, source
+
+
+class _Block:
+    """Segments of the block that goes on in the next batch, but for those that one factor covers."""
+
+    def __init__(self):
+        self.anchor, self.value, self.size = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.rows = np.zeros((0, 3), np.int64)  # doc_id, row, start of each segment
+
+
+def factors(parts: DataFrame) -> DataFrame:
+    """doc_id, row, start, n (windows), source: the blocks' factors, in order of (anchor, doc_id, row, start)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, last = _Block(), None
+        for batch in (b.slice(k, MOST_ROWS) for b in batches for k in range(0, b.num_rows, MOST_ROWS)):
+            settled = batch.column("hashes").is_null().to_numpy(zero_copy_only=False)
+            if settled.any():
+                pass_on = batch.filter(pa.array(settled))
+                yield pa.RecordBatch.from_arrays([pass_on.column("doc_id"), pass_on.column("row"), pass_on.column("start").cast(pa.int64()), pass_on.column("n").cast(pa.int64()), pass_on.column("source")], ["doc_id", "row", "start", "n", "source"])
+            own = batch.filter(pa.array(~settled))
+            if not own.num_rows:
+                continue
+            anchor = own.column("anchor").to_numpy()
+            rows = np.stack([own.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "row", "start")], 1)
+            size = own.column("n").to_numpy().astype(np.int64)
+            wide = np.zeros((int(size.sum()), 8), np.uint8)
+            wide[:, :6] = np.frombuffer(b"".join(own.column("hashes").to_pylist()), np.uint8).reshape(-1, 6)
+            value = wide.view(np.uint64).ravel()
+            # rows of one id, text and place are the same document
+            again = np.zeros(len(rows), bool)
+            again[1:] = (anchor[1:] == anchor[:-1]) & (rows[1:] == rows[:-1]).all(1)
+            again[0] = last == (anchor[0], *rows[0])
+            last = (anchor[-1], *rows[-1])
+            if again.any():
+                value, size, rows, anchor = value[np.repeat(~again, size)], size[~again], rows[~again], anchor[~again]
+                if not len(rows):
+                    continue
+            old = 0
+            if block.anchor == anchor[0]:
+                old = len(block.rows)
+                value, size = np.concatenate([block.value, value]), np.concatenate([block.size, size])
+                rows, anchor = np.concatenate([block.rows, rows]), np.concatenate([np.full(old, anchor[0]), anchor])
+            number = np.cumsum(np.concatenate([[0], anchor[1:] != anchor[:-1]]))
+            begin = np.cumsum(size) - size
+            seg = np.repeat(np.arange(len(rows)), size)
+            key = (number[seg].astype(np.uint64) << np.uint64(48)) | value
+            length, source = longest_matches(key, seg)
+            out, k = [], int(begin[old])
+            hits = np.flatnonzero(length > 0)
+            for i in hits[np.searchsorted(hits, k) :].tolist():
+                if i >= k:
+                    out.append(i)
+                    k = i + int(length[i])
+            f = np.array(out, np.int64)
+            if len(f):
+                g, src = seg[f], source[f]
+                from_ = rows[seg[src]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(rows[g, 0]), pa.array(rows[g, 1]), pa.array(rows[g, 2] + f - begin[g]), pa.array(length[f]),
+                     pa.StructArray.from_arrays([pa.array(from_[:, 0]), pa.array(from_[:, 1]), pa.array(from_[:, 2] + src - begin[seg[src]])], fields=list(_SOURCE))],
+                    ["doc_id", "row", "start", "n", "source"],
+                )
+            stay = (number == number[-1]) & (length[begin] < size)
+            block.anchor, block.rows, block.size, block.value = anchor[-1], rows[stay], size[stay], value[np.repeat(stay, size)]
+
+    return parts.mapInArrow(run, f"doc_id long, row long, start long, n long, {SOURCE}")
+
+
+def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id (LAST_ID if null), row, start, n, source: every factor of every document."""
+    d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc_id"), row_key(id_col, text_col).alias("row"), text_of(text_col).alias("text"))
+    return factors(segments(d, hot_anchors(d)).repartition("anchor").sortWithinPartitions("anchor", "doc_id", "row", "start"))
 
 
 def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, row, spans: array<struct<start, n>> of windows (start, number of windows) that occur earlier."""
-    d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc_id"), row_key(id_col, text_col).alias("row"), text_of(text_col).alias("text"))
-    blocks = segments(d).repartition("anchor").sortWithinPartitions("anchor", "doc_id", "row", "start")
-    return parse_blocks(blocks).groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    return parse(docs, id_col, text_col).groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
 
 def covered(n_words: int, spans) -> np.ndarray:
@@ -239,19 +328,19 @@ def covered(n_words: int, spans) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def _pack(batch: pa.RecordBatch) -> pa.RecordBatch:
-    press = zstandard.ZstdCompressor(level=1)
-    packed = [None if x is None else press.compress(x.encode()) for x in batch.column("_text").to_pylist()]
-    return pa.RecordBatch.from_arrays([*(c for c, n in zip(batch.columns, batch.schema.names) if n != "_text"), pa.array(packed, pa.binary())], [*(n for n in batch.schema.names if n != "_text"), "_packed"])
+def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """rest (a struct of all columns but the text), packed (the compressed text; it is moved once), spans."""
 
+    def pack(batch: pa.RecordBatch) -> pa.RecordBatch:
+        press = zstandard.ZstdCompressor(level=1)
+        packed = [None if x is None else press.compress(x.encode()) for x in batch.column("text").to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column("rest"), batch.column("id"), batch.column("row"), pa.array(packed, pa.binary())], ["rest", "id", "row", "packed"])
 
-def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with ``_packed`` (the compressed text; it is moved once) in place of the text, and ``_spans``."""
-    rest = [c for c in docs.columns if c != text_col]
-    d = docs.select(*rest, F.col(text_col).alias("_text"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("_id"), row_key(id_col, text_col).alias("_row"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields if f.name != "_text") + ", _packed binary"
-    spans = duplicate_spans(docs, id_col, text_col).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.col("spans").alias("_spans"))
-    return map_arrow(d, _pack, schema).join(spans, ["_id", "_row"], "left").drop("_id", "_row")
+    rest = F.struct(*[c for c in docs.columns if c != text_col]) if len(docs.columns) > 1 else F.struct(F.lit(1).alias("none"))
+    d = docs.select(rest.alias("rest"), F.col(text_col).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), row_key(id_col, text_col).alias("row"))
+    spans = duplicate_spans(docs, id_col, text_col).withColumnRenamed("doc_id", "id")
+    packed = map_arrow(d, pack, f"rest {d.schema['rest'].dataType.simpleString()}, id long, row long, packed binary")
+    return packed.join(spans, ["id", "row"], "left").select("rest", "packed", "spans")
 
 
 def _unpack(packed: bytes | None) -> str | None:
@@ -263,15 +352,15 @@ def digest(docs: DataFrame) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        for packed, spans in zip(batch.column("_packed"), batch.column("_spans")):
+        for packed, spans in zip(batch.column("packed"), batch.column("spans")):
             words = (_unpack(packed.as_py()) or "").encode().split()
             gone = covered(len(words), spans.as_py())
             kept = [w for w, g in zip(words, gone.tolist()) if not g] if gone.any() else words
             out.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
         a, b, c = zip(*out)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    d = with_spans(docs.select(F.col("doc_id").cast("long"), "text"))
+    d = with_spans(docs.select(F.col("doc_id").cast("long"), "text")).select("rest.doc_id", "packed", "spans")
     return map_arrow(d, run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
@@ -289,10 +378,11 @@ def remove_duplicates(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = []
-        for packed, spans in zip(batch.column("_packed"), batch.column("_spans")):
+        for packed, spans in zip(batch.column("packed"), batch.column("spans")):
             text = _unpack(packed.as_py())
             texts.append(without(text, spans.as_py()) if spans.is_valid else text)
-        return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text_col else batch.column(c) for c in columns], columns)
+        rest = batch.column("rest")
+        return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text_col else rest.field(c) for c in columns], columns)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return map_arrow(with_spans(docs, text_col=text_col), run, schema)
