@@ -11,8 +11,9 @@ The Huffman table that ``store_media`` writes gives every difference a code of 9
 the bit-by-bit reader.
 
 Defined results: a null text is an empty one and is stored as one frame of bytes 255; a null id is passed
-through; repeated rows give equal values; a file without frames has no clips; frames that can't be decoded raise.
-Long payloads are coded in blocks of frames, so that working memory stays bounded beside the payload itself.
+through; repeated rows give equal values; a file without frames has no clips; a null or damaged file, or one of a
+coding that isn't read, has an ``error`` and no digests, clips or feature; an empty table gives no rows; only the named
+columns are read, so others can't clash. Long payloads are coded in blocks of frames, so that working memory stays bounded beside the payload itself.
 """
 
 from __future__ import annotations
@@ -354,8 +355,9 @@ CLIP = "struct<clip:int,first_frame:int,n_frames:int,start_s:double,end_s:double
 def _read(config: ShotConfig):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for media in batch.column("media"):
-            seconds, frames = read_avi(media.as_py())
+
+        def one(media: bytes) -> tuple:
+            seconds, frames = read_avi(media)
             whole, tail, size, hist, mean = hashlib.sha256(), b"", 0, [], []
             for samples in decode_frames(frames):
                 raw = samples.tobytes()
@@ -371,12 +373,18 @@ def _read(config: ShotConfig):
                 for k, (a, b) in enumerate(zip(edges, edges[1:]))
             ]
             feature = ";".join(f"{c['first_frame']}+{c['n_frames']}@{c['mean_level']:.3f}" for c in clips)
-            rows.append((size, whole.hexdigest(), zlib.crc32(tail), feature, clips))
-        a, b, c, d, e = zip(*rows)
+            return size, whole.hexdigest(), zlib.crc32(tail), feature, clips, None
+
+        for media in batch.column("media"):
+            try:
+                rows.append(one(media.as_py()) if media.is_valid else (*[None] * 5, "no media"))
+            except (ValueError, KeyError, IndexError, TypeError, OverflowError, struct.error) as damage:
+                rows.append((*[None] * 5, str(damage) or type(damage).__name__))
+        a, b, c, d, e, f = zip(*rows)
         kind = pa.list_(pa.struct([("clip", pa.int32()), ("first_frame", pa.int32()), ("n_frames", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("mean_level", pa.float64())]))
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("n_bytes"), pa.array(a, pa.int64()), pa.array(b), pa.array(c, pa.int64()), batch.column("media_bytes"), batch.column("media_sha256"), pa.array(d), pa.array(e, kind)],
-            ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "clips"],
+            [batch.column("doc_id"), batch.column("n_bytes"), pa.array(a, pa.int64()), pa.array(b, pa.string()), pa.array(c, pa.int64()), batch.column("media_bytes"), batch.column("media_sha256"), pa.array(d, pa.string()), pa.array(e, kind), pa.array(f, pa.string())],
+            ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "clips", "error"],
         )
 
     return run
@@ -386,7 +394,7 @@ def read_media(media: DataFrame, config: ShotConfig = ShotConfig()) -> DataFrame
     """The payload's digests as read back from the media column, its clips, and them as a feature string."""
     d = media.select("doc_id", "n_bytes", "media", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"))
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return map_arrow(d, _read(config), f"{schema}, clips array<{CLIP}>")
+    return map_arrow(d, _read(config), f"{schema}, clips array<{CLIP}>, error string")
 
 
 def clips(media: DataFrame, config: ShotConfig = ShotConfig()) -> DataFrame:
@@ -395,4 +403,9 @@ def clips(media: DataFrame, config: ShotConfig = ShotConfig()) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return read_media(store_media(table(spark, sf_dir, "documents"))).drop("clips")
+    return read_media(store_media(table(spark, sf_dir, "documents"))).drop("clips", "error")
+
+
+def clips_query(spark, sf_dir: str) -> DataFrame:
+    """Timed clip rows of every document's media."""
+    return clips(store_media(table(spark, sf_dir, "documents")))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import WORD, text_of, words_of
+from paperloom.llm.common import WORD, table, text_of, words_of
 
 #: Rules in order of their bits. Each is (name, failing condition over the measurements).
 RULES: list[tuple[str, str]] = [
@@ -136,9 +136,21 @@ FROM m
 """
 
 
-def query(spark, sf_dir: str) -> DataFrame:
-    from paperloom.llm.common import table
+ABLATION_ORACLE = f"""
+WITH v AS ({ORACLE.replace("SELECT doc_id, n_words, word_chars", "SELECT doc_id, n_lines, n_capitals, n_words, word_chars")}),
+f AS (SELECT unnest([{", ".join(f"CASE WHEN {condition} THEN '{name}' END" for name, condition in RULES)}]) AS rule,
+  {" + ".join(f"({condition})::INT" for _, condition in RULES)} AS fails FROM v)
+SELECT rule, count(*) AS n_rejected, count(*) FILTER (fails = 1) AS n_only_this FROM f WHERE rule IS NOT NULL GROUP BY rule
+UNION ALL SELECT r, 0, 0 FROM (SELECT unnest({[name for name, _ in RULES]!r}) AS r) WHERE r NOT IN (SELECT rule FROM f WHERE rule IS NOT NULL) AND EXISTS (FROM v)
+"""
+
 
+def query(spark, sf_dir: str) -> DataFrame:
     return apply_policy(ledger(table(spark, sf_dir, "documents"))).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+def ablation_query(spark, sf_dir: str) -> DataFrame:
+    """What each rule of the current policy rejects, alone and with others, from the ledger's bits."""
+    return ablation(ledger(table(spark, sf_dir, "documents")))

@@ -15,9 +15,14 @@ QUERIES = {
     "op8_quality_rules": op08_quality_rules.query,
     "op9_secret_scan": op09_secret_scan.query,
     "op10_toxicity": op10_toxicity.query,
+    # further results of the same operators
+    "clips_media": op01_media.clips_query,
+    "ablation_quality_rules": op08_quality_rules.ablation_query,
+    "pages_language_id": op07_language_id.pages_query,
 }
 ORACLES = {
     "op6_substring": op06_substring.ORACLE,
     "op8_quality_rules": op08_quality_rules.ORACLE,
     "op9_secret_scan": op09_secret_scan.ORACLE,
+    "ablation_quality_rules": op08_quality_rules.ABLATION_ORACLE,
 }
