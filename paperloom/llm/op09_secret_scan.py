@@ -7,7 +7,9 @@ documents that are left are verified with the rule's expression. A rule without
 scans every text.
 
 Defined results: a null text is an empty one and has no spans; a null id is joined null-safely and passed
-through; repeated rows are scanned each by itself; offsets count code points, ends exclusive.
+through; repeated rows are scanned each by itself (rows of one id share their candidate rules, which verification
+settles); very long texts are scanned whole; offsets count code points, ends exclusive; an empty table gives no rows;
+carried columns keep their names, but for an own ``spans``, which the result replaces.
 """
 
 from __future__ import annotations
@@ -169,17 +171,17 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs with ``spans``: array<struct<start, ord, end, kind>> by start, then rule."""
-    left = candidates(docs, rules, id_col, text_col).select(F.col("doc_id").alias("_id"), F.col("rules_left").alias("_left"))
-    d = docs.join(left, docs[id_col].eqNullSafe(left["_id"]), "left").drop("_id")
-    found = []
+    left = candidates(docs, rules, id_col, text_col)
+    carried = docs.select(F.struct(*[c for c in docs.columns if c != "spans"]).alias("row"))
+    d = carried.join(left, carried["row"][id_col].eqNullSafe(left["doc_id"]), "left").select("row", "rules_left")
+    text, found = F.coalesce(F.col("row")[text_col], F.lit("")), []
     for k, rule in enumerate(rules):
-        text = text_of(text_col)
         if trigram_query(rule.regex) is None:
             due = text.rlike(rule.regex)
         else:
-            due = F.coalesce(F.col("_left"), F.lit(0)).bitwiseAND(F.lit(1 << k)) != 0
+            due = F.coalesce(F.col("rules_left"), F.lit(0)).bitwiseAND(F.lit(1 << k)) != 0
         found.append(F.when(due, _spans(text, rule, k)).otherwise(F.array().cast("array<struct<start:int,ord:int,end:int,kind:string>>")))
-    return d.withColumn("spans", F.sort_array(F.concat(*found))).drop("_left")
+    return d.select("row.*", F.sort_array(F.concat(*found)).alias("spans"))
 
 
 def written(spans: Column) -> Column:
@@ -188,8 +190,8 @@ def written(spans: Column) -> Column:
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with every span of a secret replaced by its kind in brackets; other texts stay as they are."""
-    found = scan(docs.withColumn("_text", text_of(text_col)), rules, id_col, text_col)
-    text = F.col("_text")
+    found = scan(docs, rules, id_col, text_col)
+    text = text_of(text_col)
 
     def step(acc: Column, s: Column) -> Column:
         from_, mark = F.greatest(acc["pos"], s["start"]), F.concat(F.lit("["), s["kind"], F.lit("]"))
@@ -203,7 +205,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_
         step,
         lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.lit(2**31 - 1))),
     )
-    return found.withColumn(text_col, F.when(F.size("spans") > 0, clean).otherwise(F.col(text_col))).drop("_text")
+    return found.withColumn(text_col, F.when(F.size("spans") > 0, clean).otherwise(F.col(text_col)))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -106,12 +106,54 @@ def _spans(text):
 def test_secret_scan_equals_a_plain_scan(spark, documents):
     key = "AKIA" + "Q7" * 8
     rows = [*ODD, (20, f'é👍 Password = "abcdef123456" x {key} y'), (21, "secret: api_key: abcdefghijkl token=short"), (22, "0123456789abcdef" * 3 + " g" + "a" * 15), (23, "AKIAAKIA" + "B" * 12 + " AKIA" + "C" * 13), (24, "token==" + "a" * 20 + " apikey:'" + "Z" * 12)]
-    got = secrets.scan(documents(rows).drop("spans")).collect()
+    got = secrets.scan(documents(rows)).collect()
     base = {r["doc_id"]: ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in r["spans"] if s["ord"] < 3) for r in got}
     assert len(got) == len(rows) and base == {i: _spans(t) for i, t in rows}
-    clean = {r["doc_id"]: r["text"] for r in secrets.redact(documents(rows).drop("spans")).collect()}
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(documents(rows)).collect()}
     assert clean[20] == 'é👍 [assign]" x [access] y' and clean[7] == "same" and clean[1] is None
-    assert secrets.scan(documents([]).drop("spans")).count() == 0
+    assert secrets.scan(documents([])).count() == 0
+
+
+def test_more_kinds_and_clashing_columns(spark, documents):
+    planted = {
+        30: ("jwt", "eyJ" + "a" * 10 + "." + "b" * 12 + ".sig"), 31: ("pem", "-----BEGIN RSA PRIVATE KEY-----"), 32: ("forge", "ghp_" + "Z9" * 12),
+        33: ("chat", "xoxb-" + "1-a" * 5), 34: ("login", "https://me:pass@host"), 35: ("access", "AKIA" + "X" * 16),
+    }
+    rows = [(i, f"é before {t} after") for i, (_, t) in planted.items()] + [(40, "eyJ.. ghp_short xox- ://a:b")]
+    d = documents(rows).selectExpr("*", "5 as _left", "6 as _id", "7 as row", "8 as rules_left", "9 as _row", "'z' as _text", "0 as _packed", "0 as _spans", "0 as rest", "0 as packed")
+    got = secrets.scan(d).collect()
+    for r in got:
+        kinds = {s["kind"] for s in r["spans"]}
+        assert (planted[r["doc_id"]][0] in kinds) if r["doc_id"] != 40 else not kinds
+        assert (r["_left"], r["_id"], r["row"], r["rules_left"], r["_row"], r["_text"]) == (5, 6, 7, 8, 9, "z")
+    assert {r["doc_id"]: r["text"] for r in secrets.redact(d).collect()}[31] == "é before [pem] after"
+    from paperloom.llm import op06_substring as passages
+
+    shared = " ".join(f"w{k}" for k in range(25))
+    clash = documents([(1, shared), (2, f"x {shared} y")]).selectExpr("*", "6 as _id", "7 as row", "9 as _row", "'z' as _packed", "0 as _spans", "0 as rest", "0 as packed", "1 as spans2")
+    left = {r["doc_id"]: r for r in passages.remove_duplicates(clash).collect()}
+    assert left[2]["text"] == "x y" and (left[2]["_id"], left[2]["row"], left[2]["_packed"], left[2]["spans"], left[2]["rest"]) == (6, 7, "z", "x", 0)
+
+
+def test_damaged_media_has_an_error(spark):
+    whole = media.write_avi(media.encode_frames(np.zeros((3, 24, 24), np.uint8)))
+    bad = [(1, whole), (2, None), (3, b""), (4, b"RIFF\0\0\0\0AVI "), (5, whole[:400]), (6, whole[:-3]), (7, whole.replace(b"\xff\xc3", b"\xff\xc9"))]
+    got = {r["doc_id"]: r for r in media.read_media(spark.createDataFrame([(i, 0, x) for i, x in bad], "doc_id long, n_bytes long, media binary")).collect()}
+    assert got[1]["error"] is None and got[1]["payload_bytes"] == 3 * 576
+    assert got[2]["error"] == "no media" and got[3]["error"] and got[5]["payload_sha256"] == got[2]["payload_sha256"] is None or got[5]["error"]
+    assert got[4]["payload_bytes"] == 0 and got[4]["clips"] == [] and got[7]["error"] and got[7]["clips"] is None
+    rows = media.clips(media.store_media(spark.createDataFrame([(1, "dark" * 4000 + "\xff" * 9000)], "doc_id long, text string"))).collect()
+    assert sum(r["n_frames"] for r in rows) == -(-34000 // 576) and rows[0]["start_s"] == 0
+    assert [r["end_s"] for r in rows][:-1] == [r["start_s"] for r in rows][1:]
+
+
+def test_ablation_query_equals_its_sql(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS FROM '{sf}/documents.parquet'")
+    got = sorted((r["rule"], r["n_rejected"], r["n_only_this"]) for r in rules.ablation_query(spark, sf).collect())
+    assert got == sorted(duckdb.sql(rules.ABLATION_ORACLE).fetchall())
 
 
 def test_trigram_queries():
