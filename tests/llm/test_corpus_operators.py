@@ -2,6 +2,8 @@
 
 import hashlib
 import re
+import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -45,17 +47,41 @@ def test_plan_packs_everything_tightly():
     assert sum(m for m, _ in hot) == 10_000
 
 
-def test_linear_groups_are_equal():
+def test_linear_groups_are_equal_and_round_up():
     groups = packing.linear_groups({10: 5, 9: 1, 8: 6}, 4)
-    assert [sum(n for _, n in runs) for _, runs in groups] == [5, 4, 3] or sum(n for _, r in groups for _, n in r) == 12
+    assert sum(n for _, r in groups for _, n in r) == 12
+    spread = packing.linear_groups({x: 3 for x in range(129, 1024)}, packing.GROUPS)
+    assert len(spread) <= packing.GROUPS and {sum(n for _, n in runs) for _, runs in spread[:-1]} == {11}
+    assert 0 < sum((size - x) * n for size, runs in spread for x, n in runs) < 4 * 3 * 895
     assert all(size == max(x for x, _ in runs) for size, runs in groups)
 
 
+def _pieces(rows, capacity=1024):
+    from tokenizers import Tokenizer
+
+    exact, out = Tokenizer.from_file(packing.VOCABULARY), []
+    for i, t in rows:
+        ids = [*exact.encode(t or "", add_special_tokens=False).ids, 2]
+        edges = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)]
+        out += [(i or 0, k, a, b - a, zlib.crc32(struct.pack(f"<{b - a}I", *ids[a:b]))) for k, (a, b) in enumerate(zip(edges, edges[1:]))]
+    return sorted(out)
+
+
+def test_pieces_equal_the_library(spark, documents):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(1, "a <|endoftext|> b"), (2, "日本 <|endoftext|>"), (3, None), (None, "x " * 5000), (4, "é" * 3000), (4, "other"), (5, "<|endoftext|>" * 1030)]
+    for d in (docs, documents(rows)):
+        want = _pieces([(r["doc_id"], r["text"]) for r in d.collect()])
+        got = packing.pack(d).collect()
+        assert sorted((r["doc_id"] or 0, r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
+    full = -(-sum(x[3] for x in _pieces([(r["doc_id"], r["text"]) for r in docs.collect()])) // 1024)
+    assert packing.pack(docs).select("sequence_id").distinct().count() <= 1.01 * full
+
+
 def test_pack(spark, documents):
     from tokenizers import Tokenizer
 
     exact = Tokenizer.from_file(packing.VOCABULARY)
-    exact.encode_special_tokens = True
     rows = [(1, None), (2, ""), (3, "a"), (3, "a"), (None, "no id"), (4, prose(1, 3000)), (5, "日本 ß x " * 90), *[(i, prose(i, 150)) for i in range(10, 40)]]
     got = packing.pack(documents(rows)).toPandas()
     want = sum(len(exact.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in rows)
