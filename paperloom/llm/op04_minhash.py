@@ -11,10 +11,14 @@ before pairs are formed.
    that shares the most bands with others; only members of different components are compared again. Components are
    found after each round.
 3. What is left, members of one band in different components, is compared exhaustively, so no link is lost to the
-   choice of partners: members of a band's first group meet in pairs of blocks of bounded size, where each pair is
-   checked in the lowest group it shares, and only links leave the task. A 256-bit sketch of 64 minhashes rejects
-   pairs far below the threshold first (a pair at 0.75 fails it with probability about 1e-8).
-4. Every link is confirmed on both full sets (48-bit shingle hashes).
+   choice of partners: members of a band's first group (of the band itself where that group is large) meet in pairs of
+   blocks of bounded size, where each pair is checked in the lowest groups it shares. First only 256-bit sketches of 64
+   minhashes meet, which tell the members that may be near another one (a pair at 0.75 fails them with probability about
+   1e-8); only these get their sets, and only links leave the tasks.
+4. Every link is confirmed on both full sets, as 48-bit shingle hashes: two sets of n shingles share a false one with
+   probability n * n / 2**48, 4e-7 for 10,000, and a single one moves a decision only at the threshold itself.
+
+Component rounds replace labels by their labels' labels, so paths halve in every round.
 
 Rows out: one per document with its component. Copies and bands are never expanded into all their pairs unless they
 stay unconnected.
@@ -114,11 +118,11 @@ def agreement(a: str, b: str) -> Column:
 
 
 def bands(classes: DataFrame) -> DataFrame:
-    """(rep, unit, band) of the pairs of groups that other classes share too; unit is the pair's first group."""
+    """(rep, unit, second, band) of the pairs of groups that other classes share too; unit is the pair's first group."""
     postings = classes.select("rep", F.posexplode("groups").alias("g", "key"))
     shared = postings.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     own = postings.join(shared, "key", "left_semi").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("g", "key"))).alias("own")).filter(F.size("own") > 1)
-    pairs = F.flatten(F.transform("own", lambda x, i: F.transform(F.slice("own", i + 2, TABLES), lambda y: F.struct(x["key"].alias("unit"), F.xxhash64(x["key"], y["key"]).alias("band")))))
+    pairs = F.flatten(F.transform("own", lambda x, i: F.transform(F.slice("own", i + 2, TABLES), lambda y: F.struct(x["key"].alias("unit"), y["key"].alias("second"), F.xxhash64(x["key"], y["key"]).alias("band")))))
     return own.select("rep", F.inline(pairs))
 
 
@@ -197,26 +201,53 @@ def _sketch_filter(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return d.filter(agreement("sa", "sb") >= LEAST_AGREEMENT).select("a", "b")
 
 
-def exhaust(rest: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) between different components within the units of rest (unit, rep, comp).
-
-    A unit's members are dealt to blocks of about BLOCK; every pair of blocks is one group of bounded size.
-    """
-    sizes = rest.groupBy("unit").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    d = rest.join(sizes, "unit").join(classes.select("rep", "groups", "k0", "k1", "k2", "k3"), "rep").join(sets.withColumnRenamed("id", "rep"), "rep")
+def _meet(rest: DataFrame, run, schema: str) -> DataFrame:
+    """run for every pair of blocks of about BLOCK members of a group: columns of rest, own (block), x and y."""
+    sizes = rest.groupBy("unit", "second").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    d = rest.join(sizes.withColumnsRenamed({"unit": "u", "second": "v"}), (F.col("unit") == F.col("u")) & F.col("second").eqNullSafe(F.col("v"))).drop("u", "v")
     d = d.withColumn("own", F.pmod(F.xxhash64("rep", "unit"), F.col("blocks")).cast("int"))
     d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    d = d.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")})
+    return d.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).groupBy("unit", "second", "x", "y").applyInArrow(run, schema)
+
+
+def _alike(t: pa.RecordBatch):
+    """Yields (i, js): members of different components that agree in enough minhashes, each pair in one place."""
+    rep, comp, own = (t.column(c).to_numpy() for c in ("rep", "comp", "own"))
+    x, y, unit, second = (t.column(c)[0].as_py() for c in ("x", "y", "unit", "second"))
+    group = np.array(t.column("groups").to_pylist(), np.int64).reshape(len(rep), -1)
+    sketch = np.stack([t.column(f"k{i}").to_numpy() for i in range(4)], 1).view(np.uint64)
+    ones = np.uint64(0x1111111111111111)
+    for i in np.flatnonzero(own == x).tolist():
+        j = np.flatnonzero((own == y) & (comp != comp[i]) & ((rep > rep[i]) if x == y else True))
+        if not len(j):
+            continue
+        z = sketch[j] ^ sketch[i]
+        z = ~(z | z >> np.uint64(1) | z >> np.uint64(2) | z >> np.uint64(3)) & ones
+        j = j[np.bitwise_count(z).sum(1) >= LEAST_AGREEMENT]
+        same = group[j] == group[i]
+        # each pair once: in the lowest group that both share, and in the next one where that group is split
+        here = (same.sum(1) > 1) & (group[i][same.argmax(1)] == unit)
+        if second is not None:
+            same[np.arange(len(j)), same.argmax(1)] = False
+            here &= group[i][same.argmax(1)] == second
+        if here.any():
+            yield i, j[here]
+
 
-    def run(table_: pa.Table) -> pa.Table:
+def exhaust(rest: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between different components among the members (rep, comp) of one group (unit, second) of rest."""
+
+    def near(table_: pa.Table) -> pa.Table:
         t = table_.combine_chunks().to_batches()[0]
-        rep, comp, own = (t.column(c).to_numpy() for c in ("rep", "comp", "own"))
-        x, y = t.column("x")[0].as_py(), t.column("y")[0].as_py()
-        unit = t.column("unit")[0].as_py()
-        group = np.array(t.column("groups").to_pylist(), np.int64).reshape(len(rep), -1)
-        sketch = np.stack([t.column(f"k{i}").to_numpy() for i in range(4)], 1).view(np.uint64)
-        wide = [None] * len(rep)
-        parent = {c: c for c in comp.tolist()}
+        hit = np.zeros(t.num_rows, bool)
+        for i, j in _alike(t):
+            hit[i] = hit[j] = True
+        return pa.Table.from_batches([t.select(["unit", "second", "rep"]).filter(pa.array(hit))])
+
+    def link(table_: pa.Table) -> pa.Table:
+        t = table_.combine_chunks().to_batches()[0]
+        rep, comp = t.column("rep").to_numpy(), t.column("comp").to_numpy()
+        wide, parent = [None] * len(rep), {c: c for c in comp.tolist()}
 
         def top(c: int) -> int:
             while parent[c] != c:
@@ -225,18 +256,8 @@ def exhaust(rest: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
             return c
 
         links: list[tuple[int, int]] = []
-        ones = np.uint64(0x1111111111111111)
-        for i in np.flatnonzero(own == x).tolist():
-            j = np.flatnonzero((own == y) & (comp != comp[i]) & ((rep > rep[i]) if x == y else True))
-            if not len(j):
-                continue
-            z = sketch[j] ^ sketch[i]
-            z = ~(z | z >> np.uint64(1) | z >> np.uint64(2) | z >> np.uint64(3)) & ones
-            alike = np.bitwise_count(z).sum(1) >= LEAST_AGREEMENT
-            same = group[j] == group[i]
-            # each pair once: in the lowest group that both share
-            alike &= (same.sum(1) > 1) & (group[i][same.argmax(1)] == unit)
-            for k in j[alike].tolist():
+        for i, js in _alike(t):
+            for k in js.tolist():
                 if top(comp[i]) == top(comp[k]):
                     continue
                 for q in (i, k):
@@ -248,7 +269,11 @@ def exhaust(rest: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
         a, b = zip(*links) if links else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return d.groupBy("unit", "x", "y").applyInArrow(run, "a long, b long")
+    signed = rest.join(classes.select("rep", "groups", "k0", "k1", "k2", "k3"), "rep")
+    close = cut_lineage(_meet(signed, near, "unit long, second long, rep long").distinct())
+    same = (F.col("unit") == F.col("u")) & F.col("second").eqNullSafe(F.col("v")) & (F.col("rep") == F.col("r"))
+    few = signed.join(close.withColumnsRenamed({"unit": "u", "second": "v", "rep": "r"}), same, "left_semi")
+    return _meet(few.join(sets.withColumnRenamed("id", "rep"), "rep"), link, "a long, b long")
 
 
 def resolve(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -285,9 +310,12 @@ def resolve(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     checked = checked.unionAll(more)
     comp = components(links)
     # the rest: bands that still hold several components
-    lone = cut_lineage(placed(members.select("unit", "band", "rep"), "rep"))
+    lone = cut_lineage(placed(members.select("unit", "second", "band", "rep"), "rep"))
     mixed = lone.groupBy("band").agg(F.min("rep_comp").alias("lo"), F.max("rep_comp").alias("hi")).filter("lo <> hi").select("band")
-    rest = lone.join(mixed, "band", "left_semi").groupBy("unit", "rep").agg(F.first("rep_comp").alias("comp"))
+    rest = cut_lineage(lone.join(mixed, "band", "left_semi").select("unit", "second", "rep", F.col("rep_comp").alias("comp")))
+    hot = rest.groupBy("unit", "rep").count().groupBy("unit").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK).select("unit")
+    whole = rest.join(hot, "unit", "left_anti").select("unit", F.lit(None).cast("long").alias("second"), "rep", "comp").distinct()
+    rest = whole.unionByName(rest.join(hot, "unit", "left_semi").distinct())
     found = cut_lineage(exhaust(rest, classes, sets))
     if not found.isEmpty():
         comp = components(links.unionAll(found))
