@@ -313,7 +313,9 @@ def resolve(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     lone = cut_lineage(placed(members.select("unit", "second", "band", "rep"), "rep"))
     mixed = lone.groupBy("band").agg(F.min("rep_comp").alias("lo"), F.max("rep_comp").alias("hi")).filter("lo <> hi").select("band")
     rest = cut_lineage(lone.join(mixed, "band", "left_semi").select("unit", "second", "rep", F.col("rep_comp").alias("comp")))
-    hot = rest.groupBy("unit", "rep").count().groupBy("unit").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK).select("unit")
+    hot = rest.groupBy("unit", "rep").count().groupBy("unit").agg(F.count("*").alias("n"))
+    # dealing to blocks repeats a member once a block, splitting by band at most once for every other group
+    hot = hot.filter(F.col("n") > (TABLES - 1) * BLOCK).select("unit")
     whole = rest.join(hot, "unit", "left_anti").select("unit", F.lit(None).cast("long").alias("second"), "rep", "comp").distinct()
     rest = whole.unionByName(rest.join(hot, "unit", "left_semi").distinct())
     found = cut_lineage(exhaust(rest, classes, sets))

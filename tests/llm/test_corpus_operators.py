@@ -170,7 +170,7 @@ def _kept(rows):
 
 
 def test_hot_units_are_split(spark, documents, monkeypatch):
-    monkeypatch.setattr(near, "BLOCK", 4)
+    monkeypatch.setattr(near, "BLOCK", 2)
     monkeypatch.setattr(near, "confirm", lambda pairs, sets: pairs.limit(0))
     common = prose(12, 60).split()  # all share a passage, few are near
     rows = [(k, " ".join([*common, *prose(500 + k // 2, 25).split(), *(["end"] if k % 2 else [])])) for k in range(60)]
