@@ -2,23 +2,26 @@
 
 The words of a bounded sample of documents are encoded first. Then documents of one task are gathered to blocks of a
 bounded number of characters. A block holds its other distinct words (matches of the split pattern) as arrays of
-byte tokens, and every document as positions in the list of both. Ranked
-merges are folded over each distinct word once: the state is the word's tokens and the ranks of its neighbours,
-looked up in a literal rank map; every step merges the first pair of lowest rank. Documents then take their words'
-ids by position, and decoding joins the ids' byte pieces.
+byte tokens, and every document as positions in the list of both. Ranked merges are folded over each distinct word once:
+the state is the word's tokens and the ranks of its neighbours, looked up in a literal rank map; every step merges the
+first pair of lowest rank. Documents then take their words' ids by position, and decoding joins the ids' byte pieces.
 
 The rank map is an array of small maps, found by a hash of the pair, because Spark searches a map entry by entry.
 Vocabulary entries that merges alone don't reach (none in the shipped ranks) are looked up as whole words, as the
-tiktoken library does.
+tiktoken library does. The fold costs the square of a word's length, so words above ``LONG`` bytes (text without blanks)
+are merged from a heap in their task instead, which gives the same ids.
 
 Defined results: a null text is an empty one and has no tokens; a null id is passed through; repeated rows are
-encoded alike; a text larger than a block is a block of its own; an empty table gives no rows.
+encoded alike; a text larger than a block is a block of its own; an empty table gives no rows; only id and text are
+read, so further columns can't clash.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
+import hashlib
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -33,9 +36,11 @@ from paperloom.llm.common import map_arrow, table, text_of
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 #: Characters of text in one block.
-BLOCK = 32_000_000
-#: Documents whose words are folded before all others.
-SAMPLE = 6_000
+BLOCK = 16_000_000
+#: Documents whose words are folded before all others, and the characters of one at most.
+SAMPLE, SAMPLE_CHARACTERS = 6_000, 20_000
+#: Bytes of a word that the fold takes at most.
+LONG = 128
 BUCKETS = 1 << 17
 _NO_RANK = 2**31 - 1
 
@@ -71,6 +76,28 @@ def merge(word: bytes, path: str) -> list[int]:
     return t
 
 
+def merge_long(word: bytes, path: str) -> list[int]:
+    """As ``merge``, from a heap of pairs over linked tokens: for words that would stall the fold."""
+    ranks, pairs = read_ranks(path), pair_ranks(path)
+    t: list[int | None] = [ranks[bytes([c])] for c in word]
+    n = len(t)
+    before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+    heap = [(r, k, a, b) for k, (a, b) in enumerate(zip(t, t[1:])) if (r := pairs.get((a, b))) is not None]
+    heapq.heapify(heap)
+    while heap:
+        rank, k, a, b = heapq.heappop(heap)
+        right = after[k]
+        if t[k] != a or right >= n or t[right] != b:
+            continue  # one of the two was merged since
+        t[k], t[right], after[k] = rank, None, after[right]
+        if after[k] < n:
+            before[after[k]] = k
+        for left in (before[k], k):
+            if left >= 0 and after[left] < n and (r := pairs.get((t[left], t[after[left]]))) is not None:
+                heapq.heappush(heap, (r, left, t[left], t[after[left]]))
+    return [x for x in t if x is not None]
+
+
 @functools.lru_cache(maxsize=2)
 def unreached(path: str) -> dict[bytes, int]:
     return {w: r for w, r in read_ranks(path).items() if merge(w, path) != [r]}
@@ -81,25 +108,17 @@ def _bucket(a: int, b: int) -> int:
 
 
 def literals(spark: SparkSession, path: str) -> DataFrame:
-    """One row of the vocabulary: buckets of the rank map, every id's bytes, and every id as four bytes (hexadecimal).
-
-    Its size is bounded by the vocabulary.
-    """
+    """One row: the buckets of the rank map. Its size is bounded by the vocabulary."""
     buckets: list[dict[int, int]] = [{} for _ in range(BUCKETS)]
     for (a, b), rank in pair_ranks(path).items():
         buckets[_bucket(a, b)][a << 17 | b] = rank
-    ranks = read_ranks(path)
-    n = max(ranks.values()) + 1
-    piece = [""] * n
-    for word, rank in ranks.items():
-        piece[rank] = word.hex().upper()
-    own = [i.to_bytes(4, "little").hex().upper() for i in range(n)]
-    return spark.createDataFrame([(buckets, piece, own)], "ranks array<map<bigint,int>>, pieces array<string>, own array<string>")
+    return spark.createDataFrame([(buckets,)], "ranks array<map<bigint,int>>")
 
 
 #: The shipped pattern for the standard library's engine, which is faster; equal to it on characters below U+0250
-#: without the four separators that only that engine takes for white space.
-_LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_²³¹¼½¾]+| ?[\d²³¹¼½¾]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: without the four separators that only that engine takes for white space. Letters, digits and blanks are spelled out.
+_L, _D, _S = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾", r"\t-\r\x20\x85\xa0"
+_LATIN = re.compile(rf" ?[{_L}]+| ?[{_D}]+|'(?:s|t|re|ve|m|ll|d)| ?[^{_S}{_L}{_D}]+|\s+(?!\S)|\s+")
 _NOT_LATIN = re.compile("[^\x00-\x1b\x20-ɏ]")
 
 
@@ -138,20 +157,24 @@ class Known:
 
 
 def _byte_tokens(words: list[str], path: str) -> pa.ListArray:
+    """Tokens to fold: a word's bytes; its ids where they need no fold (whole entries, long words)."""
     ranks, whole = read_ranks(path), unreached(path)
     byte = np.array([ranks[bytes([c])] for c in range(256)], np.int32)
     raw = [w.encode() for w in words]
-    tokens = [np.array([whole[w]], np.int32) if w in whole else byte[np.frombuffer(w, np.uint8)] for w in raw] if whole else None
-    size = np.array([len(x) for x in (tokens or raw)], np.int64)
+    size = np.array([len(x) for x in raw], np.int64)
     if not len(size):
         return _lists(size, np.zeros(0, np.int32))
-    return _lists(size, np.concatenate(tokens) if tokens else byte[np.frombuffer(b"".join(raw), np.uint8)])
+    if not whole and size.max() <= LONG:
+        return _lists(size, byte[np.frombuffer(b"".join(raw), np.uint8)])
+    one = lambda w: np.array([whole[w]] if w in whole else merge_long(w, path), np.int32) if w in whole or len(w) > LONG else byte[np.frombuffer(w, np.uint8)]
+    tokens = list(map(one, raw))
+    return _lists(np.array([len(x) for x in tokens], np.int64), np.concatenate(tokens))
 
 
 def blocks(docs: DataFrame, known, path: str = RANKS, pattern: str = PATTERN, block: int = BLOCK) -> DataFrame:
     """docs (doc_id and positions of their words), the ids of known words, and the other distinct words' byte tokens.
 
-    known is a broadcast of ``Known``. A whole-word entry that merges don't reach is one token.
+    known is a broadcast of ``Known``. Words that need no fold have their ids as tokens; folding them again changes nothing.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +222,7 @@ def fold_merges(tokens: Column, ranks: Column) -> Column:
         key = a.cast("bigint") * (1 << 17) + b
         return F.coalesce(F.try_element_at(ranks[bucket], key), F.lit(_NO_RANK))
 
-    neighbours = F.transform(F.slice(tokens, 2, 1 << 20), lambda b, i: rank(tokens[i], b))
+    neighbours = F.transform(F.slice(tokens, F.lit(2), F.size(tokens)), lambda b, i: rank(tokens[i], b))
 
     def step(acc: Column, _: Column) -> Column:
         t, r = acc["t"], acc["r"]
@@ -221,13 +244,13 @@ def fold_merges(tokens: Column, ranks: Column) -> Column:
 def known_words(docs: DataFrame, vocabulary: DataFrame, path: str, pattern: str, sample: int = SAMPLE) -> Known:
     """The words of a bounded sample of documents, folded once, so that blocks needn't fold them again.
 
-    It only saves work: what it lacks is folded in its block. Its size is bounded by ``sample`` texts of at most
-    20,000 characters.
+    It only saves work: what it lacks is folded in its block. Its size is bounded by ``sample`` different texts of at
+    most ``SAMPLE_CHARACTERS`` characters.
     """
     share = sample / max(1, docs.count())
-    some = docs.select("doc_id", text_of().alias("text")).filter(F.length("text") <= 20_000)
+    some = docs.select(F.xxhash64("doc_id", "text").alias("k"), text_of().alias("text")).filter(F.length("text") <= SAMPLE_CHARACTERS)
     if share < 1:
-        some = some.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+        some = some.filter(F.pmod("k", F.lit(1 << 20)) < int(share * (1 << 20))).limit(sample)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, words = splitter(pattern), set()
@@ -250,34 +273,81 @@ def known_words(docs: DataFrame, vocabulary: DataFrame, path: str, pattern: str,
 
 def _folded(column: str) -> Column:
     ranks = F.col("ranks")
-    return F.transform(column, lambda w: F.when(F.size(w) > 1, fold_merges(w, ranks)).otherwise(w)).alias("ids")
+    return F.transform(column, lambda w: F.when(F.size(w).between(2, LONG), fold_merges(w, ranks)).otherwise(w)).alias("ids")
+
+
+def _blocks_with_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """docs (structs of doc_id and places of words) and ids (of every word) of each block."""
+    vocabulary = literals(docs.sparkSession, path)
+    known = docs.sparkSession.sparkContext.broadcast(known_words(docs, vocabulary, path, pattern))
+    b = blocks(docs, known, path, pattern).withColumn("ranks", vocabulary.select("ranks").scalar())
+    return b.select("docs", "known", _folded("words").alias("folded")).select("docs", F.concat("known", "folded").alias("ids"))
+
+
+def _per_document(block: pa.RecordBatch, row: int) -> Iterator[tuple[int | None, np.ndarray]]:
+    """doc_id and ids of the documents of one block."""
+    words = block.column("ids")[row].values
+    flat, edge = words.values.to_numpy(), words.offsets.to_numpy()
+    start, size = edge[:-1].astype(np.int64), np.diff(edge).astype(np.int64)
+    docs = block.column("docs")[row].values
+    for doc_id, at in zip(docs.field("doc_id").to_pylist(), docs.field("at")):
+        place = at.values.to_numpy() if len(at) else np.zeros(0, np.int32)
+        n = size[place]
+        ends = np.cumsum(n)
+        yield doc_id, flat[np.repeat(start[place] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def _over_documents(blocks_: DataFrame, one, schema: str, columns: list[tuple[str, pa.DataType]]) -> DataFrame:
+    """one(doc_id, ids) for every document of the blocks, a bounded number of rows at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                held = []
+                for doc_id, ids in _per_document(batch, row):
+                    held.append(one(doc_id, ids))
+                    if len(held) == 1000:
+                        yield _batch(held, columns)
+                        held = []
+                if held:
+                    yield _batch(held, columns)
+
+    return blocks_.mapInArrow(run, schema)
+
+
+def _batch(rows: list[tuple], columns: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(zip(*rows), columns)], [n for n, _ in columns])
 
 
 def encode(docs: DataFrame, path: str = RANKS, pattern: str = PATTERN) -> DataFrame:
     """doc_id, ids: as the tiktoken library encodes ordinary text."""
-    return _encoded(docs, literals(docs.sparkSession, path), path, pattern)
+    columns = [("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))]
+    return _over_documents(_blocks_with_ids(docs, path, pattern), lambda i, ids: (i, ids), "doc_id long, ids array<int>", columns)
 
 
-def _encoded(docs: DataFrame, vocabulary: DataFrame, path: str, pattern: str) -> DataFrame:
-    known = docs.sparkSession.sparkContext.broadcast(known_words(docs, vocabulary, path, pattern))
-    b = blocks(docs, known, path, pattern).withColumn("ranks", vocabulary.select("ranks").scalar())
-    b = b.select("docs", "known", _folded("words").alias("folded")).select("docs", F.concat("known", "folded").alias("ids"))
-    ids = F.col("ids")
-    # the size keeps the ids a column of their own: computed once for the block
-    taken = F.when(F.size(ids) >= 0, F.transform("docs", lambda d: F.struct(d["doc_id"].alias("doc_id"), F.flatten(F.transform(d["at"], lambda i: ids[i])).alias("ids"))))
-    return b.select(F.inline(taken))
+@functools.lru_cache(maxsize=2)
+def _pieces(path: str) -> list[bytes]:
+    ranks = read_ranks(path)
+    out = [b""] * (max(ranks.values()) + 1)
+    for word, rank in ranks.items():
+        out[rank] = word
+    return out
+
+
+def decode(ids, path: str = RANKS) -> bytes:
+    """The binary pieces of the ids, joined."""
+    return b"".join(map(_pieces(path).__getitem__, ids))
+
+
+def digests(docs: DataFrame, path: str = RANKS, pattern: str = PATTERN) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256."""
+
+    def one(doc_id, ids: np.ndarray) -> tuple:
+        return doc_id, len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(decode(ids.tolist(), path)).hexdigest()
+
+    columns = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
+    return _over_documents(_blocks_with_ids(docs, path, pattern), one, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    vocabulary = literals(spark, RANKS)
-    rows = _encoded(table(spark, sf_dir, "documents"), vocabulary, RANKS, PATTERN)
-    # pieces are joined as hexadecimal text, whose length is linear, and turned into binary once
-    own, piece = vocabulary.select("own").scalar(), vocabulary.select("pieces").scalar()
-    rows = rows.withColumns({"own": own, "piece": piece})
-    joined = lambda table_: F.unhex(F.array_join(F.transform("ids", lambda i: table_[i]), ""))
-    return rows.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(joined(F.col("own")), 256).alias("ids_sha256"),
-        F.sha2(joined(F.col("piece")), 256).alias("decoded_sha256"),
-    )
+    return digests(table(spark, sf_dir, "documents"))

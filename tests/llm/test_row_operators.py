@@ -62,6 +62,30 @@ def test_bpe_equals_the_library(spark, documents):
     assert bpe.encode(documents([])).count() == 0
 
 
+def test_digests_equal_the_library(spark, documents):
+    import tiktoken
+
+    library = tiktoken.Encoding("t", pat_str=bpe.PATTERN, mergeable_ranks=bpe.read_ranks(bpe.RANKS), special_tokens={})
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    long_words = [(-1, "漢字" * 40_000), (-2, "aB" * 200_000), (-3, "a" * 100_000 + " b"), (-4, None), (None, "日本 x"), (-5, " \n" * 30_000)]
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()] + long_words
+    got = bpe.digests(docs.unionByName(spark.createDataFrame(long_words, docs.schema))).collect()
+    want = []
+    for i, t in rows:
+        ids = library.encode_ordinary(t or "")
+        want.append((i or 0, len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    assert sorted((r["doc_id"] or 0, *list(r)[1:]) for r in got) == sorted(want)
+
+
+def test_long_merge_equals_the_plain_one():
+    import random
+
+    r = random.Random(4)
+    for _ in range(300):
+        word = "".join(r.choice("abcdeée漢 ' 12") for _ in range(r.randint(1, 60))).encode()
+        assert bpe.merge_long(word, bpe.RANKS) == bpe.merge(word, bpe.RANKS)
+
+
 def test_fast_split_pattern_equals_the_shipped_one():
     import random
 
