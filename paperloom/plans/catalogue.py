@@ -333,20 +333,49 @@ def quality_flags(spark, d):
     return p.select("page_id", a.alias("a")).select("page_id", "a.status", "a.scope", F.array_join("a.flags", ",").alias("flags"))
 
 
-@query()
+_LINES = "l AS (SELECT doc_id, source, unnest(generate_series(1, len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS text FROM documents)"
+
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "documents").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("pos", "text")).withColumn("pos", F.col("pos") + 1)
+
+
+_CUT = "CASE WHEN {0} <= 0 THEN 0 WHEN {0} >= n OR strpos(substring(text, {0} + 1), ' ') = 0 THEN n ELSE {0} + strpos(substring(text, {0} + 1), ' ') END"
+
+
+@query(f"""WITH {_LINES}, b AS (SELECT *, length(text)::BIGINT AS n FROM l WHERE trim(text, ' ') <> ''),
+s AS (SELECT *, coalesce(sum(n + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, (sum(n + 1) OVER (PARTITION BY doc_id))::BIGINT AS total FROM b),
+z AS (SELECT *, greatest(0, ceil((total - 400) / 2800) - 1)::BIGINT AS last FROM s),
+k AS (SELECT *, unnest(generate_series(least(greatest(0, floor((start - 3200) / 2800) + 1)::BIGINT, last), least(floor((start + n - 1) / 2800)::BIGINT, last))) AS ordinal FROM z),
+c AS (SELECT *, {_CUT.format("(ordinal * 2800 - start)")} AS f, {_CUT.format("(CASE WHEN ordinal = last THEN n ELSE ordinal * 2800 + 3200 - start END)")} AS t FROM k),
+p AS (SELECT *, CASE WHEN t > f THEN substring(text, f + 1, t - f) ELSE '' END AS piece FROM c)
+SELECT doc_id, ordinal::INT AS ordinal, string_agg('b' || pos, ',' ORDER BY pos) AS block_ids, string_agg(piece, chr(10) ORDER BY pos) AS text FROM p WHERE trim(piece, ' ') <> '' GROUP BY doc_id, ordinal""")
 def chunks(spark, d):
-    p = html.parse_html(load(spark, d, "pages"), "html")
-    rows = stages.chunks(p.select(F.col("page_id").alias("doc_id"), F.col("parsed.blocks").alias("blocks")))
-    return rows.select("doc_id", "ordinal", "block_ids", "text", text.chunk_language(F.col("text")).alias("language"), text.normalize_terms(F.col("text")).alias("terms"))
+    """Every document's lines as blocks of one section."""
+    blocks = _lines(spark, d).select("doc_id", F.lit("").alias("section"), "pos", F.concat(F.lit("b"), "pos").alias("block_id"), "text")
+    return stages.chunks(blocks).select("doc_id", "ordinal", F.array_join("block_ids", ",").alias("block_ids"), "text")
 
 
-@query()
+_WORDS = "list_distinct(string_split(trim(regexp_replace({}, '\\s+', ' ', 'g'), ' '), ' '))"
+
+
+@query(f"""WITH {_LINES}, v AS (SELECT doc_id, lag(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS prev FROM documents),
+h AS (SELECT doc_id, pos, text, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ')) AS g FROM l),
+a0 AS (SELECT v.doc_id AS pair_id, pos, text, g FROM v JOIN h ON v.prev = h.doc_id), b0 AS (SELECT v.doc_id AS pair_id, pos, text, g FROM v JOIN h USING (doc_id) WHERE prev IS NOT NULL),
+a AS (SELECT *, row_number() OVER (PARTITION BY pair_id, g ORDER BY pos) AS nth FROM a0), b AS (SELECT *, row_number() OVER (PARTITION BY pair_id, g ORDER BY pos) AS nth FROM b0),
+x AS (SELECT a.pair_id, a.pos, a.text, b.nth AS same, count(b.nth) OVER (PARTITION BY a.pair_id ORDER BY a.pos) AS gap FROM a LEFT JOIN b USING (pair_id, g, nth)),
+y AS (SELECT b.pair_id, b.pos, b.text, a.nth AS same, count(a.nth) OVER (PARTITION BY b.pair_id ORDER BY b.pos) AS gap FROM b LEFT JOIN a USING (pair_id, g, nth)),
+p AS (SELECT pair_id, gap, row_number() OVER (PARTITION BY pair_id, gap ORDER BY pos) AS k, text AS from_text FROM x WHERE same IS NULL),
+q AS (SELECT pair_id, gap, row_number() OVER (PARTITION BY pair_id, gap ORDER BY pos) AS k, text AS to_text FROM y WHERE same IS NULL),
+d AS (SELECT *, coalesce(len(list_intersect({_WORDS.format("from_text")}, {_WORDS.format("to_text")})) >= 0.5 * len(list_distinct(list_concat({_WORDS.format("from_text")}, {_WORDS.format("to_text")}))), FALSE) AND from_text IS NOT NULL AND to_text IS NOT NULL AS alike FROM p FULL JOIN q USING (pair_id, gap, k))
+SELECT pair_id, 'changed' AS change, from_text, to_text FROM d WHERE alike UNION ALL SELECT pair_id, 'removed', from_text, NULL FROM d WHERE NOT alike AND from_text IS NOT NULL
+UNION ALL SELECT pair_id, 'added', NULL, to_text FROM d WHERE NOT alike AND to_text IS NOT NULL""")
 def block_diff(spark, d):
-    """Pages against their next capture of the same host."""
-    p = html.parse_html(load(spark, d, "pages"), "html").select("page_id", F.regexp_extract("url", "://([^/?#]*)", 1).alias("host"), F.transform("parsed.blocks", lambda b: b["text"]).alias("new"))
-    w = Window.partitionBy("host").orderBy("page_id")
-    pairs = p.withColumn("old", F.lag("new").over(w)).filter("old is not null").select(F.col("page_id").alias("pair_id"), "old", "new")
-    return stages.diff_blocks(pairs)
+    """Every document against the one before it of the same source, line by line."""
+    pairs = load(spark, d, "documents").select("doc_id", F.lag("doc_id").over(Window.partitionBy("source").orderBy("doc_id")).alias("prev")).filter("prev is not null")
+    lines = _lines(spark, d).drop("source")
+    old = pairs.withColumnRenamed("doc_id", "pair_id").join(lines.withColumnRenamed("doc_id", "prev"), "prev").select("pair_id", "pos", "text")
+    return stages.diff_blocks(old, pairs.join(lines, "doc_id").select(F.col("doc_id").alias("pair_id"), "pos", "text"))
 
 
 # --- claims, events, graph -------------------------------------------------------------------------------------------

@@ -116,13 +116,26 @@ def test_html_blocks_tables_and_gates(spark):
 
 
 def test_diff_and_chunks(spark):
-    pairs = spark.createDataFrame([(1, ["same", "old words here", "gone"], ["same", "old words there", "new thing entirely"]), (2, ["x"], ["x"])], "pair_id long, old array<string>, new array<string>")
-    got = [tuple(r) for r in documents.diff_blocks(pairs).collect()]
-    assert (1, "changed", "old words here", "old words there") in got and {g[1] for g in got} == {"changed", "removed", "added"} and {g[0] for g in got} == {1}
-    blocks = [{"block_id": "h", "kind": "heading", "text": "Title"}, {"block_id": "p", "kind": "paragraph", "text": "word " * 1500}, {"block_id": "t", "kind": "table", "text": "a | b\n1 | 2"}]
-    out = documents.chunk(blocks)
-    assert {i for ids, _ in out for i in ids} == {"h", "p", "t"} and out[0][1].startswith("Title\nword") and out[-1] == (["t"], "a | b\n1 | 2")
-    assert documents.chunk([]) == []
+    rows = lambda texts: spark.createDataFrame([(1, k, t) for k, t in enumerate(texts)], "pair_id long, pos int, text string")
+    old, new = ["a b c d", "same", "gone away"], ["a b c e", " same", "x", "same"]
+    got = sorted(tuple(str(x) for x in r) for r in documents.diff_blocks(rows(old), rows(new)).collect())
+    assert got == [("1", "added", "None", "same"), ("1", "added", "None", "x"), ("1", "changed", "a b c d", "a b c e"), ("1", "removed", "gone away", "None")]
+    assert documents.diff_blocks(rows(old), rows(old)).count() == documents.diff_blocks(rows(["p", "q"]), rows(["q", "p"])).count() == 0
+    words = " ".join(f"w{k:05d}" for k in range(2000))  # 14 kB in one block
+    blocks = [(1, "s", 1, "b1", "Title"), (1, "s", 2, "b2", words), (1, "s", 3, "b3", "end of it"), (1, "t", 4, "b4", "short"), (1, "t", 5, "b5", " "), (2, "", 1, "c1", "x" * 9000), (3, "", 1, "d1", None)]
+    out = documents.chunks(spark.createDataFrame(blocks, "doc_id long, section string, pos int, block_id string, text string")).collect()
+    first = sorted((r for r in out if r["section"] == "s"), key=lambda r: r["ordinal"])
+    assert [r["ordinal"] for r in first] == list(range(len(first))) and first[0]["block_ids"] == ["b1", "b2"] and first[-1]["block_ids"][-1] == "b3"
+    seen = [r["text"].split() for r in first]
+    assert set(sum(seen, [])) == {"Title", "end", "of", "it", *words.split()} and all(len(r["text"]) <= 3300 for r in first)
+    assert all(set(x) & set(y) for x, y in zip(seen, seen[1:]))  # they overlap
+    assert [(r["block_ids"], r["text"]) for r in out if r["section"] == "t"] == [(["b4"], "short")]
+    assert "".join(r["text"] for r in out if r["doc_id"] == 2) == "x" * 9000
+    table = "h | i\n" + "\n".join(f"{'r' * 300} | {k}" for k in range(25)) + "\n"
+    parts = documents.table_chunks(spark.createDataFrame([(1, "b9", table), (2, "b1", "only"), (3, "b1", "")], "doc_id long, block_id string, text string")).collect()
+    mine = [r["text"].split("\n") for r in sorted(parts, key=lambda r: r["part"]) if r["doc_id"] == 1]
+    assert len(mine) == 3 and all(m[0] == "h | i" for m in mine) and sum(len(m) - 1 for m in mine) == 25
+    assert [r["text"] for r in parts if r["doc_id"] == 2] == ["only\nonly"]
 
 
 def test_sources(spark, tmp_path):
