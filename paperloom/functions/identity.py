@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from paperloom.functions.text import SPACE
-
 # Fixed values: (required, optional) components in the order of serialisation; other events are never keyed.
 COMPONENTS = {
     "paper_version": (("work_id", "version", "action"), ()),
@@ -17,35 +15,39 @@ COMPONENTS = {
     "correction": (("correction_ref", "target_ref"), ()),
     "retraction": (("correction_ref", "target_ref"), ()),
 }
-# Parts of each job kind's key, and its attempts.
+# The parts of each job kind's key.
 JOB_KINDS = {
-    "discover": (("owner", "feed", "schedule_slot", "config_version"), 5),
-    "fetch": (("owner", "discovery_item", "refresh_epoch"), 5),
-    "parse": (("owner", "capture", "parser_version"), 3),
-    "index": (("owner", "parse", "chunker_version", "embedding_version"), 3),
-    "route": (("owner", "industry", "parse", "industry_revision", "analysis_version"), 3),
-    "topic_recall": (("industry", "topic_revision", "window", "index_generation"), 3),
-    "extract": (("industry", "parse", "extraction_version"), 3),
-    "event_build": (("industry", "extraction_commit", "event_policy_version"), 3),
-    "evolution_build": (("industry", "topic_revision", "input_manifest_hash"), 3),
-    "report_build": (("industry", "report_type", "period", "input_manifest_hash"), 3),
-    "archive_answer": (("industry", "message_id"), 3),
-    "investigate": (("industry", "message_id", "request_version"), 3),
-    "reclassify": (("industry", "config_revision", "replay_window"), 3),
-    "apply_review": (("industry", "review_id", "decision_version"), 3),
-    "watch_check": (("industry", "watch", "schedule_slot"), 3),
-    "source_poll": (("owner", "feed", "mode", "idempotency_key"), 5),
+    "discover": ("owner", "feed", "schedule_slot", "config_version"),
+    "fetch": ("owner", "discovery_item", "refresh_epoch"),
+    "parse": ("owner", "capture", "parser_version"),
+    "index": ("owner", "parse", "chunker_version", "embedding_version"),
+    "route": ("owner", "industry", "parse", "industry_revision", "analysis_version"),
+    "topic_recall": ("industry", "topic_revision", "window", "index_generation"),
+    "extract": ("industry", "parse", "extraction_version"),
+    "event_build": ("industry", "extraction_commit", "event_policy_version"),
+    "evolution_build": ("industry", "topic_revision", "input_manifest_hash"),
+    "report_build": ("industry", "report_type", "period", "input_manifest_hash"),
+    "archive_answer": ("industry", "message_id"),
+    "investigate": ("industry", "message_id", "request_version"),
+    "reclassify": ("industry", "config_revision", "replay_window"),
+    "apply_review": ("industry", "review_id", "decision_version"),
+    "watch_check": ("industry", "watch", "schedule_slot"),
+    "source_poll": ("owner", "feed", "mode", "idempotency_key"),
 }
 BACKOFF_FLOOR, BACKOFF_CAP = 30, 1800
 
 
 def component(value: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(F.coalesce(value, F.lit("")), SPACE, " ")))
+    """White space of any kind to single blanks, case folded: by way of upper case, which spells out ß and ligatures."""
+    flat = F.trim(F.regexp_replace(F.coalesce(value, F.lit("")), r"[\s\x0B\x1C-\x1F\x85\p{Z}]+", " "))
+    # sigma in between: it has no final form then, and the optimizer keeps both case changes
+    return F.lower(F.translate(F.upper(flat), "Σ", "σ"))
 
 
 def identity_key(event_type: Column, fields: Column) -> Column:
-    """``type|name=value|...``; null if a required component is empty or the type isn't keyed. fields is a map."""
-    key = F.lit(None).cast("string")
+    """``type|name=value|...``; null if a required component is empty or the type is null or ``other``; an unknown type
+    fails. fields is a map."""
+    key = F.when(event_type.isNotNull() & (event_type != "other"), F.raise_error(F.concat(F.lit("unknown event type "), event_type))).cast("string")
     for kind, (required, optional) in COMPONENTS.items():
         value = {n: component(fields[n]) for n in (*required, *optional)}
         text = F.concat_ws("|", F.lit(kind), *[F.concat(F.lit(f"{n}="), v) for n, v in value.items()])
@@ -58,7 +60,7 @@ def identity_key(event_type: Column, fields: Column) -> Column:
 
 def job_key(kind: str, parts: dict[str, Column]) -> Column:
     """``kind:a/b/...``; the parts must be exactly the kind's."""
-    names = JOB_KINDS[kind][0]
+    names = JOB_KINDS[kind]
     if set(parts) != set(names):
         raise ValueError(f"a {kind} key needs exactly {list(names)}")
     return F.concat(F.lit(f"{kind}:"), F.concat_ws("/", *[parts[n].cast("string") for n in names]))

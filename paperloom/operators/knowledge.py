@@ -77,25 +77,40 @@ def gate_edges(edges: DataFrame) -> DataFrame:
     b = F.when(symmetric, F.greatest("from_node", "to_node")).otherwise(F.col("to_node"))
     own = (
         F.when(F.col("from_node") == F.col("to_node"), "self_loop")
-        .when(F.trim(F.coalesce("basis", F.lit(""))) == "", "no_basis")
-        .when((F.col("basis") == "inferred") & F.col("relation").isin("validates", "refutes", "applies") & (F.col("n_evidence") == 0), "inferred_without_evidence")
+        .when(~F.coalesce("basis", F.lit("")).isin("explicit", "inferred"), "no_basis")
+        .when((F.col("basis") == "inferred") & F.col("relation").isin("validates", "refutes", "applies") & (F.col("n_evidence") == 0), "inferred_relation_without_evidence")
     )
     d = edges.withColumns({"a": a, "b": b, "own": own})
     n = F.row_number().over(Window.partitionBy("a", "b", "relation").orderBy(F.col("own").isNotNull(), "edge_id"))
-    return d.withColumn("n", n).select("edge_id", F.coalesce("own", F.when(F.col("n") > 1, "duplicate")).alias("reason"))
+    return d.withColumn("n", n).select("edge_id", F.coalesce("own", F.when(F.col("n") > 1, "duplicate_parallel")).alias("reason"))
+
+
+#: Relations that must not form a cycle.
+ORDERED = ("updates", "replaces", "extends")
 
 
 def cyclic_nodes(edges: DataFrame, cut) -> DataFrame:
-    """Nodes on or behind a cycle of (from_node, to_node): nodes without an incoming edge are peeled off until none is left.
+    """Nodes on a cycle of (from_node, to_node, relation), or between two: a proposal with any is rejected as a whole.
 
-    cut() stores an intermediate result (a checkpoint); a layer of the graph is one round.
+    Only the ordered relations count. Edges whose start nothing leads to, or whose end leads nowhere, are peeled off
+    from both ends until none is left. cut() stores a round's edges (a checkpoint); a layer of the graph is one round.
     """
-    left = cut(edges.select("from_node", "to_node").distinct())
-    while True:
-        kept = cut(left.join(left.select(F.col("to_node").alias("from_node")).distinct(), "from_node", "left_semi"))
-        if kept.count() == left.count():
-            return kept.select(F.col("from_node").alias("node")).distinct()
-        left = kept
+    left = cut(edges.filter(F.col("relation").isin(*ORDERED)).select("from_node", "to_node").distinct())
+    size = left.count()
+    while size:
+        fed = left.join(left.select(F.col("to_node").alias("from_node")).distinct(), "from_node", "left_semi")
+        left = cut(fed.join(left.select(F.col("from_node").alias("to_node")).distinct(), "to_node", "left_semi").select("from_node", "to_node"))
+        before, size = size, left.count()
+        if size == before:
+            break
+    return left.select(F.explode(F.array("from_node", "to_node")).alias("node")).distinct()
+
+
+def build_status(edges: DataFrame, coverage: DataFrame, key: str, floor: float = 0.5) -> DataFrame:
+    """(key, status): insufficient without an accepted edge or below the coverage floor, else built."""
+    n = edges.filter("reason is null").groupBy(key).agg(F.count("*").alias("n"))
+    d = coverage.join(n, key, "left")
+    return d.select(key, F.when(F.coalesce("n", F.lit(0)) == 0, "insufficient").when(F.col("coverage") < floor, "insufficient").otherwise("built").alias("status"))
 
 
 def coverage_status(batches: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ orders and line items for lineage. Every query reads its whole tables.
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -43,6 +45,17 @@ def seconds(c: str | Column) -> Column:
     return F.unix_seconds((F.col(c) if isinstance(c, str) else c).cast("timestamp"))
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """checkpoint() into the session's shared folder."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="paperloom-"))
+    return df.checkpoint()
+
+
 def rounded(c: str | Column, digits: int = 6) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, digits)
 
@@ -414,44 +427,46 @@ def claim_validation(spark, d):
     return knowledge.validate_claims(claims, evidence, t.select("block_id", "text"))
 
 
-@query(r"""WITH s AS (SELECT n_nationkey AS topic_id, n_regionkey FROM nation) SELECT topic_id, CASE WHEN topic_id % 3 = 0 THEN 'direct' ELSE 'uncertain' END AS decision, CASE WHEN topic_id % 3 = 0 THEN 'given' ELSE 'fallback:no_verdict' END AS reason FROM s""")
+@query(r"""WITH s AS (SELECT c_custkey AS topic_id, c_acctbal > 0 AS good FROM customer) SELECT topic_id, CASE WHEN good THEN 'direct' ELSE 'uncertain' END AS decision, CASE WHEN good THEN 'given' ELSE 'fallback:no_verdict' END AS reason FROM s""")
 def route_topics(spark, d):
-    n = load(spark, d, "nation").select(F.col("n_nationkey").alias("topic_id"))
-    verdicts = n.filter("topic_id % 3 = 0").select("topic_id", F.lit("direct").alias("decision"), F.lit("given").alias("reason"))
-    return knowledge.topic_verdicts(n, verdicts)
+    c = load(spark, d, "customer").select(F.col("c_custkey").alias("topic_id"), "c_acctbal")
+    verdicts = c.filter("c_acctbal > 0").select("topic_id", F.lit("direct").alias("decision"), F.lit("given").alias("reason"))
+    return knowledge.topic_verdicts(c.select("topic_id"), verdicts)
 
 
-_EDGES = "e AS (SELECT event_id AS edge_id, user_id % 40 AS a, event_id % 37 AS b, CASE event_type WHEN 'click' THEN 'parallel' WHEN 'error' THEN 'refutes' ELSE 'extends' END AS relation, CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'inferred' ELSE 'stated' END AS basis, event_id % 2 AS n FROM events)"
+_EDGES = "e AS (SELECT event_id AS edge_id, user_id % 40 AS a, event_id % 37 AS b, CASE event_type WHEN 'click' THEN 'parallel' WHEN 'error' THEN 'refutes' ELSE 'extends' END AS relation, CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'inferred' WHEN 2 THEN 'stated' ELSE 'explicit' END AS basis, event_id % 2 AS n FROM events)"
 
 
 @query(f"""WITH {_EDGES}, o AS (SELECT edge_id, relation, CASE WHEN relation = 'parallel' THEN least(a, b) ELSE a END AS x, CASE WHEN relation = 'parallel' THEN greatest(a, b) ELSE b END AS y,
-  CASE WHEN a = b THEN 'self_loop' WHEN basis = '' THEN 'no_basis' WHEN basis = 'inferred' AND relation = 'refutes' AND n = 0 THEN 'inferred_without_evidence' END AS own FROM e)
-SELECT edge_id, coalesce(own, CASE WHEN row_number() OVER (PARTITION BY x, y, relation ORDER BY own IS NOT NULL, edge_id) > 1 THEN 'duplicate' END) AS reason FROM o""")
+  CASE WHEN a = b THEN 'self_loop' WHEN basis IN ('', 'stated') THEN 'no_basis' WHEN basis = 'inferred' AND relation = 'refutes' AND n = 0 THEN 'inferred_relation_without_evidence' END AS own FROM e)
+SELECT edge_id, coalesce(own, CASE WHEN row_number() OVER (PARTITION BY x, y, relation ORDER BY own IS NOT NULL, edge_id) > 1 THEN 'duplicate_parallel' END) AS reason FROM o""")
 def edge_gates(spark, d):
     e = load(spark, d, "events")
     relation = F.when(F.col("event_type") == "click", "parallel").when(F.col("event_type") == "error", "refutes").otherwise("extends")
-    basis = F.when(F.col("event_id") % 5 == 0, "").when(F.col("event_id") % 5 == 1, "inferred").otherwise("stated")
+    basis = F.when(F.col("event_id") % 5 == 0, "").when(F.col("event_id") % 5 == 1, "inferred").when(F.col("event_id") % 5 == 2, "stated").otherwise("explicit")
     return knowledge.gate_edges(e.select(F.col("event_id").alias("edge_id"), (F.col("user_id") % 40).alias("from_node"), (F.col("event_id") % 37).alias("to_node"), relation.alias("relation"), basis.alias("basis"), (F.col("event_id") % 2).alias("n_evidence")))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT user_id AS a, regexp_extract(props, '([0-9]+)', 1)::BIGINT AS b FROM events WHERE event_type IN ('click', 'view') AND value > 45),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), c AS (SELECT DISTINCT a AS node FROM r WHERE a = b)
+SELECT node FROM c UNION SELECT x.b FROM r x JOIN r y ON x.b = y.a WHERE x.a IN (FROM c) AND y.b IN (FROM c)""")
 def cycle_check(spark, d):
-    """Suppliers of one part in line-number order form edges; the nodes that lie on or behind a cycle."""
-    li = load(spark, d, "lineitem")
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
-    edges = li.select(F.col("l_suppkey").alias("from_node"), F.lead("l_suppkey").over(w).alias("to_node")).filter("to_node is not null and from_node <> to_node").distinct()
-    return knowledge.cyclic_nodes(edges, lambda df: df.persist())
+    """Strong events as edges from users to what they touch: two kinds are ordered relations; the nodes on or between cycles."""
+    e = load(spark, d, "events").filter("value > 45")
+    relation = F.when(F.col("event_type") == "click", "updates").when(F.col("event_type") == "view", "extends").otherwise("supports")
+    edges = e.select(F.col("user_id").alias("from_node"), F.get_json_object("props", "$.k").cast("long").alias("to_node"), relation.alias("relation"))
+    return knowledge.cyclic_nodes(edges, checkpointed)
 
 
 @query("""SELECT DISTINCT c_nationkey AS event_id, l_suppkey AS report_id FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
-WHERE c_nationkey < 5 AND NOT (c_nationkey = 0 AND l_suppkey % 2 = 0)""")
+WHERE c_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9900) AND NOT (c_nationkey = 0 AND l_suppkey % 2 = 0)""")
 def lineage_stale(spark, d):
     c, o, li = (load(spark, d, t) for t in ("customer", "orders", "lineitem"))
     ec = c.select(F.col("c_nationkey").alias("event_id"), F.col("c_custkey").alias("claim_id"))
     ce = o.select(F.col("o_custkey").alias("claim_id"), F.col("o_orderkey").alias("evidence_id"))
     ci = li.select(F.col("l_orderkey").alias("evidence_id"), F.col("l_suppkey").alias("report_id"))
     stale = load(spark, d, "supplier").filter("s_suppkey % 2 = 0").select(F.lit(0).alias("event_id"), F.col("s_suppkey").alias("report_id"))
-    return knowledge.stale_reports(ec.filter("event_id < 5").select("event_id").distinct(), ec, ce, ci, stale)
+    return knowledge.stale_reports(c.filter("c_acctbal > 9900").select(F.col("c_nationkey").alias("event_id")).distinct(), ec, ce, ci, stale)
 
 
 @query("""SELECT count(*)::BIGINT AS discovered, (count(*) FILTER (o_orderstatus <> 'O'))::BIGINT AS captured, coalesce((SELECT string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) FROM orders WHERE o_orderstatus <> 'F'), '') AS gaps,

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
 
 def build_session(app: str = "paperloom", cpus: int | None = None) -> SparkSession:
-    """A local session for tests and bench. On a cluster, pass your own session to the operators instead."""
+    """A local session for tests and bench, with a checkpoint folder of its own. On a cluster, pass your own session to the operators instead."""
     n = cpus or int(os.environ.get("BENCH_CPUS", "8"))
     return (
         SparkSession.builder.master(f"local[{n}]")
@@ -17,6 +18,7 @@ def build_session(app: str = "paperloom", cpus: int | None = None) -> SparkSessi
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
+        .config("spark.checkpoint.dir", os.environ.get("SPARK_CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="paperloom-"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

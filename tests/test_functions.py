@@ -85,3 +85,13 @@ def test_identity_and_retry(spark):
     assert values(spark, ["120", "Mon, 01 Jan 2024 00:01:00 GMT", "x"], identity.retry_after_seconds(F.col("x"), now)) == [(120,), (60,), (None,)]
     with pytest.raises(ValueError):
         identity.job_key("parse", {"owner": F.lit("o")})
+
+
+def test_identity_components_fold_case_and_any_space(spark):
+    texts = ["Straße", " A\u3000\u00a0B \x85c", "ΟΔΟΣ", "οδος", "ﬁne", None, "\x1c x"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(identity.component(F.col("t"))).collect()]
+    assert got == [" ".join((t or "").split()).casefold() for t in texts]
+    with pytest.raises(Exception, match="unknown event type"):
+        spark.createDataFrame([("what",)], "t string").select(identity.identity_key(F.col("t"), F.create_map(F.lit("a"), F.lit("b")))).collect()
+    rows_ = spark.createDataFrame([("other",), (None,)], "t string").select(identity.identity_key(F.col("t"), F.create_map(F.lit("a"), F.lit("b")))).collect()
+    assert [r[0] for r in rows_] == [None, None]

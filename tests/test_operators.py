@@ -70,9 +70,10 @@ def test_claim_codes(spark):
 
 
 def test_edges_and_cycles(spark):
-    e = spark.createDataFrame([(1, "a", "a", "extends", "x", 1), (2, "a", "b", "parallel", "x", 0), (3, "b", "a", "parallel", "x", 0), (4, "a", "b", "refutes", "inferred", 0), (5, "a", "c", "extends", " ", 0)], "edge_id int, from_node string, to_node string, relation string, basis string, n_evidence int")
-    assert rows(knowledge.gate_edges(e)) == [(1, "self_loop"), (2, None), (3, "duplicate"), (4, "inferred_without_evidence"), (5, "no_basis")]
-    g = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "y")], "from_node string, to_node string")
+    e = spark.createDataFrame([(1, "a", "a", "extends", "x", 1), (2, "a", "b", "parallel", "explicit", 0), (3, "b", "a", "parallel", "explicit", 0), (4, "a", "b", "refutes", "inferred", 0), (5, "a", "c", "extends", "stated", 0)], "edge_id int, from_node string, to_node string, relation string, basis string, n_evidence int")
+    assert rows(knowledge.gate_edges(e)) == [(1, "self_loop"), (2, None), (3, "duplicate_parallel"), (4, "inferred_relation_without_evidence"), (5, "no_basis")]
+    pairs = [("a", "b"), ("b", "c"), ("c", "a"), ("x", "y"), ("w", "a"), ("c", "z")]
+    g = spark.createDataFrame([(*p, "extends") for p in pairs] + [("y", "x", "supports")], "from_node string, to_node string, relation string")
     assert rows(knowledge.cyclic_nodes(g, lambda d: d)) == [("a",), ("b",), ("c",)]
     assert rows(knowledge.cyclic_nodes(g.filter("from_node <> 'c'"), lambda d: d)) == []
 
