@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -45,10 +46,12 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """checkpoint() into the session's shared folder; only where none is set (tests), into a new temporary one."""
+    """checkpoint() into the session's shared folder; only in local mode without one (tests) into a new temporary one."""
     spark = df.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="paperloom-"))
     return df.checkpoint()
