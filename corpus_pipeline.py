@@ -2,6 +2,11 @@
 
 Every stage takes the columns of ``documents`` (doc_id, text, lang, source, n_chars) and, but for the last, returns
 them; further columns of its input are dropped. Each works on all rows its predecessor kept.
+
+Defined results, of every stage: an empty table gives an empty one; nulls in any column pass (a null text is an empty
+one, which language identification rejects); ids may be missing or repeated, rows are judged by what they hold, and of
+rows equal in id and shingle set near-dedup keeps one; ties go to the smallest id, then to the smallest text hash;
+texts of any length are taken whole.
 """
 
 from __future__ import annotations
@@ -74,6 +79,12 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ]
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    """Remove a stage's rows once the next stage's are written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each stage's rows are written as Parquet and read by the next."""
     docs = table(spark, sf_dir, "documents")
@@ -82,4 +93,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        if k:
+            _delete(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return STAGES[-1][1](spark, docs, sf_dir)
