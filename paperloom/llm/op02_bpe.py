@@ -36,9 +36,9 @@ from paperloom.llm.common import map_arrow, table, text_of
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 #: Characters of text in one block.
-BLOCK = 16_000_000
+BLOCK = 32_000_000
 #: Documents whose words are folded before all others, and the characters of one at most.
-SAMPLE, SAMPLE_CHARACTERS = 6_000, 20_000
+SAMPLE, SAMPLE_CHARACTERS = 16_000, 20_000
 #: Bytes of a word that the fold takes at most.
 LONG = 128
 BUCKETS = 1 << 17
@@ -144,11 +144,9 @@ BLOCK_SCHEMA = "words array<array<int>>, known array<array<int>>, docs array<str
 class Known:
     """Words whose ids are known already: a dictionary of places in one flat array."""
 
-    def __init__(self, words: list[str], ids: list):
+    def __init__(self, words: list[str], size: np.ndarray, flat: np.ndarray):
         self.place = {w: k for k, w in enumerate(words)}
-        self.size = np.array([len(x) for x in ids], np.int64)
-        self.end = np.cumsum(self.size)
-        self.flat = np.concatenate([np.asarray(x, np.int32) for x in ids]) if ids else np.zeros(0, np.int32)
+        self.size, self.end, self.flat = size, np.cumsum(size), flat
 
     def of(self, places: list[int]) -> pa.ListArray:
         size = self.size[places]
@@ -244,13 +242,13 @@ def fold_merges(tokens: Column, ranks: Column) -> Column:
 def known_words(docs: DataFrame, vocabulary: DataFrame, path: str, pattern: str, sample: int = SAMPLE) -> Known:
     """The words of a bounded sample of documents, folded once, so that blocks needn't fold them again.
 
-    It only saves work: what it lacks is folded in its block. Its size is bounded by ``sample`` different texts of at
-    most ``SAMPLE_CHARACTERS`` characters.
+    It only saves work: what it lacks is folded in its block. Its size is bounded by about ``sample`` different texts
+    of at most ``SAMPLE_CHARACTERS`` characters; repeated rows are chosen together and add no word.
     """
     share = sample / max(1, docs.count())
     some = docs.select(F.xxhash64("doc_id", "text").alias("k"), text_of().alias("text")).filter(F.length("text") <= SAMPLE_CHARACTERS)
     if share < 1:
-        some = some.filter(F.pmod("k", F.lit(1 << 20)) < int(share * (1 << 20))).limit(sample)
+        some = some.filter(F.pmod("k", F.lit(1 << 20)) < int(share * (1 << 20)))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, words = splitter(pattern), set()
@@ -266,9 +264,11 @@ def known_words(docs: DataFrame, vocabulary: DataFrame, path: str, pattern: str,
 
     lists = some.mapInArrow(split, "word string").groupBy(F.pmod(F.hash("word"), F.lit(48)).alias("k")).agg(F.collect_set("word").alias("list"))
     d = map_arrow(lists, listed, "list array<string>, tokens array<array<int>>").withColumn("ranks", vocabulary.select("ranks").scalar())
-    got = d.select("list", _folded("tokens")).toArrow()
-    words = [w for row in got.column(0).to_pylist() for w in row]
-    return Known(words, [x for row in got.column(1).to_pylist() for x in row])
+    got = d.select("list", _folded("tokens")).toArrow().combine_chunks()
+    if not got.num_rows:
+        return Known([], np.zeros(0, np.int64), np.zeros(0, np.int32))
+    words, ids = (got.column(k).combine_chunks().flatten() for k in (0, 1))
+    return Known(words.to_pylist(), np.diff(ids.offsets.to_numpy()).astype(np.int64), ids.flatten().to_numpy())
 
 
 def _folded(column: str) -> Column:
