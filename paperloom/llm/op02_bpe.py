@@ -36,7 +36,7 @@ from paperloom.llm.common import map_arrow, table, text_of
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 #: Characters of text in one block.
-BLOCK = 32_000_000
+BLOCK = 16_000_000
 #: Documents whose words are folded before all others, and the characters of one at most.
 SAMPLE, SAMPLE_CHARACTERS = 16_000, 20_000
 #: Bytes of a word that the fold takes at most.
