@@ -155,7 +155,7 @@ def _queries(vectors: DataFrame) -> DataFrame:
     return vectors.filter(F.col("vec_id") % 100 == 0)
 
 
-@query(f"WITH {_EACH} SELECT query_id, vec_id, round(distance, 5) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY k.distance, vec_id) AS rank FROM k QUALIFY rank <= 20")
+@query(f"WITH {_EACH} SELECT query_id, vec_id, round(distance, 5) + 0 AS distance, row_number() OVER (PARTITION BY query_id ORDER BY k.distance, vec_id) AS rank FROM k QUALIFY rank <= 20")
 def knn_exact_each(spark, d):
     v = load(spark, d, "embeddings")
     return retrieval.nearest_each(v, _queries(v), 20).select("query_id", F.col("id").alias("vec_id"), rounded("distance", 5).alias("distance"), F.col("rank").cast("long").alias("rank"))
