@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 from collections.abc import Callable, Iterator
@@ -55,3 +56,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="paperloom-"))
     return df.checkpoint()
+
+
+def release(spark: SparkSession) -> None:
+    """Have the shuffle files of finished work deleted now: Spark does so once the driver's JVM collects their handles."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

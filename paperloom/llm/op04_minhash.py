@@ -18,7 +18,8 @@ before pairs are formed.
 4. Every link is confirmed on both full sets, as 48-bit shingle hashes: two sets of n shingles share a false one with
    probability n * n / 2**48, 4e-7 for 10,000, and a single one moves a decision only at the threshold itself.
 
-Component rounds replace labels by their labels' labels, so paths halve in every round.
+Component rounds replace labels by their labels' labels, so paths halve in every round. Shuffle files of finished rounds are
+released between the phases, since many small ones would otherwise wait for the driver's JVM to collect garbage.
 
 Rows out: one per document with its component. Copies and bands are never expanded into all their pairs unless they
 stay unconnected.
@@ -40,7 +41,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import LAST_ID, cut_lineage, map_arrow, row_key, table, text_of
+from paperloom.llm.common import LAST_ID, cut_lineage, map_arrow, release, row_key, table, text_of
 from paperloom.llm.op06_substring import WordHashes, mix, rolling
 
 WORDS = 5
@@ -143,6 +144,7 @@ def components(edges: DataFrame) -> DataFrame:
         after = cut_lineage(spread.join(jump, "comp", "left").select("id", "before", F.least("comp", F.coalesce("further", "comp")).alias("comp")).coalesce(parts))
         labels = after.select("id", "comp")
         if after.filter("before <> comp").isEmpty():
+            release(edges.sparkSession)
             return labels
 
 
@@ -290,6 +292,7 @@ def resolve(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     hubs = members.filter("n > 2").join(degree, "rep").groupBy("band").agg(F.expr("max_by(rep, struct(degree, -rep))").alias("hub"))
     sketched = classes.select("rep", "k0", "k1", "k2", "k3")
     sets = cut_lineage(_sets(d, classes.select("rep", "id", "row").join(members.select("rep"), "rep", "left_semi")))
+    release(docs.sparkSession)
 
     def pair(x: str, y: str) -> list[Column]:
         return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
@@ -310,7 +313,7 @@ def resolve(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     checked = checked.unionAll(more)
     comp = components(links)
     # the rest: bands that still hold several components
-    lone = cut_lineage(placed(members.select("unit", "second", "band", "rep"), "rep"))
+    lone = placed(members.select("unit", "second", "band", "rep"), "rep")
     mixed = lone.groupBy("band").agg(F.min("rep_comp").alias("lo"), F.max("rep_comp").alias("hi")).filter("lo <> hi").select("band")
     rest = cut_lineage(lone.join(mixed, "band", "left_semi").select("unit", "second", "rep", F.col("rep_comp").alias("comp")))
     hot = rest.groupBy("unit", "rep").count().groupBy("unit").agg(F.count("*").alias("n"))
@@ -319,6 +322,7 @@ def resolve(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     whole = rest.join(hot, "unit", "left_anti").select("unit", F.lit(None).cast("long").alias("second"), "rep", "comp").distinct()
     rest = whole.unionByName(rest.join(hot, "unit", "left_semi").distinct())
     found = cut_lineage(exhaust(rest, classes, sets))
+    release(docs.sparkSession)
     if not found.isEmpty():
         comp = components(links.unionAll(found))
 
