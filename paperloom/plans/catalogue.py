@@ -6,8 +6,6 @@ orders and line items for lineage. Every query reads its whole tables.
 
 from __future__ import annotations
 
-import re
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,6 +14,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import identity, text, timevalue, url
 from paperloom.operators import documents as stages
 from paperloom.operators import knowledge, queue, relational, retrieval
+from paperloom.session import checkpointed
 from paperloom.sources import html, readers
 from paperloom.streaming import streams
 from paperloom.tables import load
@@ -45,17 +44,6 @@ def seconds(c: str | Column) -> Column:
     return F.unix_seconds((F.col(c) if isinstance(c, str) else c).cast("timestamp"))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """checkpoint() into the session's shared folder."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        if not folder and not re.match(r"local(\[|$)", context.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="paperloom-"))
-    return df.checkpoint()
-
-
 def rounded(c: str | Column, digits: int = 6) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, digits)
 
@@ -73,68 +61,19 @@ bm AS (SELECT doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf +
 """
 
 
-def _bm25(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.bm25(load(spark, d, "documents"), TERMS)
-
-
-@query(f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM bm ORDER BY round(score, 6) DESC, doc_id LIMIT 100")
-def bm25_topk(spark, d):
-    return _bm25(spark, d).select(F.col("id").alias("doc_id"), rounded("score").alias("score")).orderBy(F.desc("score"), "doc_id").limit(100)
-
-
 _ALIAS = "thereation"
 _GRAMS = """list_distinct(flatten([[substring('  ' || w || ' ', i, 3) for i in range(1, length(w) + 2)] for w in regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')]))"""
-_TRI = f"""
-g AS (SELECT doc_id, {_GRAMS.format('text')} AS g, {_GRAMS.format(f"'{_ALIAS}'")} AS q FROM documents),
-tri AS (SELECT doc_id, len(list_intersect(g, q)) / len(list_distinct(list_concat(g, q))) AS score FROM g WHERE len(g) > 0)
-"""
-
-
-@query(f"WITH {_TRI} SELECT doc_id, round(score, 9) AS score FROM tri WHERE score >= 0.02 ORDER BY tri.score DESC, doc_id LIMIT 50")
-def trigram_alias(spark, d):
-    hits = retrieval.alias_hits(load(spark, d, "documents"), [_ALIAS], 0.02, 50)
-    return hits.select(F.col("id").alias("doc_id"), rounded("score", 9).alias("score"))
-
-
-_FUSED = f"""
-WITH {_BM25},
-a AS (SELECT doc_id, 'bm25' AS channel, row_number() OVER (ORDER BY round(score, 6) DESC, doc_id) - 1 AS r FROM bm QUALIFY r < 100),
-b AS (SELECT doc_id, 'recent' AS channel, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS r FROM documents QUALIFY r < 100),
-f AS (SELECT doc_id, sum(1.0 / (60 + r)) AS score, string_agg(channel || ':' || r, ',' ORDER BY channel, r) AS provenance
-  FROM (FROM a UNION ALL FROM b) GROUP BY doc_id)
-"""
-
-
-def _fused(spark: SparkSession, d: str) -> DataFrame:
-    bm = _bm25(spark, d).withColumn("score", rounded("score"))
-    long_ = load(spark, d, "documents").select(F.col("doc_id").alias("id"), "n_chars")
-    hits = retrieval.channel(bm, "bm25", [F.desc("score"), F.col("id")], 100).unionByName(retrieval.channel(long_, "recent", [F.desc("n_chars"), F.col("id")], 100))
-    return retrieval.fuse(hits)
-
-
-@query(_FUSED + "SELECT doc_id, round(score, 9) AS score, provenance FROM f")
-def rrf_fusion(spark, d):
-    return _fused(spark, d).select(F.col("id").alias("doc_id"), rounded("score", 9).alias("score"), "provenance")
-
-
-@query(_FUSED + ", o AS (SELECT *, row_number() OVER (ORDER BY round(score, 12) DESC, doc_id) AS position, count(*) OVER () AS total FROM f) SELECT doc_id, position, greatest(total - 100, 0) AS remaining FROM o WHERE position > 50 AND position <= 100")
-def rrf_page2(spark, d):
-    fused = _fused(spark, d).withColumn("score", F.round("score", 12))
-    return retrieval.recall_page(fused, 50, size=50).select(F.col("id").alias("doc_id"), F.col("position").cast("long").alias("position"), F.col("remaining").cast("long").alias("remaining"))
-
-
 _DIST = "1 - list_sum([CAST(e[i] AS DOUBLE) * CAST(q[i] AS DOUBLE) for i in range(1, 65)]) / (sqrt(list_sum([CAST(e[i] AS DOUBLE) * e[i] for i in range(1, 65)])) * sqrt(list_sum([CAST(q[i] AS DOUBLE) * q[i] for i in range(1, 65)])))"
 _KNN = f"k AS (SELECT vec_id, label, {_DIST} AS distance FROM (SELECT vec_id, label, embedding AS e, (SELECT embedding FROM embeddings WHERE vec_id = 0) AS q FROM embeddings))"
 
 
-def _query_vector(vectors: DataFrame) -> list[float]:
-    return vectors.filter("vec_id = 0").select("embedding").first()[0]
+def _of_vector_0(v: DataFrame, k: int, **more) -> DataFrame:
+    return retrieval.nearest_each(v, v.filter("vec_id = 0"), k, **more)
 
 
 @query(f"WITH {_KNN} SELECT vec_id, round(distance, 5) AS distance FROM k ORDER BY k.distance, vec_id LIMIT 20")
 def knn_exact(spark, d):
-    v = load(spark, d, "embeddings")
-    return retrieval.nearest(v, _query_vector(v), 20).select(F.col("id").alias("vec_id"), rounded("distance", 5).alias("distance"))
+    return _of_vector_0(load(spark, d, "embeddings"), 20).select(F.col("id").alias("vec_id"), rounded("distance", 5).alias("distance"))
 
 
 @query(f"""WITH {_KNN}, e AS (SELECT vec_id FROM k ORDER BY distance, vec_id LIMIT 10),
@@ -142,9 +81,7 @@ a AS (SELECT vec_id FROM k WHERE label = (SELECT label FROM embeddings WHERE vec
 SELECT found, wanted, found / wanted AS recall, found / wanted >= 0.98 AS passes FROM (SELECT count(*) FILTER (vec_id IN (FROM a)) AS found, count(*) AS wanted FROM e)""")
 def knn_recall_gate(spark, d):
     v = load(spark, d, "embeddings")
-    q = _query_vector(v)
-    same = v.join(F.broadcast(v.filter("vec_id = 0").select("label")), "label")
-    return retrieval.recall_at_k(retrieval.nearest(v, q, 10), retrieval.nearest(same, q, 10)).withColumn("passes", F.col("recall") >= 0.98)
+    return retrieval.recall_at_k(_of_vector_0(v, 10), _of_vector_0(v, 10, cell="label")).withColumn("passes", F.col("recall") >= 0.98)
 
 
 _EACH = f"""qs AS (SELECT vec_id AS query_id, label AS query_label, embedding AS q FROM embeddings WHERE vec_id % 100 = 0),

@@ -76,10 +76,10 @@ _COS = "1 - list_sum([e.embedding[i]::DOUBLE * q.embedding[i]::DOUBLE for i in r
 def vector_chain(spark, d):
     """Vectors of the documents in scope, by distance to one query vector; scope first, so few vectors are measured."""
     v = load(spark, d, "embeddings")
-    q = v.filter("vec_id = 5").select("embedding").first()[0]
+    q = v.filter("vec_id = 5").select(F.col("embedding").alias("q"))  # one row
     docs = load(spark, d, "documents").filter("lang = 'en'").select("doc_id").join(load(spark, d, "labels").filter("quality = 1").select("doc_id"), "doc_id")
-    near = v.withColumnRenamed("vec_id", "doc_id").join(docs, "doc_id")
-    return near.select("doc_id", F.round(retrieval.cosine_distance(F.col("embedding"), F.array(*[F.lit(float(x)) for x in q])), 5).alias("distance"))
+    near = v.withColumnRenamed("vec_id", "doc_id").join(docs, "doc_id").join(F.broadcast(q))
+    return near.select("doc_id", F.round(retrieval.cosine_distance(F.col("embedding"), F.col("q")), 5).alias("distance"))
 
 
 _CURRENT = "p AS (SELECT o_custkey, max(o_orderkey) AS current_id FROM orders GROUP BY o_custkey)"
