@@ -39,8 +39,12 @@ from pyspark.sql import functions as F
 from paperloom.llm.common import LAST_ID, map_arrow, row_key, table, text_of
 
 WINDOW, GRAM = 20, 6
-#: Documents that tell which anchors are hot, and the least share of them that makes an anchor hot.
-SAMPLE, HOT = 5_000, 0.01
+#: Anchors are hot that this share of all documents have, or so many documents; a sample of at least so many tells.
+HOT, HOT_ROWS, SAMPLE = 0.01, 20_000, 5_000
+#: Of hot anchors at most so many, the commonest, are split.
+MOST_HOT = 1 << 20
+#: Matches grow by single windows up to so many.
+STEPS = 24
 #: Words that a task handles at once.
 CHUNK = 1_000_000
 CACHE = 500_000
@@ -196,8 +200,10 @@ def segments(docs: DataFrame, hot: np.ndarray) -> DataFrame:
 
 
 def hot_anchors(docs: DataFrame, sample: int = SAMPLE, share: float = HOT) -> np.ndarray:
-    """Sorted anchors that at least ``share`` of about ``sample`` documents have: a layout hint of bounded size."""
+    """Sorted anchors to split, a layout hint of bounded size: those that about ``share`` of all documents have, or ``HOT_ROWS``
+    documents where that is less. The sample grows with the corpus so that 20 of it stand for ``HOT_ROWS``."""
     n = docs.count()
+    sample = min(n, max(sample, -(-20 * n // HOT_ROWS)))
     part = min(1.0, sample / max(1, n))
     some = docs if part == 1 else docs.filter(F.pmod(F.xxhash64("row", "doc_id"), F.lit(1 << 20)) < int(part * (1 << 20)))
 
@@ -211,17 +217,19 @@ def hot_anchors(docs: DataFrame, sample: int = SAMPLE, share: float = HOT) -> np
                     each = np.unique(_anchored(h, slice(None), np.zeros(0, np.uint64))[1])
                     yield pa.RecordBatch.from_arrays([pa.array(each.view(np.int64))], ["anchor"])
 
-    least = max(20, int(share * min(sample, n)))
+    least = max(20, int(min(share * sample, HOT_ROWS * sample / max(1, n))))
     often = some.select("text").mapInArrow(run, "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    often = often.orderBy(F.desc("n"), "anchor").limit(MOST_HOT)
     return np.sort(np.array([r["anchor"] for r in often.select("anchor").collect()], np.int64).view(np.uint64))
 
 
 def longest_matches(key: np.ndarray, seg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For every window the length of the longest match that begins earlier, and where it begins.
+    """For every window the length of the longest match that begins earlier, and where one begins.
 
     key: windows in order, equal keys for equal windows of one block; seg: the segment of each; matches end with their
     segments. Matches grow window by window: the class of a match of length k + 1 is that of length k and the next
-    window. Only windows whose match goes on, and those they may match, stay in work.
+    window. Only windows whose match goes on, and those they may match, stay in work. Longer matches than ``STEPS``
+    come from repetitive texts, of which every window goes on; they are found by suffix ranks instead of one step a window.
     """
     n = len(key)
     length, source = np.zeros(n, np.int64), np.full(n, -1, np.int64)
@@ -232,6 +240,13 @@ def longest_matches(key: np.ndarray, seg: np.ndarray) -> tuple[np.ndarray, np.nd
         _, lead, group, size = np.unique(own, return_index=True, return_inverse=True, return_counts=True)
         shared = size[group] > 1
         at, origin = at[shared], at[lead[group]][shared]
+        if k == STEPS and len(at):
+            whole = np.ones(len(at), bool)
+            whole[1:] = (at[1:] != at[:-1] + 1) | (seg[at[1:]] != seg[at[:-1]])
+            more, before = longest_previous(origin, np.cumsum(whole))
+            found = more > 0
+            length[at[found]], source[at[found]] = more[found] + k - 1, at[before[found]]
+            break
         later = at > origin
         length[at[later]], source[at[later]] = k, origin[later]
         further = at + k < n
@@ -241,6 +256,47 @@ def longest_matches(key: np.ndarray, seg: np.ndarray) -> tuple[np.ndarray, np.nd
     return length, source
 
 
+def longest_previous(symbol: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every position the longest match that begins earlier and stays in its run, and where it begins.
+
+    Positions are ranked by their first 1, 2, 4, 8... symbols, each rank from two of the one before, until runs end or all differ: a
+    logarithmic number of sorts, however repetitive the symbols are. The longest earlier match is that with one of the two
+    nearest earlier positions in the order of the last ranks.
+    """
+    n = len(symbol)
+    edges = np.append(np.flatnonzero(np.diff(run, prepend=run[0] - 1)), n)
+    end = np.repeat(edges[1:], np.diff(edges))
+    place = np.arange(n)
+    ranks = [np.unique(symbol, return_inverse=True)[1]]
+    k, longest = 1, int(np.diff(edges).max())
+    while k < longest and ranks[-1].max() + 1 < n:
+        second = np.where(place + k < end, ranks[-1][np.minimum(place + k, n - 1)] + 1, 0)
+        ranks.append(np.unique(ranks[-1] * (n + 1) + second, return_inverse=True)[1])
+        k *= 2
+    order = np.argsort(ranks[-1], kind="stable").tolist()
+    above, below = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
+    for near, way in ((above, order), (below, order[::-1])):
+        stack: list[int] = []
+        for i in way:
+            while stack and stack[-1] > i:
+                stack.pop()
+            if stack:
+                near[i] = stack[-1]
+            stack.append(i)
+    length, source = np.zeros(n, np.int64), np.full(n, -1, np.int64)
+    for near in (above, below):
+        i = np.flatnonzero(near >= 0)
+        j, common = near[i], np.zeros(len(i), np.int64)
+        for level in range(len(ranks) - 1, -1, -1):
+            x, y = i + common, j + common
+            open_ = (x < end[i]) & (y < end[j])
+            same = open_ & (ranks[level][np.minimum(x, n - 1)] == ranks[level][np.minimum(y, n - 1)])
+            common += np.where(same, np.minimum(1 << level, end[i] - x), 0)
+        better = common > length[i]
+        length[i[better]], source[i[better]] = common[better], j[better]
+    return length, source
+
+
 class _Block:
     """Segments of the block that goes on in the next batch, but for those that one factor covers."""
 
