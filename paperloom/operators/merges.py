@@ -38,10 +38,12 @@ def decide(events: DataFrame, commands: DataFrame, cut: Callable[[DataFrame], Da
         outcome = F.when(~same, "version_conflict").when(F.col("canonical_id") == F.col("merged_id"), "self_merge").otherwise("merged")
         r = cut(r.withColumn("outcome", F.when(ready, outcome)).drop("_fc", "_fm"))
         settled.append(r.filter("outcome is not null").select(*keep, "outcome"))
-        raised = r.filter("outcome = 'merged'").groupBy(F.col("merged_id").alias("event_id")).agg(F.count("*").alias("_up"))
+        # a round merges an event away once at most; it counts for later commands only
+        raised = r.filter("outcome = 'merged'").select(F.col("merged_id").alias("event_id"), F.col("seq").alias("_at"))
         left = r.filter("outcome is null").drop("outcome")
-        left = left.join(raised.withColumnsRenamed({"event_id": "canonical_id", "_up": "_uc"}), "canonical_id", "left").join(raised.withColumnsRenamed({"event_id": "merged_id", "_up": "_um"}), "merged_id", "left")
-        left = left.withColumns({"_c": F.col("_c") + F.coalesce("_uc", F.lit(0)), "_m": F.col("_m") + F.coalesce("_um", F.lit(0))}).drop("_uc", "_um")
+        left = left.join(raised.withColumnsRenamed({"event_id": "canonical_id", "_at": "_ac"}), "canonical_id", "left").join(raised.withColumnsRenamed({"event_id": "merged_id", "_at": "_am"}), "merged_id", "left")
+        up = lambda v, at: F.col(v) + F.coalesce((F.col(at) < F.col("seq")).cast("int"), F.lit(0))
+        left = left.withColumns({"_c": up("_c", "_ac"), "_m": up("_m", "_am")}).drop("_ac", "_am")
         left = cut(left)
     out = settled[0]
     for part in settled[1:]:
@@ -99,6 +101,7 @@ def undo(merges: DataFrame, events: DataFrame, snapshots: DataFrame) -> tuple[Da
     d = merges.join(v.select(F.col("event_id").alias("canonical_id"), F.col("row_version").alias("_c")), "canonical_id", "left")
     d = d.join(v.select(F.col("event_id").alias("merged_id"), F.col("row_version").alias("_m")), "merged_id", "left")
     edits = F.greatest(F.col("_c") - F.col("canonical_version"), F.lit(0)) + F.greatest(F.col("_m") - F.col("merged_version"), F.lit(0))
+    edits = F.when(F.col("_c").isNotNull() & F.col("_m").isNotNull(), edits)
     d = d.withColumn("modifications", edits)
     outcome = F.when(edits.isNull(), "missing").when(edits > 0, "conflict").otherwise("undone")
     outcomes = d.select("merge_id", "canonical_id", "merged_id", "modifications", outcome.alias("outcome"))

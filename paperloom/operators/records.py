@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.functions.url import normalize_url
+
 
 def listed(rows: DataFrame, equals: dict[str, object], within: dict[str, list] | None = None, deleted: str | None = None) -> DataFrame:
     """Rows by optional equalities (None asks for nothing), IN lists, and without soft-deleted ones."""
@@ -17,19 +19,26 @@ def listed(rows: DataFrame, equals: dict[str, object], within: dict[str, list] |
 
 
 def like_any(columns: list[str], needle: str) -> Column:
-    """Case-insensitive substring search over several columns; the needle's % and _ are ordinary characters."""
-    text = needle.lower()
+    """Case-insensitive substring search over several columns. The needle is a pattern: % is any text, _ any character, and
+    a backslash makes the next character an ordinary one."""
+    pattern, rest = "", iter(f"%{needle}%")
+    for c in rest:
+        if c == "\\":
+            c = next(rest)
+            pattern += f"\\{c}" if c in "%_\\" else c
+        else:
+            pattern += c
     found = F.lit(False)
     for c in columns:
-        found = found | F.coalesce(F.contains(F.lower(c), F.lit(text)), F.lit(False))
+        found = found | F.coalesce(F.col(c).ilike(pattern), F.lit(False))
     return found
 
 
-def unified(kinds: list[tuple[str, DataFrame]]) -> DataFrame:
-    """(ordinal, kind, id, moment) of several hit lists (id, moment), each kind after the other, newest first."""
+def unified(kinds: list[tuple[str, DataFrame]], most: int = 50) -> DataFrame:
+    """(ordinal, kind, id, moment) of several hit lists (id, moment), each kind after the other, of each the ``most`` newest."""
     out = None
     for n, (kind, hits) in enumerate(kinds):
-        part = hits.select(F.lit(n).alias("ordinal"), F.lit(kind).alias("kind"), "id", "moment")
+        part = hits.orderBy(F.desc_nulls_last("moment"), "id").limit(most).select(F.lit(n).alias("ordinal"), F.lit(kind).alias("kind"), "id", "moment")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -78,42 +87,6 @@ def within_budget(calls: DataFrame, key: str, order: list[Column], most: int) ->
     return calls.withColumn("allowed", F.row_number().over(Window.partitionBy(key).orderBy(*order)) <= most)
 
 
-def bump_watermarks(windows: DataFrame, seen: DataFrame) -> DataFrame:
-    """(window_id, watermark): each half-open window's watermark, raised to the latest moment seen inside it.
-
-    windows: window_id, lo, hi, watermark; seen: slot, moment. A moment belongs to the window of its slot.
-    """
-    top = seen.groupBy("window_id").agg(F.max("moment").alias("_top"))
-    d = windows.join(top, "window_id", "left")
-    inside = (F.col("_top") >= F.col("lo")) & (F.col("_top") < F.col("hi"))
-    return d.select("window_id", F.when(inside, F.greatest("watermark", "_top")).otherwise(F.col("watermark")).alias("watermark"))
-
-
-def merge_events(events: DataFrame, commands: DataFrame) -> DataFrame:
-    """(source_id, target_id, outcome) of merge commands (source_id, target_id, source_version, target_version).
-
-    self_merge, missing, version_conflict or merged; of several commands for one source only the first may merge.
-    """
-    e = events.select("event_id", "row_version")
-    d = commands.join(e.select(F.col("event_id").alias("source_id"), F.col("row_version").alias("_s")), "source_id", "left")
-    d = d.join(e.select(F.col("event_id").alias("target_id"), F.col("row_version").alias("_t")), "target_id", "left")
-    own = (
-        F.when(F.col("source_id") == F.col("target_id"), "self_merge")
-        .when(F.col("_s").isNull() | F.col("_t").isNull(), "missing")
-        .when((F.col("_s") != F.col("source_version")) | (F.col("_t") != F.col("target_version")), "version_conflict")
-    )
-    nth = F.row_number().over(Window.partitionBy("source_id").orderBy(F.col("own").isNotNull(), "target_id"))
-    d = d.withColumn("own", own).withColumn("n", nth)
-    return d.select("source_id", "target_id", F.coalesce("own", F.when(F.col("n") > 1, "version_conflict"), F.lit("merged")).alias("outcome"))
-
-
-def undo_merges(merges: DataFrame, events: DataFrame) -> DataFrame:
-    """(source_id, edits, outcome): undone unless the target was edited since (row_version beyond the merge's own)."""
-    d = merges.join(events.select(F.col("event_id").alias("target_id"), "row_version"), "target_id")
-    edits = F.greatest(F.col("row_version") - F.col("merged_version"), F.lit(0))
-    return d.select("source_id", edits.alias("edits"), F.when(edits > 0, "conflict").otherwise("undone").alias("outcome"))
-
-
 def append_changed(current_: DataFrame, patches: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """New revisions (key, fields, version) of rows whose patch (nulls keep the value) changes a field."""
     p = patches.select(key, *[F.col(f).alias(f"_{f}") for f in fields])
@@ -158,12 +131,22 @@ def run_summaries(log: DataFrame, key: list[str], failed: Column) -> DataFrame:
     return d.withColumn("status", F.when(F.col("failures") == 0, "complete").when(F.col("failures") < F.col("discovered"), "partial").otherwise("failed"))
 
 
+def canonical(entries: DataFrame) -> DataFrame:
+    """Adds canonical_url, null where url isn't an absolute http(s) URL."""
+    return entries.withColumn("canonical_url", normalize_url(F.col("url")))
+
+
 def discover(entries: DataFrame, known: DataFrame, boundary: DataFrame, feed: str, hours: int = 72) -> tuple[DataFrame, DataFrame]:
-    """(new candidates, next boundaries) of one discovery step: entries behind a feed's boundary less the overlap are
-    dropped, what is known is skipped, and the boundary only moves forward. entries: feed, url, published; boundary: feed, at.
+    """(new candidates, next boundaries) of one discovery step. entries: feed, url, published; known: feed, canonical_url;
+    boundary: feed, at.
+
+    Entries older than a feed's boundary less the overlap are history and dropped; undated ones stay. What is known by
+    its canonical URL is skipped, and URLs without one are no candidates. The boundary is the oldest moment
+    that a feed has shown inside the overlap, so it only moves back.
     """
-    d = entries.join(boundary, feed, "left")
+    d = canonical(entries).join(boundary, feed, "left")
     fresh = d.filter(F.col("at").isNull() | F.col("published").isNull() | (F.col("published") >= F.col("at") - F.expr(f"INTERVAL {hours} HOURS")))
-    new = fresh.groupBy(feed, "url").agg(F.min("published").alias("published")).join(known.select(feed, "url").distinct(), [feed, "url"], "left_anti")
-    moved = fresh.groupBy(feed).agg(F.max("published").alias("_top"))
-    return new, boundary.join(moved, feed, "full_outer").select(feed, F.greatest("at", "_top").alias("at"))
+    found = fresh.filter("canonical_url is not null").groupBy(feed, "canonical_url").agg(F.min("url").alias("url"), F.min("published").alias("published"))
+    new = found.join(known.select(feed, "canonical_url").distinct(), [feed, "canonical_url"], "left_anti")
+    moved = fresh.groupBy(feed).agg(F.min("published").alias("_oldest"))
+    return new, boundary.join(moved, feed, "full_outer").select(feed, F.least("at", "_oldest").alias("at"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import identity, text, timevalue, url
 from paperloom.operators import documents as stages
-from paperloom.operators import knowledge, queue, relational, retrieval
+from paperloom.operators import knowledge, queue, quotes, relational, retrieval
 from paperloom.session import checkpointed
 from paperloom.sources import html, readers
 from paperloom.streaming import streams
@@ -258,10 +258,9 @@ def numbers_in_text(spark, d):
 
 @query("SELECT item_id, doc_id, strpos(d.text, b.text) - 1 AS start, (length(d.text) - length(replace(d.text, b.text, ''))) // length(b.text) AS found FROM benchmark b JOIN documents d ON contains(d.text, b.text) AND b.text <> ''")
 def quote_locate(spark, d):
-    """The items, a stated query set, against all documents; they are matched row by row, no pair is formed before."""
-    items = load(spark, d, "benchmark").filter("text <> ''").select("item_id", F.col("text").alias("quote"))
-    hits = load(spark, d, "documents").join(items, F.contains(F.col("text"), F.col("quote")))
-    return hits.select("item_id", "doc_id", text.quote_start(F.col("text"), F.col("quote")).cast("long").alias("start"), text.quote_count(F.col("text"), F.col("quote")).cast("long").alias("found"))
+    """The items against all documents, which meet by the rarest pair of words of each."""
+    hits = quotes.search(load(spark, d, "documents"), load(spark, d, "benchmark").select("item_id", F.col("text").alias("quote")))
+    return hits.groupBy("item_id", "doc_id").agg(F.min("start").cast("long").alias("start"), F.count("*").alias("found"))
 
 
 @query("SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{n}' END" for n, p in text.CREDENTIALS) + "], lambda x: x IS NOT NULL), ',') AS kinds FROM documents")

@@ -37,16 +37,16 @@ def newest_list(spark, d):
     return o.orderBy(F.desc("o_orderdate"), "o_orderkey").limit(50).select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("moment"))
 
 
-@query("SELECT doc_id FROM documents WHERE contains(lower(text), 'a_c%') OR contains(lower(source), 'src1')")
+@query("SELECT doc_id FROM documents WHERE text ILIKE '%A_c%5%' OR source ILIKE '%A_c%5%' OR source ILIKE '%SRC1%'")
 def two_column_search(spark, d):
-    return load(spark, d, "documents").filter(records.like_any(["text", "source"], "A_c%") | records.like_any(["source"], "SRC1")).select("doc_id")
+    return load(spark, d, "documents").filter(records.like_any(["text", "source"], "A_c%5") | records.like_any(["source"], "SRC1")).select("doc_id")
 
 
-@query("""SELECT 0 AS ordinal, 'document' AS kind, doc_id AS id, n_chars AS moment FROM documents WHERE contains(lower(text), 'ation')
-UNION ALL SELECT 1, 'turn', conv_id, turn FROM conversations WHERE contains(lower(text), 'ation')""")
+@query("""FROM (SELECT 0 AS ordinal, 'document' AS kind, doc_id AS id, n_chars AS moment FROM documents WHERE text ILIKE '%Ation%' ORDER BY n_chars DESC, doc_id LIMIT 50)
+UNION ALL FROM (SELECT 1, 'turn', conv_id * 100 + turn, turn FROM conversations WHERE text ILIKE '%Ation%' ORDER BY turn DESC, conv_id * 100 + turn LIMIT 50)""")
 def unified_search(spark, d):
-    hits = lambda name, i, m: load(spark, d, name).filter(records.like_any(["text"], "Ation")).select(F.col(i).alias("id"), F.col(m).alias("moment"))
-    return records.unified([("document", hits("documents", "doc_id", "n_chars")), ("turn", hits("conversations", "conv_id", "turn"))])
+    hits = lambda name, i, m: load(spark, d, name).filter(records.like_any(["text"], "Ation")).select(F.expr(i).alias("id"), F.col(m).alias("moment"))
+    return records.unified([("document", hits("documents", "doc_id", "n_chars")), ("turn", hits("conversations", "conv_id * 100 + turn", "turn"))])
 
 
 @query("SELECT event_id, 'view' AS kind FROM (SELECT event_id FROM events WHERE event_type = 'view' ORDER BY ts DESC, event_id LIMIT 50) UNION ALL SELECT event_id, 'click' FROM (SELECT event_id FROM events WHERE event_type = 'click' ORDER BY ts DESC, event_id LIMIT 50)")
@@ -180,14 +180,6 @@ def source_runs(spark, d):
     return records.run_summaries(e, ["user_id", "day"], F.col("event_type") == "error")
 
 
-@query("""WITH w AS (SELECT DISTINCT user_id AS window_id FROM events), s AS (SELECT user_id AS window_id, max(event_id) AS top FROM events WHERE event_type = 'view' GROUP BY 1)
-SELECT window_id, CASE WHEN top >= 100 AND top < 40000 THEN greatest(500, top) ELSE 500 END AS watermark FROM w LEFT JOIN s USING (window_id)""")
-def coverage_watermarks(spark, d):
-    e = load(spark, d, "events").withColumnRenamed("user_id", "window_id")
-    windows = e.select("window_id").distinct().select("window_id", F.lit(100).alias("lo"), F.lit(40000).alias("hi"), F.lit(500).cast("long").alias("watermark"))
-    return records.bump_watermarks(windows, e.filter("event_type = 'view'").select("window_id", F.col("event_id").alias("moment")))
-
-
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 = 0 THEN 'missing' WHEN l_returnflag = 'R' THEN 'superfluous' ELSE 'stale' END AS change FROM (SELECT DISTINCT l_orderkey, l_linenumber, first_value(l_returnflag) OVER k AS l_returnflag, first_value(l_linestatus) OVER k AS l_linestatus FROM lineitem WINDOW k AS (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice))
 WHERE (l_linenumber % 3 = 0 AND l_returnflag <> 'R') OR (l_linenumber % 3 <> 0 AND (l_returnflag = 'R' OR l_linestatus = 'F'))""")
 def index_drift(spark, d):
@@ -211,37 +203,33 @@ def published_parsers(spark, d):
     return relational.first_by(p, ["p_brand", "p_type"], F.struct("version", "p_partkey")).select("p_brand", "p_type", "version", "p_partkey")
 
 
-@query("""WITH e AS (SELECT regexp_extract(url, '://([^/?#]*)', 1) AS feed, regexp_replace(url, '[?#].*$', '') AS url, page_id AS n FROM pages), b AS (SELECT feed, max(n) AS edge FROM e WHERE n % 3 = 0 GROUP BY feed)
-SELECT feed, url, min(n) AS published FROM e LEFT JOIN b USING (feed) WHERE edge IS NULL OR n >= edge - 72 GROUP BY feed, url HAVING (feed, url) NOT IN (SELECT (feed, url) FROM e WHERE n % 3 = 0)""")
+_CANON_URL = "regexp_replace(regexp_replace(url, '#.*$', ''), '[?].*$', '')"
+
+
+@query(f"""WITH e AS (SELECT regexp_extract(url, '://([^/?#]*)', 1) AS feed, {_CANON_URL} AS canonical_url, page_id AS n FROM pages), b AS (SELECT feed, max(n) AS edge FROM e WHERE n % 3 = 0 GROUP BY feed)
+SELECT feed, canonical_url, min(n) AS published FROM e LEFT JOIN b USING (feed) WHERE edge IS NULL OR n >= edge - 72 GROUP BY feed, canonical_url HAVING (feed, canonical_url) NOT IN (SELECT (feed, canonical_url) FROM e WHERE n % 3 = 0)""")
 def discovery_step(spark, d):
     """One page an hour: what a feed shows behind its boundary less 72 hours, and isn't known."""
-    e = load(spark, d, "pages").select(F.regexp_extract("url", "://([^/?#]*)", 1).alias("feed"), F.regexp_replace("url", "[?#].*$", "").alias("url"), F.timestamp_seconds(F.col("page_id") * 3600).alias("published"))
-    known = e.filter(F.unix_seconds("published") / 3600 % 3 == 0)
-    new, _ = records.discover(e, known, known.groupBy("feed").agg(F.max("published").alias("at")), "feed")
-    return new.select("feed", "url", (F.unix_seconds("published") / 3600).cast("long").alias("published"))
+    new, _ = records.discover(*_discovery(spark, d), "feed")
+    return new.select("feed", "canonical_url", (F.unix_seconds("published") / 3600).cast("long").alias("published"))
 
 
-# --- events, answers, revisions --------------------------------------------------------------------------------------------
+def _discovery(spark, d):
+    e = load(spark, d, "pages").select(F.regexp_extract("url", "://([^/?#]*)", 1).alias("feed"), F.regexp_replace("url", "[?#].*$", "").alias("url"), F.timestamp_seconds(F.col("page_id") * 3600).alias("published"))
+    known = e.filter(F.unix_seconds("published") / 3600 % 3 == 0)
+    return e, known.withColumnRenamed("url", "canonical_url"), known.groupBy("feed").agg(F.max("published").alias("at"))
 
-_VERSIONS = "e AS (SELECT c_custkey AS event_id, 1 + c_custkey % 3 AS row_version FROM customer)"
 
+@query("""WITH e AS (SELECT regexp_extract(url, '://([^/?#]*)', 1) AS feed, page_id AS n FROM pages), b AS (SELECT feed, max(n) AS edge FROM e WHERE n % 3 = 0 GROUP BY feed)
+SELECT feed, least(edge, min(n)) AS at FROM e LEFT JOIN b USING (feed) WHERE edge IS NULL OR n >= edge - 72 GROUP BY feed, edge""")
+def discovery_boundaries(spark, d):
+    """The boundaries after that step: they only move back."""
+    _, moved = records.discover(*_discovery(spark, d), "feed")
+    return moved.select("feed", (F.unix_seconds("at") / 3600).cast("long").alias("at"))
 
-@query(f"""WITH {_VERSIONS}, c AS (SELECT o_custkey AS source_id, (o_orderkey % 1600) AS target_id, 1 + o_custkey % 3 AS sv, 1 + o_orderkey % 2 AS tv FROM orders WHERE o_orderpriority = '1-URGENT'),
-x AS (SELECT DISTINCT source_id, target_id, sv, tv FROM c), j AS (SELECT x.*, CASE WHEN source_id = target_id THEN 'self_merge' WHEN s.event_id IS NULL OR t.event_id IS NULL THEN 'missing' WHEN s.row_version <> sv OR t.row_version <> tv THEN 'version_conflict' END AS own
-  FROM x LEFT JOIN e s ON source_id = s.event_id LEFT JOIN e t ON target_id = t.event_id)
-SELECT source_id, target_id, coalesce(own, CASE WHEN row_number() OVER (PARTITION BY source_id ORDER BY own IS NOT NULL, target_id) > 1 THEN 'version_conflict' ELSE 'merged' END) AS outcome FROM j""")
-def event_merges(spark, d):
-    e = load(spark, d, "customer").select(F.col("c_custkey").alias("event_id"), (1 + F.col("c_custkey") % 3).alias("row_version"))
-    o = load(spark, d, "orders").filter("o_orderpriority = '1-URGENT'")
-    commands = o.select(F.col("o_custkey").alias("source_id"), (F.col("o_orderkey") % 1600).alias("target_id"), (1 + F.col("o_custkey") % 3).alias("source_version"), (1 + F.col("o_orderkey") % 2).alias("target_version")).distinct()
-    return records.merge_events(e, commands)
 
+# --- events, answers, revisions --------------------------------------------------------------------------------------------
 
-@query(f"WITH {_VERSIONS} SELECT o_orderkey AS source_id, greatest(row_version - 2, 0) AS edits, CASE WHEN row_version > 2 THEN 'conflict' ELSE 'undone' END AS outcome FROM orders JOIN e ON o_custkey = event_id")
-def merge_undo(spark, d):
-    e = load(spark, d, "customer").select(F.col("c_custkey").alias("event_id"), (1 + F.col("c_custkey") % 3).alias("row_version"))
-    m = load(spark, d, "orders").select(F.col("o_orderkey").alias("source_id"), F.col("o_custkey").alias("target_id"), F.lit(2).cast("long").alias("merged_version"))
-    return records.undo_merges(m, e)
 
 
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'BUILDING' ELSE c_mktsegment END AS c_mktsegment, CASE WHEN c_custkey % 3 = 0 THEN 7 ELSE c_nationkey END AS c_nationkey, 2 AS version FROM customer
