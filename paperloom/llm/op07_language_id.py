@@ -6,7 +6,12 @@ The trigram model, the reliability of declarations, the suffix table and the pri
 every document; the host prior is smoothed towards its suffix's distribution and that one towards the corpus.
 
 A document is rejected if its text has fewer than ``min_letters`` letters, or if no language reaches
-``min_posterior``. A text in a language that hardly any document declares is given the nearest one modelled.
+``min_posterior``. A document that declares a language which is not modelled, and whose text lies far from every model (its mean
+trigram likelihood is far below that of texts which declare the language they resemble), keeps what it declares, with
+posterior 1. Without such a declaration, or with a short text, it is given the nearest language modelled.
+
+Suffix and host meet in one table with a row for each host, so documents are joined once, by host. Hosts with a thousandth of all
+documents or more, of which there are a thousand at most, are told to every task; only documents of other hosts are shuffled.
 
 Defined results: a null or empty text has no letters and is rejected with language null; a null or unknown
 declaration, address or host is evidence of its own category; where no document declares a language all texts with
@@ -45,6 +50,11 @@ class Config:
     prior_strength: float = 20.0
     min_letters: int = 1
     min_posterior: float = 0.5
+    #: A text of at least so many trigrams is far from a model that is so many deviations above it.
+    far_trigrams: int = 50
+    far_deviations: float = 4.0
+    #: Hosts with at least this share of the documents are hot.
+    hot_share: float = 0.001
 
 
 @functools.lru_cache(maxsize=1)
@@ -144,26 +154,29 @@ def trigram_model(rows: DataFrame, config: Config) -> np.ndarray:
 
 
 def likelihoods(rows: DataFrame, model: np.ndarray, config: Config) -> DataFrame:
-    """Adds letters, ``ll`` (tempered log likelihoods, 0 at the best language) and ``guess`` by the text alone."""
+    """Adds letters, trigrams, ``fit`` (the best language's mean log likelihood of a trigram), ``ll`` (tempered log
+    likelihoods, 0 at the best language) and ``guess`` by the text alone."""
     model32 = model.astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ll, letters = [], []
+            ll, letters, sizes, fits = [], [], [], []
             for text in batch.column("text"):
                 s, n, size = np.zeros(model32.shape[1]), 0, 0
                 for b, own in _slices(text.as_py()):
                     s += model32[b].sum(0, dtype=np.float64)
                     n, size = n + own, size + len(b)
+                sizes.append(size)
+                fits.append(float(s.max()) / max(1, size))
                 s *= min(1.0, config.most_evidence / max(1, size))
                 ll.append((s - s.max()).tolist())
                 letters.append(n)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("doc_id", "declared", "suffix", "host")), pa.array(letters, pa.int64()), pa.array(ll, pa.list_(pa.float64()))],
-                ["doc_id", "declared", "suffix", "host", "letters", "ll"],
+                [*(batch.column(c) for c in ("doc_id", "tag", "declared", "suffix", "host")), pa.array(letters, pa.int64()), pa.array(sizes, pa.int64()), pa.array(fits, pa.float64()), pa.array(ll, pa.list_(pa.float64()))],
+                ["doc_id", "tag", "declared", "suffix", "host", "letters", "trigrams", "fit", "ll"],
             )
 
-    out = rows.mapInArrow(run, "doc_id long, declared string, suffix string, host string, letters long, ll array<double>")
+    out = rows.mapInArrow(run, "doc_id long, tag string, declared string, suffix string, host string, letters long, trigrams long, fit double, ll array<double>")
     return out.withColumn("guess", F.expr("int(array_position(ll, 0.0D)) - 1"))
 
 
@@ -172,7 +185,7 @@ def identify(rows: DataFrame, config: Config = Config()) -> DataFrame:
     config = replace(config, languages=config.languages or declared_languages(rows, config))
     n = len(config.languages)
     modelled = F.col("declared").isin(*config.languages, "none")
-    rows = rows.withColumn("declared", F.when(modelled, F.col("declared")).otherwise("other"))
+    rows = rows.withColumn("tag", F.col("declared")).withColumn("declared", F.when(modelled, F.col("declared")).otherwise("other"))
     scored = cut_lineage(likelihoods(rows, trigram_model(rows, config), config))
     told = scored.filter(F.col("letters") >= config.min_letters)
     # bounded: declarations are the modelled languages, other and none
@@ -184,18 +197,23 @@ def identify(rows: DataFrame, config: Config = Config()) -> DataFrame:
     says = F.create_map(*[x for d, c in confusion.items() for x in (F.lit(d), F.array(*[F.lit(float(v)) for v in np.log(c / total)]))])
     corpus = F.array(*[F.lit(float(v)) for v in total / total.sum()])
 
-    def distribution(key: str, name: str) -> DataFrame:
-        counts = told.groupBy(key).agg(*[F.sum((F.col("guess") == k).cast("double")).alias(f"c{k}") for k in range(n)])
-        return counts.select(key, F.array(*[f"c{k}" for k in range(n)]).alias(name))
-
     def smoothed(counts: Column, above: Column) -> Column:
         size = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x) + config.prior_strength
         return F.transform(counts, lambda x, i: (x + config.prior_strength * above[i]) / size)
 
-    zeros = F.array(*[F.lit(0.0)] * n)
-    d = scored.join(distribution("suffix", "by_suffix"), "suffix", "left").join(distribution("host", "by_host"), "host", "left")
-    d = d.withColumn("suffix_share", smoothed(F.coalesce("by_suffix", zeros), corpus))
-    d = d.withColumn("prior", smoothed(F.coalesce("by_host", zeros), F.col("suffix_share")))
+    # a row for each host; the suffixes' counts are sums of these
+    places = [f"c{k}" for k in range(n)]
+    by_place = cut_lineage(told.groupBy("suffix", "host").agg(*[F.sum((F.col("guess") == k).cast("double")).alias(c) for k, c in enumerate(places)], F.count("*").alias("size")))
+    summed = lambda key, name: by_place.groupBy(key).agg(F.array(*[F.sum(c) for c in places]).alias(name))
+    hosts = by_place.select("suffix", "host", "size").join(summed("suffix", "by_suffix"), "suffix").join(summed("host", "by_host"), "host")
+    hosts = hosts.select("suffix", "host", smoothed(F.col("by_host"), smoothed(F.col("by_suffix"), corpus)).alias("prior"), "size")
+    hosts = cut_lineage(hosts)
+    documents = told.count()
+    hot = hosts.filter(F.col("size") >= max(2.0, config.hot_share * documents)).drop("size")
+    told_hot = scored.join(F.broadcast(hot), ["suffix", "host"], "left")  # a bounded number of hosts
+    rest = hosts.drop("size").withColumnRenamed("prior", "own_prior")
+    cold = told_hot.filter("prior is null").drop("prior").join(rest, ["suffix", "host"], "left").withColumn("prior", F.coalesce("own_prior", corpus)).drop("own_prior")
+    d = told_hot.filter("prior is not null").unionByName(cold)
     d = d.withColumn("said", says[F.col("declared")])
     # log posterior: the host's prior already holds its suffix's, so that evidence counts once
     joint = F.transform("ll", lambda x, i: x + F.log(F.col("prior")[i]) + F.col("said")[i])
@@ -204,7 +222,14 @@ def identify(rows: DataFrame, config: Config = Config()) -> DataFrame:
     posterior = 1 / F.aggregate("joint", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
     enough = F.col("letters") >= config.min_letters
     names = F.array(*[F.lit(x) for x in config.languages])
-    d = d.select("doc_id", "letters", F.when(enough, F.element_at(names, best)).alias("language"), F.when(enough, posterior).otherwise(0.0).alias("posterior"))
+    # how texts fit that declare what they resemble; one row a language
+    typical = told.filter((F.col("trigrams") >= config.far_trigrams) & (F.col("declared") == F.element_at(names, F.col("guess") + 1)))
+    least = [-float("inf")] * n
+    for r in typical.groupBy("guess").agg(F.avg("fit").alias("mean"), F.stddev_pop("fit").alias("spread")).collect():
+        least[r["guess"]] = r["mean"] - config.far_deviations * max(r["spread"], 0.05)
+    far = enough & (F.col("declared") == "other") & (F.col("trigrams") >= config.far_trigrams) & (F.col("fit") < F.array(*[F.lit(x) for x in least])[F.col("guess")])
+    found = F.when(far, F.col("tag")).when(enough, F.element_at(names, best))
+    d = d.select("doc_id", "letters", found.alias("language"), F.when(far, 1.0).when(enough, posterior).otherwise(0.0).alias("posterior"))
     return d.withColumn("accepted", enough & (F.col("posterior") >= config.min_posterior))
 
 
