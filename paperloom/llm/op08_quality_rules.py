@@ -5,8 +5,8 @@
 tells from the same bits what each rule alone decides. Changing a policy reads the ledger, not the texts.
 
 Defined results: a null text is an empty one (no words, so it fails ``few_words``); a null id is passed
-through; repeated rows are judged each by itself; an empty table gives an empty ledger; only the id and text
-columns are read, so further columns can't clash.
+through; repeated rows are judged each by itself, and nothing is ranked, so there are no ties; very long texts are measured whole, in one row's
+arrays; an empty table gives an empty ledger; only the id and text columns are read, so further columns can't clash.
 """
 
 from __future__ import annotations

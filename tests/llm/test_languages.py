@@ -45,3 +45,32 @@ def test_pages_by_their_text_without_markup(spark):
     if not n:
         pytest.skip("no page declares a language")
     assert right / n > 0.9
+
+
+def test_pipeline_rows_with_odd_columns(spark, documents):
+    """Nulls, empty and repeated rows, and columns named like those that stages use inside: what each stage keeps of them."""
+    import corpus_pipeline as pipeline
+
+    text = "the house and the garden of the town with many words for all " * 3
+    rows = [(1, None), (2, ""), (3, text), (3, text), (None, text), (4, "password = abcdefgh12345678 and the house of the town"), (5, "12345 678")]
+    docs = documents(rows).selectExpr("*", "1 as _key", "'x' as _lang", "2 as _id", "3 as _row", "4 as _had")
+    d = pipeline.language_id(spark, docs, "")
+    assert d.columns == list(pipeline.COLUMNS) and sorted(str(r["doc_id"]) for r in d.collect()) == ["3", "3", "4", "None"]
+    d = pipeline.minhash_near_dedup(spark, d, "")
+    assert sorted(str(r["doc_id"]) for r in d.collect()) == ["3", "4"]
+    d = pipeline.substring_dedup(spark, d, "")
+    assert d.columns == list(pipeline.COLUMNS) and d.count() == 2
+    d = pipeline.secret_scan(spark, d, "")
+    got = {r["doc_id"]: r for r in d.collect()}
+    assert "abcdefgh12345678" not in got[4]["text"] and "the house of the town" in got[4]["text"] and got[4]["n_chars"] == len(got[4]["text"])
+    packed = pipeline.best_fit_packing(spark, d, "").collect()
+    assert {r["doc_id"] for r in packed} == {3, 4}
+    assert all(stage(spark, documents([]), "").count() == 0 for _, stage in pipeline.STAGES)
+
+
+def test_rules_of_a_long_text(spark, documents):
+    from paperloom.llm import op08_quality_rules as rules
+
+    long_ = " ".join(f"w{i}" for i in range(60_000)) + "\n" + "again and again\n" * 3
+    r = rules.measure(documents([(1, long_)])).first()
+    assert (r["n_words"], r["n_dup_lines"], r["n_repeat_words"]) == (60_009, 2, 9)
