@@ -91,7 +91,7 @@ _AFTER = "m AS (SELECT y AS event_id, max_by(x, merge_id) AS merged_into FROM st
 
 
 @query(f"""WITH RECURSIVE {_COMMANDS}, {_AFTER}, r AS (SELECT event_id, merged_into AS into_id, 1 AS hops FROM m UNION ALL SELECT r.event_id, m.merged_into, hops + 1 FROM r JOIN m ON r.into_id = m.event_id WHERE hops < 3000)
-SELECT event_id, max_by(into_id, hops) AS canonical_id, max(hops) AS hops FROM r GROUP BY event_id HAVING max(hops) < 3000""")
+SELECT event_id, max_by(into_id, hops) AS canonical_id, max(hops)::BIGINT AS hops FROM r GROUP BY event_id HAVING max(hops) < 3000""")
 def merge_resolution(spark, d):
     """Where each merged event is found now: the end of its chain. Rings have no end."""
     after = merges.apply(_events(spark, d), _merged(spark, d)).filter("merged_into is not null")

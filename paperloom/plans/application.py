@@ -70,7 +70,7 @@ def due_watches(spark, d):
     return catalog.due_watches(w, i, at("1998-01-01 00:00:00"))
 
 
-@query("SELECT o_orderkey, CASE WHEN c_custkey IS NULL OR c_custkey % 4 = 0 THEN 90 WHEN c_custkey % 4 = 1 THEN c_custkey % 60 WHEN c_custkey % 4 = 2 THEN 90 ELSE 90 END AS backfill_days, CASE WHEN c_custkey % 4 = 3 THEN 7 ELSE 30 END AS poll_days FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > -500) ON o_custkey = c_custkey")
+@query("SELECT o_orderkey, CASE WHEN c_custkey IS NULL OR c_custkey % 4 = 0 THEN 90 WHEN c_custkey % 4 = 1 THEN (c_custkey % 60)::INT WHEN c_custkey % 4 = 2 THEN 90 ELSE 90 END AS backfill_days, CASE WHEN c_custkey % 4 = 3 THEN 7 ELSE 30 END AS poll_days FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > -500) ON o_custkey = c_custkey")
 def settings_lookup(spark, d):
     """Settings of an order's customer: given, negative, malformed, missing, or no settings at all."""
     i = F.col("c_custkey")

@@ -46,7 +46,7 @@ def report_block_views(spark, d):
     return v.select("report_id", "revision_id", text.alias("blocks"), "coverage_status", "processed", "stale")
 
 
-@query("""SELECT doc_id, 'b' || doc_id AS block_id, text, CASE WHEN doc_id % 3 = 0 THEN 'heading' ELSE 'paragraph' END AS kind, CASE doc_id % 4 WHEN 0 THEN 1 + doc_id % 9 END AS page FROM documents WHERE text <> '' UNION ALL
+@query("""SELECT doc_id, 'b' || doc_id AS block_id, text, CASE WHEN doc_id % 3 = 0 THEN 'heading' ELSE 'paragraph' END AS kind, CASE doc_id % 4 WHEN 0 THEN (1 + doc_id % 9)::INT END AS page FROM documents WHERE text <> '' UNION ALL
 SELECT doc_id, '7', '12', 'paragraph', NULL FROM documents""")
 def source_block_views(spark, d):
     """Stored blocks of every document, with odd kinds, pages that are no whole numbers from 1, and what isn't a block."""
