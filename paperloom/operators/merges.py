@@ -18,7 +18,8 @@ def decide(events: DataFrame, commands: DataFrame, cut: Callable[[DataFrame], Da
     into B does; after A into B, B into C doesn't. Versions are checked before self-merges.
 
     A command is settled once no earlier unsettled one could still merge either of its events away, so a round settles the first of
-    every event at once, and the rounds are as many as commands that wait for each other in a row. cut() stores a round.
+    every event at once, with all later ones that expect a version which has passed; the rounds are as many as commands that wait
+    for each other in a row. cut() stores a round.
     """
     v = events.select("event_id", "row_version")
     d = commands.join(v.select(F.col("event_id").alias("canonical_id"), F.col("row_version").alias("_c")), "canonical_id", "left")
@@ -43,8 +44,11 @@ def decide(events: DataFrame, commands: DataFrame, cut: Callable[[DataFrame], Da
         left = r.filter("outcome is null").drop("outcome")
         left = left.join(raised.withColumnsRenamed({"event_id": "canonical_id", "_at": "_ac"}), "canonical_id", "left").join(raised.withColumnsRenamed({"event_id": "merged_id", "_at": "_am"}), "merged_id", "left")
         up = lambda v, at: F.col(v) + F.coalesce((F.col(at) < F.col("seq")).cast("int"), F.lit(0))
-        left = left.withColumns({"_c": up("_c", "_ac"), "_m": up("_m", "_am")}).drop("_ac", "_am")
-        left = cut(left)
+        left = cut(left.withColumns({"_c": up("_c", "_ac"), "_m": up("_m", "_am")}).drop("_ac", "_am"))
+        # a version that has passed what is expected never comes back
+        late = (F.col("_c") > F.col("canonical_version")) | (F.col("_m") > F.col("merged_version"))
+        settled.append(left.filter(late).select(*keep, F.lit("version_conflict").alias("outcome")))
+        left = left.filter(~late)
     out = settled[0]
     for part in settled[1:]:
         out = out.unionByName(part)
