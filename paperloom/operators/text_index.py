@@ -15,7 +15,9 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,11 +28,11 @@ from paperloom.session import shared_folder
 
 #: Documents of a block, about; folders of keys, at most.
 BLOCK, FOLDERS = 512, 64
-SCHEMAS = {
-    "lists": "folder int, key string, block int, n int, most int, least int, ids array<long>, rows array<long>, counts array<int>, sizes array<int>",
-    "keys": "folder int, key string, docs long",
-    "totals": "docs long, total long",
-}
+LISTS = "key string, block int, n int, most int, least int, ids array<long>, rows array<long>, counts array<int>, sizes array<int>"
+#: The list of all documents, from which the totals are told; no text has this key.
+EVERY = "\0"
+#: Blocks whose lists one task packs.
+SLOT = 64
 _TERM = re.compile(TERM)
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 
@@ -50,9 +52,35 @@ def gram_sizes(lowered: str) -> tuple[int, dict[str, int]]:
     return len(grams), dict.fromkeys(grams, 1)
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of (folder, key, block, id) to a row for each key and block; a group may go on in the next batch."""
+
+    def emit(t: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+        first, offsets = t.take(pa.array(starts)), pa.array(np.append(starts, t.num_rows), pa.int32())
+        count, size = (t.column(c).to_numpy() for c in ("count", "size"))
+        lists = [pa.ListArray.from_arrays(offsets, t.column(c)) for c in ("id", "row", "count", "size")]
+        columns = [*(first.column(c) for c in ("folder", "key", "block")), pa.array(np.diff(np.append(starts, t.num_rows)), pa.int32()), pa.array(np.maximum.reduceat(count, starts)), pa.array(np.minimum.reduceat(size, starts)), *lists]
+        return pa.RecordBatch.from_arrays(columns, ["folder", "key", "block", "n", "most", "least", "ids", "rows", "counts", "sizes"])
+
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = batch if held is None else pa.concat_batches([held, batch])
+        key, block = t.column("key"), t.column("block").to_numpy()
+        breaks = np.ones(t.num_rows, bool)
+        breaks[1:] = pc.not_equal(key[1:], key[:-1]).to_numpy(zero_copy_only=False) | (block[1:] != block[:-1])
+        starts = np.flatnonzero(breaks)
+        if len(starts) > 1:
+            yield emit(t.slice(0, starts[-1]), starts[:-1])
+        held = t.slice(starts[-1])
+    if held is not None:
+        yield emit(held, np.zeros(1, np.int64))
+
+
 @dataclass
 class Lists:
-    """keys: (key, docs), lists: (folder, key, block, n, most, least, ids, rows, counts, sizes), totals: one row."""
+    """A row for each key and block: (folder, key, block, n, most, least, ids, rows, counts, sizes)."""
 
     spark: SparkSession
     path: str
@@ -74,36 +102,28 @@ class Lists:
                     size, own = split(t)
                     keys += own
                     counts += own.values()
-                    which += [i] * len(own)
-                    sizes += [size] * len(own)
-                    keys.append(None)  # the document itself, for the totals
+                    keys.append(EVERY)
                     counts.append(0)
-                    which.append(i)
-                    sizes.append(size)
+                    which += [i] * (len(own) + 1)
+                    sizes += [size] * (len(own) + 1)
                 taken = batch.select(["id", "row"]).take(pa.array(which, pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), taken.column(0), taken.column(1), pa.array(counts, pa.int32()), pa.array(sizes, pa.int32())], ["key", "id", "row", "count", "size"])
 
-        rows.mapInArrow(run, "key string, id long, row long, count int, size int").write.parquet(f"{path}/raw")
-        raw = spark.read.parquet(f"{path}/raw")
-        raw.filter("key is null").agg(F.count("*").alias("docs"), F.sum("size").alias("total")).write.parquet(f"{path}/totals")
-        entry = F.struct("id", "row", "count", "size")
-        lists = raw.filter("key is not null").withColumn("block", F.pmod(F.xxhash64("id", "row"), F.lit(blocks)).cast("int"))
-        # a block has a bounded number of documents, so has the list of the commonest key in it
-        lists = lists.groupBy("key", "block").agg(F.count("*").cast("int").alias("n"), F.max("count").alias("most"), F.min("size").alias("least"), F.sort_array(F.collect_list(entry)).alias("e"))
-        lists = lists.withColumn("folder", F.pmod(F.crc32(F.col("key").cast("binary")), F.lit(folders)).cast("int"))
-        each = [F.col(f"e.{c}").alias(f"{c}s") for c in ("id", "row", "count", "size")]
-        sorted_ = lists.repartition(folders, "folder").sortWithinPartitions("key", "block").select("folder", "key", "block", "n", "most", "least", *each)
-        sorted_.write.partitionBy("folder").parquet(f"{path}/lists")
-        out = cls(spark, path, folders)
-        out.read().groupBy("folder", "key").agg(F.sum("n").cast("long").alias("docs")).sortWithinPartitions("key").write.partitionBy("folder").parquet(f"{path}/keys")
-        return out
+        entries = rows.mapInArrow(run, "key string, id long, row long, count int, size int")
+        entries = entries.withColumn("block", F.pmod(F.xxhash64("id", "row"), F.lit(blocks)).cast("int")).withColumn("folder", F.pmod(F.crc32(F.col("key").cast("binary")), F.lit(folders)).cast("int"))
+        # a block has a bounded number of documents, so has the list of the commonest key in it; a task has a folder's keys of SLOT blocks
+        slots = -(-blocks // SLOT)
+        dealt = entries.repartition(folders * slots, "folder", F.pmod(F.col("block"), F.lit(slots))).sortWithinPartitions("folder", "key", "block", "id", "row")
+        dealt.select("folder", "key", "block", "id", "row", "count", "size").mapInArrow(_pack, f"folder int, {LISTS}").write.partitionBy("folder").parquet(path)
+        return cls(spark, path, folders)
 
     def folder_of(self, key: str) -> int:
         return zlib.crc32(key.encode()) % self.folders
 
-    def read(self, name: str = "lists", keys: list[str] | None = None) -> DataFrame:
-        d = self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{name}")
-        return d if keys is None else d.filter(F.col("folder").isin(sorted({self.folder_of(k) for k in keys})) & F.col("key").isin(keys))
+    def read(self, keys: list[str]) -> DataFrame:
+        """The lists of these keys; only their folders and row groups are read."""
+        d = self.spark.read.schema(f"{LISTS}, folder int").parquet(self.path)
+        return d.filter(F.col("folder").isin(sorted({self.folder_of(k) for k in keys})) & F.col("key").isin(keys))
 
     def entries(self, lists: DataFrame, *more: str) -> DataFrame:
         """A row for each document of the lists."""
@@ -111,7 +131,12 @@ class Lists:
         return d.select(*more, "key", "block", F.col("ids").alias("id"), F.col("rows").alias("row"), F.col("counts").alias("count"), F.col("sizes").alias("size"))
 
     def documents_of(self, keys: list[str]) -> dict[str, int]:
-        return {r["key"]: r["docs"] for r in self.read("keys", keys).collect()}  # one number for each asked key
+        return {r["key"]: r["docs"] for r in self.read(keys).groupBy("key").agg(F.sum("n").alias("docs")).collect()}  # one number for each asked key
+
+    def totals(self) -> tuple[int, int]:
+        """Documents, and the sum of their sizes."""
+        d = self.read([EVERY]).agg(F.sum("n").alias("docs"), F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)).alias("total")).first()
+        return d["docs"] or 0, d["total"] or 0
 
 
 class TermIndex:
@@ -119,8 +144,8 @@ class TermIndex:
 
     def __init__(self, lists: Lists):
         self.lists = lists
-        self.docs, total = lists.read("totals").first()
-        self.average = (total or 0) / max(1, self.docs)
+        self.docs, total = lists.totals()
+        self.average = total / max(1, self.docs)
 
     @classmethod
     def build(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, block: int = BLOCK) -> TermIndex:
@@ -139,7 +164,7 @@ class TermIndex:
     def scores(self, terms: list[str], k1: float = K1, b: float = B, require_all: bool = False, lists: DataFrame | None = None) -> DataFrame:
         """(id, row, score > 0) of every document that has a term (or all of them)."""
         asked = list(dict.fromkeys(t.strip().lower() for t in terms if t.strip()))
-        d = self.lists.entries(lists if lists is not None else self.lists.read(keys=asked))
+        d = self.lists.entries(lists if lists is not None else self.lists.read(asked))
         d = d.withColumn("part", self._idf(asked) * self._share("count", "size", k1, b))
         d = d.groupBy("id", "row").agg(F.sum("part").alias("score"), F.count("*").alias("terms"))
         return (d.filter(F.col("terms") == len(asked)) if require_all else d).drop("terms")
@@ -154,7 +179,7 @@ class TermIndex:
 
     def surviving(self, asked: list[str], k: int, k1: float = K1, b: float = B, seeds: int = 4) -> DataFrame:
         """The lists of the blocks that may hold one of the k best: bounds are read without the documents."""
-        lists = self.lists.read(keys=asked)
+        lists = self.lists.read(asked)
         bounds = lists.select("block", (self._idf(asked) * self._share("most", "least", k1, b)).alias("bound"), "n").groupBy("block").agg(F.sum("bound").alias("bound"), F.max("n").alias("n"))
         order, held = bounds.orderBy(F.desc("bound"), "block"), []
         for r in order.limit(max(seeds, -(-2 * k // BLOCK))).collect():  # a few blocks by parameter
@@ -193,9 +218,9 @@ class GramIndex:
             need = max(1, math.ceil(threshold * len(grams) - 1e-9))
             rare = sorted(grams, key=lambda g: (held.get(g, 0), g))[: len(grams) - need + 1]
             small = F.col("size") <= F.lit(len(grams) / threshold + 1e-9) if threshold > 0 else F.lit(True)
-            d = self.lists.entries(self.lists.read(keys=rare)).filter(small).select("id", "row", "size")
+            d = self.lists.entries(self.lists.read(rare)).filter(small).select("id", "row", "size")
             if common := [g for g in grams if g not in rare]:
-                rest = self.lists.entries(self.lists.read(keys=common)).filter(small).select("id", "row", "size")
+                rest = self.lists.entries(self.lists.read(common)).filter(small).select("id", "row", "size")
                 d = d.unionByName(rest.join(d.select("id", "row").distinct(), (rest["id"].eqNullSafe(d["id"])) & (rest["row"] == d["row"]), "left_semi"))
             d = d.groupBy("id", "row").agg(F.count("*").alias("same"), F.first("size").alias("size"))
             d = d.select("id", "row", (F.col("same") / (len(grams) + F.col("size") - F.col("same"))).alias("score")).filter(F.col("score") >= threshold)
