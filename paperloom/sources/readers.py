@@ -65,10 +65,13 @@ def read_golden(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_blobs(blobs: DataFrame, path: str) -> None:
-    """Content-addressed: key, media_type, content; equal contents once."""
+    """Content-addressed: key, media_type, content; equal contents once, also across calls."""
     digest = F.sha2("content", 256)
     out = blobs.select(content_key(digest, F.col("media_type")).alias("key"), "media_type", "content").dropDuplicates(["key"])
-    out.write.mode("append").parquet(path)
+    empty = blobs.sparkSession.createDataFrame([], out.schema)
+    empty.write.mode("append").parquet(path)  # so that there is something to read
+    stored = blobs.sparkSession.read.schema(out.schema).parquet(path).select("key")
+    out.join(stored, "key", "left_anti").write.mode("append").parquet(path)
 
 
 def read_blobs(spark: SparkSession, path: str) -> DataFrame:

@@ -28,3 +28,13 @@ def test_cited_only_drops_uncited_and_foreign_blocks(spark):
 def test_damaged_cursors_are_empty(spark):
     d = spark.createDataFrame([(None,), ("",), ("***",), ("bm90IGpzb24=",)], "c string").select(records.decode_cursor(F.col("c"), "id long").alias("x"))
     assert [r["x"] is None or r["x"]["id"] is None for r in d.collect()] == [True] * 4
+
+
+def test_blobs_are_stored_once_across_calls(spark, tmp_path):
+    from paperloom.sources import readers
+
+    b = spark.createDataFrame([("text/plain", b"a"), ("text/plain", b"a"), ("text/html", b"a"), ("text/plain", b"b")], "media_type string, content binary")
+    readers.write_blobs(b, str(tmp_path / "blobs"))
+    readers.write_blobs(b.unionByName(spark.createDataFrame([("text/plain", b"c")], b.schema)), str(tmp_path / "blobs"))
+    got = readers.read_blobs(spark, str(tmp_path / "blobs"))
+    assert got.count() == 4 and got.select("key").distinct().count() == 4
