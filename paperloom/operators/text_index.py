@@ -33,6 +33,8 @@ LISTS = "key string, block int, n int, most int, least int, ids array<long>, row
 EVERY = "\0"
 #: Blocks whose lists one task packs.
 SLOT = 64
+#: A block is skipped only if its bound is so far below the k-th score: scores that round alike to six digits are ties.
+SLACK = 1e-5
 _TERM = re.compile(TERM)
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 
@@ -189,7 +191,7 @@ class TermIndex:
         first = self._top(self.scores(asked, k1, b, lists=lists.filter(F.col("block").isin(held))), k).agg(F.count("*"), F.min("score")).first()
         if first[0] < k:
             return lists
-        return lists.join(bounds.filter(F.col("bound") >= first[1] - 1e-9).select("block"), "block", "left_semi")
+        return lists.join(bounds.filter(F.col("bound") >= first[1] - SLACK).select("block"), "block", "left_semi")
 
 
 class GramIndex:
