@@ -34,11 +34,12 @@ def like_any(columns: list[str], needle: str) -> Column:
     return found
 
 
-def unified(kinds: list[tuple[str, DataFrame]], most: int = 50) -> DataFrame:
-    """(ordinal, kind, id, moment) of several hit lists (id, moment), each kind after the other, of each the ``most`` newest."""
+def unified(kinds: list[tuple[str, DataFrame]], most: int | None = 50) -> DataFrame:
+    """(ordinal, kind, id, moment) of several hit lists (id, moment), each kind after the other, of each the ``most`` newest, or all."""
     out = None
     for n, (kind, hits) in enumerate(kinds):
-        part = hits.orderBy(F.desc_nulls_last("moment"), "id").limit(most).select(F.lit(n).alias("ordinal"), F.lit(kind).alias("kind"), "id", "moment")
+        hits = hits if most is None else hits.orderBy(F.desc_nulls_last("moment"), "id").limit(most)
+        part = hits.select(F.lit(n).alias("ordinal"), F.lit(kind).alias("kind"), "id", "moment")
         out = part if out is None else out.unionByName(part)
     return out
 

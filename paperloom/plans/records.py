@@ -42,11 +42,12 @@ def two_column_search(spark, d):
     return load(spark, d, "documents").filter(records.like_any(["text", "source"], "A_c%5") | records.like_any(["source"], "SRC1")).select("doc_id")
 
 
-@query("""FROM (SELECT 0 AS ordinal, 'document' AS kind, doc_id AS id, n_chars AS moment FROM documents WHERE text ILIKE '%Ation%' ORDER BY n_chars DESC, doc_id LIMIT 50)
-UNION ALL FROM (SELECT 1, 'turn', conv_id * 100 + turn, turn FROM conversations WHERE text ILIKE '%Ation%' ORDER BY turn DESC, conv_id * 100 + turn LIMIT 50)""")
+@query("""SELECT 0 AS ordinal, 'document' AS kind, doc_id AS id, n_chars AS moment FROM documents WHERE text ILIKE '%Ation%'
+UNION ALL SELECT 1, 'turn', conv_id * 100 + turn, turn FROM conversations WHERE text ILIKE '%Ation%'""")
 def unified_search(spark, d):
+    """Every hit of both kinds."""
     hits = lambda name, i, m: load(spark, d, name).filter(records.like_any(["text"], "Ation")).select(F.expr(i).alias("id"), F.col(m).alias("moment"))
-    return records.unified([("document", hits("documents", "doc_id", "n_chars")), ("turn", hits("conversations", "conv_id * 100 + turn", "turn"))])
+    return records.unified([("document", hits("documents", "doc_id", "n_chars")), ("turn", hits("conversations", "conv_id * 100 + turn", "turn"))], None)
 
 
 @query("SELECT event_id, 'view' AS kind FROM (SELECT event_id FROM events WHERE event_type = 'view' ORDER BY ts DESC, event_id LIMIT 50) UNION ALL SELECT event_id, 'click' FROM (SELECT event_id FROM events WHERE event_type = 'click' ORDER BY ts DESC, event_id LIMIT 50)")
