@@ -47,7 +47,12 @@ def entity_aliases(aliases: DataFrame) -> DataFrame:
 def entities_named(aliases: DataFrame, names: DataFrame) -> DataFrame:
     """(name_id, entity_id) for names (name_id, name) by equal case-folded aliases; a name may be several entities'."""
     n = names.select("name_id", component(F.col("name")).alias("normalized_alias")).filter("normalized_alias <> ''")
-    return n.join(aliases.select("entity_id", "normalized_alias").distinct(), "normalized_alias").select("name_id", "entity_id").distinct()
+    # a name id has one set of aliases, and each set its entities once, so the pairs need no distinct
+    n = n.groupBy("name_id").agg(F.array_sort(F.collect_set("normalized_alias")).alias("own"))
+    known = aliases.select("entity_id", "normalized_alias").distinct()
+    sets = n.select("own").distinct().select("own", F.explode("own").alias("normalized_alias")).join(known, "normalized_alias")
+    sets = sets.groupBy("own").agg(F.collect_set("entity_id").alias("entities"))
+    return n.join(sets, "own").select("name_id", F.explode("entities").alias("entity_id"))
 
 
 def due_watches(watches: DataFrame, industries: DataFrame, now: Column) -> DataFrame:
