@@ -90,14 +90,16 @@ def event_build(proposals: DataFrame, committed: DataFrame, existing: DataFrame)
     its candidate noted as a possible duplicate. Links to one event are kept once.
     """
     order = Window.partitionBy("run_id").orderBy("proposal_no")
-    p = proposals.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= MOST_PROPOSALS).drop("_n")
     fields = F.map_filter(F.coalesce("identity", F.create_map().cast("map<string,string>")), lambda k, v: k.isin(*IDENTITY_FIELDS) & (F.trim(F.coalesce(v, F.lit(""))) != ""))
-    p = p.withColumns({"proposal_id": key(F.lit("proposal"), "run_id", "proposal_no"), "event_key": identity.identity_key(F.col("event_type"), fields), "time": timevalue.parse_time(F.col("occurred"))})
+    p = proposals.withColumn("event_key", identity.identity_key(F.col("event_type"), fields)).drop("identity")
+    p = p.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= MOST_PROPOSALS)
+    p = p.withColumns({"proposal_id": key(F.lit("proposal"), "run_id", "proposal_no"), "time": timevalue.parse_time(F.col("occurred"))})
     known = existing.filter("event_key is not null").groupBy("event_key").agg(F.min("event_id").alias("_known"))
     p = p.join(known, "event_key", "left")
-    first = F.row_number().over(Window.partitionBy("event_key").orderBy("run_id", "proposal_no")) == 1
-    keyed, free = p.filter("event_key is not null").withColumn("_first", first), p.filter("event_key is null").withColumn("_first", F.lit(True))
-    p = keyed.unionByName(free)
+    # the first of a key is aggregated: a common key's proposals needn't meet in one task
+    place = F.struct("run_id", "_n")
+    firsts = p.filter("event_key is not null").groupBy("event_key").agg(F.min(place).alias("_least"))
+    p = p.join(firsts, "event_key", "left").withColumn("_first", F.col("event_key").isNull() | F.col("_least").eqNullSafe(place))
     new_id = F.when(F.col("event_key").isNotNull(), key(F.lit("event"), "event_key")).otherwise(key(F.lit("event"), "proposal_id"))
     p = p.withColumns({"event_id": F.coalesce("_known", new_id), "created": F.col("_known").isNull() & F.col("_first")})
     rationale = F.when(F.col("event_key").isNotNull(), F.concat(F.lit("strong identity key: "), F.col("event_key"))).otherwise("no strong identity key; independent event")
