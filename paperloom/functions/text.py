@@ -87,15 +87,24 @@ def content_key(digest: Column, media_type: Column) -> Column:
     return F.concat_ws("/", F.regexp_replace(media_type, "/", "_"), F.substring(digest, 1, 2), digest)
 
 
+def _count(text: Column, cls: str) -> Column:
+    """How many characters are of the class. Runs are taken out at once; counting matches would make a string of each."""
+    return F.char_length(text) - F.char_length(F.regexp_replace(text, f"{cls}+", ""))
+
+
 def script_counts(text: Column) -> dict[str, Column]:
-    return {name: F.regexp_count(text, F.lit(cls)) for name, cls in (("han", HAN), ("kana", KANA), ("hangul", HANGUL), ("cyrillic", CYRILLIC), ("latin", LATIN))}
+    """Characters of each script, and all letters; the other classes are looked for in what isn't latin."""
+    rest = F.regexp_replace(text, f"{LATIN}+", "")
+    counts = {name: _count(rest, cls) for name, cls in (("han", HAN), ("kana", KANA), ("hangul", HANGUL), ("cyrillic", CYRILLIC))}
+    latin = F.char_length(text) - F.char_length(rest)
+    return {**counts, "latin": latin, "letters": latin + _count(rest, r"\p{L}")}
 
 
 def script_language(text: Column) -> Column:
     """zh, ja, ko, ru, en, mixed (no script reaches 0.3 of the letters) or unknown, of the first 4000 characters."""
     sample = F.substring(text, 1, SAMPLE)
     counts = script_counts(sample)
-    letters = F.regexp_count(sample, F.lit(r"\p{L}"))
+    letters = counts.pop("letters")
     top = F.greatest(*counts.values())
     name = F.when(counts["han"] == top, "zh").when(counts["kana"] == top, "ja").when(counts["hangul"] == top, "ko").when(counts["cyrillic"] == top, "ru").otherwise("en")
     return F.when(letters == 0, "unknown").when(top / letters < 0.3, "mixed").otherwise(name)
@@ -104,7 +113,7 @@ def script_language(text: Column) -> Column:
 def mixed_scripts(text: Column) -> Column:
     sample = F.substring(text, 1, SAMPLE)
     counts = script_counts(sample)
-    letters = F.greatest(F.regexp_count(sample, F.lit(r"\p{L}")), F.lit(1))
+    letters = F.greatest(counts.pop("letters"), F.lit(1))
     big = {k: v / letters > 0.3 for k, v in counts.items()}
     return (big["han"] & big["latin"]) | (big["kana"] & big["latin"]) | (big["han"] & big["cyrillic"])
 
