@@ -104,60 +104,67 @@ def _anchored(h: np.ndarray, whole: np.ndarray | slice, hot: np.ndarray) -> tupl
     return window, anchor
 
 
-def _chunk_segments(ids: np.ndarray, keys: np.ndarray, words: list[np.ndarray], hot: np.ndarray) -> tuple[list, list, list, list, list, list, list]:
-    """Segments and settled factors of documents in order of (id, row): anchor, doc_id, row, start, n, hashes, source."""
+_SOURCE = pa.struct([("doc_id", pa.int64()), ("row", pa.int64()), ("start", pa.int64())])
+SOURCE = "source struct<doc_id:bigint,row:bigint,start:bigint>"
+
+
+def _chunk_segments(ids: np.ndarray, keys: np.ndarray, words: list[np.ndarray], hot: np.ndarray) -> pa.RecordBatch | None:
+    """Segments and settled factors of documents in order of (id, row): anchor, doc_id, row, start, n, hashes, source.
+
+    Columns are built from arrays, not from lists of objects, and what is done with is let go: a chunk's
+    working memory adds to that of the executor's other tasks.
+    """
     sizes = np.array([len(w) for w in words])
     h = np.concatenate(words)
+    words.clear()
     total = len(h)
     if total < WINDOW:
-        return [], [], [], [], [], [], []
-    doc = np.repeat(np.arange(len(words)), sizes)
-    first = np.repeat(np.cumsum(sizes) - sizes, sizes)
+        return None
+    doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     whole = np.flatnonzero(doc[: total - WINDOW + 1] == doc[WINDOW - 1 :])  # windows within one document
+    if not len(whole):
+        return None
     window, anchor = _anchored(h, whole, hot)
-    doc, start = doc[whole], (whole - first[whole]).astype(np.int64)
+    del h
+    doc = doc[whole]
+    start = whole - (np.cumsum(sizes) - sizes)[doc]
+    del whole
     # settle what repeats in this chunk; position order is (id, row, start) order
-    order = np.argsort(window, kind="stable")
-    w, a = window[order], anchor[order]
+    order = np.argsort(window, kind="stable").astype(np.int32)
     same = np.zeros(len(order), bool)
-    same[1:] = (w[1:] == w[:-1]) & (a[1:] == a[:-1])
-    lead = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
+    same[1:] = (window[order[1:]] == window[order[:-1]]) & (anchor[order[1:]] == anchor[order[:-1]])
+    lead = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order), dtype=np.int32)))]
+    source, again = np.zeros(len(order), np.int32), np.zeros(len(order), bool)
+    source[order], again[order] = lead, same
+    del order, lead, same
     fresh = np.ones(len(ids), bool)
     fresh[1:] = (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])
     known = np.cumsum(fresh)[doc]  # rows of one id and text are the same document
-    source = np.zeros(len(order), np.int64)
-    source[order] = lead
-    settled = np.zeros(len(order), bool)
-    settled[order] = same & ((known[order] != known[lead]) | (start[order] != start[lead]))
-    breaks = np.ones(len(whole), bool)
+    settled = again & ((known != known[source]) | (start != start[source]))
+    del known, again
+    breaks = np.ones(len(doc), bool)
     breaks[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
     seg, n = _runs(breaks)
-    keep = np.add.reduceat(~settled, seg) > 0 if len(seg) else np.zeros(0, bool)
-    raw = (window >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-    out_a, out_d, out_r, out_s, out_n, out_h = [], [], [], [], [], []
-    for k, m in zip(seg[keep].tolist(), n[keep].tolist()):
-        out_h.append(raw[6 * k : 6 * (k + m)])
-    out_a = anchor[seg[keep]].view(np.int64).tolist()
-    out_d, out_r, out_s, out_n = ids[doc[seg[keep]]].tolist(), keys[doc[seg[keep]]].tolist(), start[seg[keep]].tolist(), n[keep].tolist()
+    keep = np.add.reduceat(~settled, seg) > 0
+    raw = (window >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[np.repeat(keep, n), :6].tobytes()
+    del window
+    seg, n = seg[keep], n[keep]
+    anchor = anchor[seg].view(np.int64)
     breaks[1:] = (settled[1:] != settled[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1) | (settled[1:] & (source[1:] != source[:-1] + 1))
-    run, n = _runs(breaks)
+    run, m = _runs(breaks)
     bad = settled[run]
-    if bad.any():
-        run, n = run[bad], n[bad]
-        out_a += mix((run + 1).astype(np.uint64)).view(np.int64).tolist()  # anywhere: these only pass through
-        out_d += ids[doc[run]].tolist()
-        out_r += keys[doc[run]].tolist()
-        out_s += start[run].tolist()
-        out_n += n.tolist()
-        out_h += [None] * len(run)
-    from_ = [None] * int(keep.sum())
-    if bad.any():
-        from_ += [{"doc_id": i, "row": r, "start": at} for i, r, at in zip(ids[doc[source[run]]].tolist(), keys[doc[source[run]]].tolist(), start[source[run]].tolist())]
-    return out_a, out_d, out_r, out_s, out_n, out_h, from_
-
-
-SOURCE = "source struct<doc_id:bigint,row:bigint,start:bigint>"
-_SOURCE = pa.struct([("doc_id", pa.int64()), ("row", pa.int64()), ("start", pa.int64())])
+    run, m = run[bad], m[bad]
+    at, from_ = np.concatenate([seg, run]), np.concatenate([np.zeros(len(seg), np.int32), source[run]])
+    none = np.arange(len(at)) < len(seg)
+    offsets = np.concatenate([[0], 6 * np.cumsum(n), np.full(len(run), len(raw))]).astype(np.int32)
+    hashes = pa.Array.from_buffers(pa.binary(), len(at), [pa.py_buffer(np.packbits(none, bitorder="little")), pa.py_buffer(offsets), pa.py_buffer(raw)])
+    of = doc[from_]
+    source = pa.StructArray.from_arrays([pa.array(x) for x in (ids[of], keys[of], start[from_])], fields=list(_SOURCE), mask=pa.array(none))
+    anywhere = mix((run + 1).astype(np.uint64)).view(np.int64)  # settled factors only pass through
+    return pa.RecordBatch.from_arrays(
+        [pa.array(x) for x in (np.concatenate([anchor, anywhere]), ids[doc[at]], keys[doc[at]], start[at].astype(np.int32), np.concatenate([n, m]).astype(np.int32))] + [hashes, source],
+        ["anchor", "doc_id", "row", "start", "n", "hashes", "source"],
+    )
 
 
 def segments(docs: DataFrame, hot: np.ndarray) -> DataFrame:
@@ -169,13 +176,13 @@ def segments(docs: DataFrame, hot: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
 
-        def flush(ids: list[int], keys: list[int], words: list[np.ndarray]) -> pa.RecordBatch:
+        def flush(ids: list[int], keys: list[int], words: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             order = np.lexsort((np.array(keys, np.int64), np.array(ids, np.int64)))
-            a, d, r, s, n, h, f = _chunk_segments(np.array(ids, np.int64)[order], np.array(keys, np.int64)[order], [words[k] for k in order], hot)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(a, pa.int64()), pa.array(d, pa.int64()), pa.array(r, pa.int64()), pa.array(s, pa.int32()), pa.array(n, pa.int32()), pa.array(h, pa.binary()), pa.array(f, _SOURCE)],
-                ["anchor", "doc_id", "row", "start", "n", "hashes", "source"],
-            )
+            own = [words[k] for k in order]
+            words.clear()
+            out = _chunk_segments(np.array(ids, np.int64)[order], np.array(keys, np.int64)[order], own, hot)
+            for k in range(0, out.num_rows if out else 0, MOST_ROWS):
+                yield out.slice(k, MOST_ROWS)
 
         ids: list[int] = []
         keys: list[int] = []
@@ -191,10 +198,10 @@ def segments(docs: DataFrame, hot: np.ndarray) -> DataFrame:
                 words.append(np.fromiter(map(cache.__getitem__, own), np.uint64, len(own)))
                 held += len(own)
                 if held > CHUNK:
-                    yield flush(ids, keys, words)
+                    yield from flush(ids, keys, words)
                     ids, keys, words, held = [], [], [], 0
         if ids:
-            yield flush(ids, keys, words)
+            yield from flush(ids, keys, words)
 
     return docs.mapInArrow(run, f"anchor long, doc_id long, row long, start int, n int, hashes binary, {SOURCE}")
 
