@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.url import normalize_url
 
+#: Pairs of a product by a key that a task makes.
+PAIRS = 4_000_000
+
 
 def listed(rows: DataFrame, equals: dict[str, object], within: dict[str, list] | None = None, deleted: str | None = None) -> DataFrame:
     """Rows by optional equalities (None asks for nothing), IN lists, and without soft-deleted ones."""
@@ -53,6 +56,21 @@ def chain(chunks: DataFrame, parses: DataFrame, captures: DataFrame, documents:
     return chunks.join(parses.join(d, "capture_id"), "parse_id")
 
 
+def fan_out(left: DataFrame, right: DataFrame, key: str, cut: str, pairs: int = PAIRS) -> DataFrame:
+    """Every row of left with every row of right of its key, so many pairs a task, however few keys there are.
+
+    The pairs of a key are counted first. Its left rows are dealt by ``cut`` to as many blocks as its pairs need, and its right
+    rows meet each of these; there are as many tasks as all pairs need. A null key meets nothing.
+    """
+    n, m = (d.groupBy(key).agg(F.count("*").alias(c)) for d, c in ((left, "_n"), (right, "_m")))
+    sizes = n.join(m, key).select(key, (F.col("_n") * F.col("_m")).alias("_pairs"))
+    sizes = sizes.withColumn("_blocks", F.ceil(F.col("_pairs") / pairs))
+    tasks = sizes.agg(F.coalesce(F.ceil(F.sum("_pairs") / pairs), F.lit(1)).cast("int")).first()[0]
+    x = left.join(sizes.select(key, "_blocks"), key).withColumn("_block", F.pmod(F.xxhash64(cut), F.col("_blocks"))).drop("_blocks")
+    y = right.join(sizes.select(key, "_blocks"), key).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))).drop("_blocks")
+    return x.repartition(tasks, key, "_block").join(y.repartition(tasks, key, "_block"), [key, "_block"]).drop("_block")
+
+
 def current(rows: DataFrame, revisions: DataFrame, pointer: str, key: str, required: bool = True) -> DataFrame:
     """Rows with their current revision's columns; without one they go, or stay with nulls."""
     r = revisions.withColumnRenamed(key, pointer)

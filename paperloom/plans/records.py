@@ -122,7 +122,7 @@ def origin_lookup(spark, d):
 def watch_fanout(spark, d):
     """Watches (customers) of active industries (suppliers of high balance)."""
     active = load(spark, d, "supplier").filter("s_acctbal > 9000").select("s_suppkey", F.col("s_nationkey").alias("c_nationkey"))
-    return load(spark, d, "customer").select("c_custkey", "c_nationkey").join(active, "c_nationkey").select("c_custkey", "s_suppkey")
+    return records.fan_out(load(spark, d, "customer").select("c_custkey", "c_nationkey"), active, "c_nationkey", "c_custkey").select("c_custkey", "s_suppkey")
 
 
 @query("SELECT event_id, coalesce(try_cast(regexp_extract(props, '\"k\": ?([0-9]+)', 1) AS INT), 90) AS backfill_days, epoch_us(ts) AS until FROM events")
