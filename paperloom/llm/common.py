@@ -7,7 +7,9 @@ import re
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,13 +37,25 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """Apply fn to every Arrow batch; fn sees whole rows and holds one batch at a time."""
+def stretches(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in stretches of rows whose values of a string or binary column have at most so many bytes, or one row."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    k, before = 0, 0
+    while k < batch.num_rows:
+        end = max(k + 1, int(np.searchsorted(size, before + most, "right")))
+        yield batch.slice(k, end - k)
+        k, before = end, int(size[end - 1])
+
+
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, by: str | None = None, most: int = 1 << 20) -> DataFrame:
+    """Apply fn to every Arrow batch; fn sees whole rows and holds one batch at a time, or with ``by`` a stretch of it with
+    at most so many bytes in that column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := fn(batch)) is not None:
-                yield out
+            for part in stretches(batch, by, most) if by else [batch]:
+                if part.num_rows and (out := fn(part)) is not None:
+                    yield out
 
     return df.mapInArrow(run, schema)
 

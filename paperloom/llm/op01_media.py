@@ -13,7 +13,8 @@ the bit-by-bit reader.
 Defined results: a null text is an empty one and is stored as one frame of bytes 255; a null id is passed
 through; repeated rows give equal values; a file without frames has no clips; a null or damaged file, or one of a
 coding that isn't read, has an ``error`` and no digests, clips or feature; an empty table gives no rows; only the named
-columns are read, so others can't clash. Long payloads are coded in blocks of frames, so that working memory stays bounded beside the payload itself.
+columns are read, so others can't clash. A task codes and reads about 1 MB of rows at a time, and long payloads
+in blocks of frames, so that working memory stays bounded beside the payload itself.
 """
 
 from __future__ import annotations
@@ -346,7 +347,7 @@ def _store(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 def store_media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media: the text as an AVI file."""
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), text_of().alias("text")), _store, "doc_id long, n_bytes long, media binary")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), text_of().alias("text")), _store, "doc_id long, n_bytes long, media binary", "text")
 
 
 CLIP = "struct<clip:int,first_frame:int,n_frames:int,start_s:double,end_s:double,mean_level:double>"
@@ -394,7 +395,7 @@ def read_media(media: DataFrame, config: ShotConfig = ShotConfig()) -> DataFrame
     """The payload's digests as read back from the media column, its clips, and them as a feature string."""
     d = media.select("doc_id", "n_bytes", "media", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"))
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return map_arrow(d, _read(config), f"{schema}, clips array<{CLIP}>, error string")
+    return map_arrow(d, _read(config), f"{schema}, clips array<{CLIP}>, error string", "media")
 
 
 def clips(media: DataFrame, config: ShotConfig = ShotConfig()) -> DataFrame:

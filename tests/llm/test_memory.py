@@ -6,12 +6,17 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
+from paperloom.llm import op01_media as media
 from paperloom.llm import op06_substring as passages
+from paperloom.llm.common import stretches
 
 
 class Tasks:
     """Stands for a DataFrame: keeps what a task runs."""
 
+    def select(self, *columns):
+        return self
+
     def mapInArrow(self, run, schema):
         return run
 
@@ -53,3 +58,18 @@ def test_a_chunks_segments_are_built_from_arrays():
             again[i, s] = key in seen
             seen.add(key)
     assert (settled == again).all()
+
+
+def test_media_are_coded_and_read_a_stretch_at_a_time(spark):
+    texts = [None, ""] + ["x" * (3000 + i) for i in range(2000)] + ["y" * 3_000_000, "z"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    parts = list(stretches(batch, "text", 1 << 20))
+    assert pa.Table.from_batches(parts).combine_chunks().to_pylist() == batch.to_pylist()
+    assert [p.num_rows for p in parts if max(len(t or "") for t in p.column("text").to_pylist()) > 1 << 20] == [1]
+    assert len(parts) < 12 and not list(stretches(batch.slice(0, 0), "text", 9))
+    stored, most = peak(media.store_media(Tasks()), [batch.slice(0, 2002)])
+    assert most < 50 and max(b.nbytes for b in stored) < 2_000_000
+    whole = pa.Table.from_batches(stored).combine_chunks().to_batches()[0]
+    d = pa.RecordBatch.from_arrays([whole.column(k) for k in (0, 1, 2, 1, 2)], ["doc_id", "n_bytes", "media", "media_bytes", "media_sha256"]).set_column(4, "media_sha256", pa.array([""] * 2002))
+    read, _ = peak(media.read_media(Tasks()), [d])
+    assert len(read) > 5 and [r["payload_bytes"] for b in read for r in b.to_pylist()] == [-(-max(1, len(t or "")) // 576) * 576 for t in texts[:2002]]
