@@ -107,20 +107,28 @@ def nearest_each(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "
         top = np.arange(len(q)) - np.searchsorted(q, q) < k
         return q[top], ids[top], far[top]
 
+    def near(part: pa.RecordBatch, at: int, kept: dict) -> None:
+        """Keeps the best of one block of vectors for one block of queries; nothing else outlives the call."""
+        of = lambda c, kind=np.int64: np.frombuffer(part.column(c)[at].as_buffer(), kind)
+        key, ids = (part.column("qid")[at].as_py(), part.column("qrow")[at].as_py(), part.column("qcell")[at].as_py()), of("vid")
+        n = len(key[0]) // 8
+        far = of("qv", np.float64).reshape(n, -1) @ of("vv", np.float64).reshape(len(ids), -1).T
+        np.subtract(1, far, out=far)
+        np.round(far, 9, out=far)
+        far += 0.0
+        if cell:
+            far[of("qcell")[:, None] != of("vcell")] = np.inf
+        last = np.partition(far, k - 1, axis=1)[:, k - 1 : k].copy() if len(ids) > k else np.full((n, 1), np.inf)
+        i, j = np.nonzero((far <= last) & (far < np.inf))
+        new = (i, ids[j], far[i, j])
+        kept[key] = best(*(np.concatenate(x) for x in zip(kept[key], new))) if key in kept else best(*new)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[tuple[bytes, bytes, bytes], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            for r in batch.to_pylist():
-                key = (r["qid"], r["qrow"], r["qcell"])
-                ids = np.frombuffer(r["vid"], np.int64)
-                q = np.frombuffer(r["qv"]).reshape(len(r["qid"]) // 8, -1)
-                far = np.round(1 - q @ np.frombuffer(r["vv"]).reshape(len(ids), -1).T, 9) + 0.0
-                if cell:
-                    far[np.frombuffer(r["qcell"], np.int64)[:, None] != np.frombuffer(r["vcell"], np.int64)] = np.inf
-                last = np.partition(far, k - 1, axis=1)[:, k - 1 : k] if len(ids) > k else np.full((len(q), 1), np.inf)
-                i, j = np.nonzero((far <= last) & (far < np.inf))
-                new = (i, ids[j], far[i, j])
-                kept[key] = best(*(np.concatenate(x) for x in zip(kept[key], new))) if key in kept else best(*new)
+            for at in range(batch.num_rows):
+                near(batch, at, kept)
+            del batch
         for (qid, qrow, _), (i, ids, far) in kept.items():
             own = [np.frombuffer(x, np.int64)[i] for x in (qid, qrow)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*own, ids, far)], ["query_id", "query_row", "id", "distance"])
