@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,6 +61,77 @@ def aligned(old: DataFrame, new: DataFrame) -> DataFrame:
     return m.mapInArrow(run, f"pair_id {kind}, a long, b long")
 
 
+def _unlike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What isn't aligned, of blocks (pair_id, pos, text, digest, old) whose pairs lie together: see ``diff``."""
+
+    def settle(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(parts).combine_chunks()
+        ids, old = t["pair_id"].to_pylist(), t["old"].to_pylist()
+        pos, digest = t["pos"].fill_null(-(1 << 63)).to_pylist(), t["digest"].to_pylist()
+        gaps, ks, froms, tos, moved = [], [], [], [], []
+        end = 0
+        while end < len(ids):
+            start = end
+            while end < len(ids) and ids[end] == ids[start]:
+                end += 1
+            sides = [sorted((i for i in range(start, end) if old[i] == side), key=pos.__getitem__) for side in (True, False)]
+            same: set[int] = set()
+            if ids[start] is not None:  # a missing pair has nothing in common
+                waiting: dict[int, list[int]] = {}
+                for j in reversed(sides[1]):
+                    waiting.setdefault(digest[j], []).append(j)
+                m = [(i, waiting[digest[i]].pop()) for i in sides[0] if waiting.get(digest[i])]
+                for x in increasing([pos[j] for _, j in m]):
+                    same.update(m[x])
+            left: list[dict[tuple[int, int], int]] = []
+            for rows in sides:
+                gap, k, own = 0, 0, {}
+                for i in rows:
+                    if i in same:
+                        gap, k = gap + 1, 0
+                    else:
+                        k += 1
+                        own[gap, k] = i
+                left.append(own)
+            gone, come = ({digest[i] for i in own.values()} for own in left)
+            places = list(left[0]) + [x for x in left[1] if x not in left[0]]
+            pairs = [(x, left[0].get(x), left[1].get(x)) for x in places]
+            if ids[start] is None:
+                pairs, gone, come = [(x, i, None) for x, i in left[0].items()] + [(x, None, j) for x, j in left[1].items()], set(), set()
+            for (gap, k), i, j in pairs:
+                if i is not None and j is not None and digest[i] == digest[j]:
+                    continue  # the same after all, told by another occurrence
+                gaps.append(gap)
+                ks.append(k)
+                froms.append(i)
+                tos.append(j)
+                moved.append((i is not None and digest[i] in come, j is not None and digest[j] in gone))
+        f, to = pa.array(froms, pa.int64()), pa.array(tos, pa.int64())
+        own = [t["pair_id"].take(pc.coalesce(f, to)), pa.array(gaps, pa.int64()), pa.array(ks, pa.int64()), t["pos"].take(f), t["pos"].take(to), t["text"].take(f), t["text"].take(to)]
+        own += [pa.array([m[n] for m in moved], pa.bool_()) for n in (0, 1)]
+        names = ["pair_id", "gap", "k", "from_pos", "to_pos", "from_text", "to_text", "from_moved", "to_moved"]
+        return pa.RecordBatch.from_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in own], names)
+
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = batch.column("pair_id").to_pylist()
+        if held and last != ids[0]:
+            yield settle(held)
+            held = []
+        cut, last = len(ids) - 1, ids[-1]
+        while cut and ids[cut - 1] == last:
+            cut -= 1
+        if cut:
+            yield settle([*held, batch.slice(0, cut)])
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield settle(held)
+
+
 def diff(old: DataFrame, new: DataFrame, least: float = 0.5) -> DataFrame:
     """(pair_id, gap, k, change, from_pos, to_pos, from_text, to_text) of two versions' blocks (pair_id, pos, text).
 
@@ -71,23 +143,10 @@ def diff(old: DataFrame, new: DataFrame, least: float = 0.5) -> DataFrame:
     def numbered(side: DataFrame) -> DataFrame:
         return side.select("pair_id", F.col("pos").cast("long").alias("pos"), "text", F.xxhash64(F.trim(F.regexp_replace("text", DIGEST, " "))).alias("digest"))
 
-    a, b = numbered(old), numbered(new)
-    same = aligned(a, b)
-
-    def left_over(side: DataFrame, place: str, prefix: str) -> DataFrame:
-        marks = same.select("pair_id", F.col(place).alias("pos"), F.lit(1).alias("same"))
-        d = side.join(marks, ["pair_id", "pos"], "left")
-        before = F.count("same").over(Window.partitionBy("pair_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-        d = d.withColumn("gap", before).filter("same is null")
-        k = F.row_number().over(Window.partitionBy("pair_id", "gap").orderBy("pos"))
-        return d.select("pair_id", "gap", k.alias("k"), F.col("pos").alias(f"{prefix}_pos"), F.col("text").alias(f"{prefix}_text"), F.col("digest").alias(f"{prefix}_digest"))
-
-    x, y = left_over(a, "a", "from"), left_over(b, "b", "to")
-    gone, come = (s.select("pair_id", F.col(f"{p}_digest").alias("_d")).distinct() for s, p in ((x, "from"), (y, "to")))
-    x = x.join(come.withColumnRenamed("_d", "from_digest").withColumn("from_moved", F.lit(True)), ["pair_id", "from_digest"], "left")
-    y = y.join(gone.withColumnRenamed("_d", "to_digest").withColumn("to_moved", F.lit(True)), ["pair_id", "to_digest"], "left")
-    d = x.join(y, ["pair_id", "gap", "k"], "full_outer")
-    d = d.filter(~F.coalesce(F.col("from_digest") == F.col("to_digest"), F.lit(False)))  # the same after all, told by another occurrence
+    # both sides move once, together; all else stays within a pair's rows
+    both = numbered(old).withColumn("old", F.lit(True)).unionByName(numbered(new).withColumn("old", F.lit(False))).repartition("pair_id").sortWithinPartitions("pair_id")
+    kind = both.schema["pair_id"].dataType.simpleString()
+    d = both.mapInArrow(_unlike, f"pair_id {kind}, gap long, k long, from_pos long, to_pos long, from_text string, to_text string, from_moved boolean, to_moved boolean")
     words = lambda c: F.array_distinct(F.split(F.trim(F.regexp_replace(c, DIGEST, " ")), " "))
     alike = F.coalesce(F.size(F.array_intersect(words("from_text"), words("to_text"))) >= least * F.size(F.array_union(words("from_text"), words("to_text"))), F.lit(False))
     none, no_place = F.lit(None).cast("string"), F.lit(None).cast("long")
