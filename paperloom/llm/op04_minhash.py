@@ -204,10 +204,12 @@ def _sketch_filter(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return d.filter(agreement("sa", "sb") >= LEAST_AGREEMENT).select("a", "b")
 
 
-def _meet(rest: DataFrame, run, schema: str) -> DataFrame:
-    """run for every pair of blocks of about BLOCK members of a group: columns of rest, own (block), x and y."""
+def _meet(rest: DataFrame, rows: DataFrame, run, schema: str) -> DataFrame:
+    """run for every pair of blocks of about BLOCK members of a group: columns of rows, own (block), x and y.
+
+    rows are the members of rest with what run needs of them; groups are counted in rest alone."""
     sizes = rest.groupBy("unit", "second").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    d = rest.join(sizes.withColumnsRenamed({"unit": "u", "second": "v"}), (F.col("unit") == F.col("u")) & F.col("second").eqNullSafe(F.col("v"))).drop("u", "v")
+    d = rows.join(sizes.withColumnsRenamed({"unit": "u", "second": "v"}), (F.col("unit") == F.col("u")) & F.col("second").eqNullSafe(F.col("v"))).drop("u", "v")
     d = d.withColumn("own", F.pmod(F.xxhash64("rep", "unit"), F.col("blocks")).cast("int"))
     d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return d.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).groupBy("unit", "second", "x", "y").applyInArrow(run, schema)
@@ -245,7 +247,7 @@ def exhaust(rest: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
         hit = np.zeros(t.num_rows, bool)
         for i, j in _alike(t):
             hit[i] = hit[j] = True
-        return pa.Table.from_batches([t.select(["unit", "second", "rep"]).filter(pa.array(hit))])
+        return pa.Table.from_batches([t.select(["unit", "second", "rep", "comp"]).filter(pa.array(hit))])
 
     def link(table_: pa.Table) -> pa.Table:
         t = table_.combine_chunks().to_batches()[0]
@@ -272,11 +274,9 @@ def exhaust(rest: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
         a, b = zip(*links) if links else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    signed = rest.join(classes.select("rep", "groups", "k0", "k1", "k2", "k3"), "rep")
-    close = cut_lineage(_meet(signed, near, "unit long, second long, rep long").distinct())
-    same = (F.col("unit") == F.col("u")) & F.col("second").eqNullSafe(F.col("v")) & (F.col("rep") == F.col("r"))
-    few = signed.join(close.withColumnsRenamed({"unit": "u", "second": "v", "rep": "r"}), same, "left_semi")
-    return _meet(few.join(sets.withColumnRenamed("id", "rep"), "rep"), link, "a long, b long")
+    signed = lambda members: members.join(classes.select("rep", "groups", "k0", "k1", "k2", "k3"), "rep")
+    close = cut_lineage(_meet(rest, signed(rest), near, "unit long, second long, rep long, comp long").distinct())
+    return _meet(close, signed(close).join(sets.withColumnRenamed("id", "rep"), "rep"), link, "a long, b long")
 
 
 def resolve(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -321,7 +321,7 @@ def resolve(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # dealing to blocks repeats a member once a block, splitting by band at most once for every other group
     hot = hot.filter(F.col("n") > (TABLES - 1) * BLOCK).select("unit")
     whole = rest.join(hot, "unit", "left_anti").select("unit", F.lit(None).cast("long").alias("second"), "rep", "comp").distinct()
-    rest = whole.unionByName(rest.join(hot, "unit", "left_semi").distinct())
+    rest = cut_lineage(whole.unionByName(rest.join(hot, "unit", "left_semi").distinct()))
     found = cut_lineage(exhaust(rest, classes, sets))
     release(docs.sparkSession)
     if not found.isEmpty():

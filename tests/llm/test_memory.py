@@ -73,3 +73,17 @@ def test_media_are_coded_and_read_a_stretch_at_a_time(spark):
     d = pa.RecordBatch.from_arrays([whole.column(k) for k in (0, 1, 2, 1, 2)], ["doc_id", "n_bytes", "media", "media_bytes", "media_sha256"]).set_column(4, "media_sha256", pa.array([""] * 2002))
     read, _ = peak(media.read_media(Tasks()), [d])
     assert len(read) > 5 and [r["payload_bytes"] for b in read for r in b.to_pylist()] == [-(-max(1, len(t or "")) // 576) * 576 for t in texts[:2002]]
+
+
+def test_exhaustive_comparison_reads_its_members_once(spark):
+    from paperloom.llm import op04_minhash as near
+
+    rest = spark.createDataFrame([(7, None, 1, 1), (7, None, 2, 2), (7, None, 3, 3)], "unit long, second long, rep long, comp long").distinct()
+    group = [7, 8] + list(range(100, 114))
+    classes = spark.createDataFrame([(k, group if k < 3 else [7] + list(range(200, 215)), 5, 5, 5, 5) for k in (1, 2, 3)], "rep long, groups array<long>, k0 long, k1 long, k2 long, k3 long")
+    shingles = np.arange(40, dtype=np.uint64).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    sets = spark.createDataFrame([(k, bytearray(shingles)) for k in (1, 2, 3)], "id long, set binary")
+    links = near.exhaust(rest, classes, sets)
+    # what makes rest isn't run again for the links: members, classes, sets, their counts and their groups are moved
+    assert links._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 8
+    assert [tuple(r) for r in links.collect()] == [(1, 2)]
