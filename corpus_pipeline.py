@@ -46,7 +46,7 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """The document with the smallest id of every group of near duplicates; of rows equal in id and shingle set one."""
     d = _documents(docs).withColumns({"_id": F.coalesce("doc_id", F.lit(LAST_ID)), "_row": row_key("doc_id")})
     kept = op04_minhash.resolve(d).filter("kept").groupBy(F.col("id").alias("_id"), "digest").agg(F.min("row").alias("_row"))
-    return d.join(kept, ["_id", "_row"], "left_semi").dropDuplicates(["_id", "_row"]).select(*COLUMNS)
+    return d.join(kept.hint("merge"), ["_id", "_row"], "left_semi").dropDuplicates(["_id", "_row"]).select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,8 +19,12 @@ before pairs are formed.
    quarter smaller in memory: two sets of n shingles share a false one with probability n * n / 2**48, 4e-7 for 10,000, and a
    single one moves a decision only at the threshold itself.
 
-Component rounds replace labels by their labels' labels, so paths halve in every round. Shuffle files of finished rounds are
-released between the phases, since many small ones would otherwise wait for the driver's JVM to collect garbage.
+Components are found within a task's edges first; what tasks have in common takes rounds, which replace labels by their labels'
+labels, so paths halve in every round. Shuffle files of finished rounds are released between the phases, since many small ones
+would otherwise wait for the driver's JVM to collect garbage.
+
+Both sides of every join grow with the input, so all are merge joins: else a side below the broadcast threshold, which Spark
+measures before an explode makes it many times larger, is collected by the driver.
 
 Rows out: one per document with its component. Copies and bands are never expanded into all their pairs unless they
 stay unconnected.
@@ -34,6 +38,7 @@ table gives no rows.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -119,30 +124,56 @@ def agreement(a: str, b: str) -> Column:
     return F.expr(" + ".join(terms))
 
 
+def _joined(x: DataFrame, y: DataFrame, on: str | list[str] | Column, how: str = "inner") -> DataFrame:
+    """A join of which no side is broadcast, however small Spark takes it to be."""
+    return x.join(y.hint("merge"), on, how)
+
+
 def bands(classes: DataFrame) -> DataFrame:
     """(rep, unit, second, band) of the pairs of groups that other classes share too; unit is the pair's first group."""
     postings = classes.select("rep", F.posexplode("groups").alias("g", "key"))
     shared = postings.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    own = postings.join(shared, "key", "left_semi").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("g", "key"))).alias("own")).filter(F.size("own") > 1)
+    own = _joined(postings, shared, "key", "left_semi").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("g", "key"))).alias("own")).filter(F.size("own") > 1)
     pairs = F.flatten(F.transform("own", lambda x, i: F.transform(F.slice("own", i + 2, TABLES), lambda y: F.struct(x["key"].alias("unit"), y["key"].alias("second"), F.xxhash64(x["key"], y["key"]).alias("band")))))
     return own.select("rep", F.inline(pairs))
 
 
+def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, comp) over all edges (a, b) of a task: roots with a smaller neighbour are hung below it until none has one."""
+    both = [np.concatenate([b.column(c).to_numpy() for c in ("a", "b")]).reshape(2, -1) for b in batches]
+    if not both:
+        return
+    edges = np.concatenate(both, 1)
+    ids, at = np.unique(edges, return_inverse=True)
+    x, y = at.reshape(edges.shape)
+    root = np.arange(len(ids))
+    while (root[x] != root[y]).any():
+        low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+        np.minimum.at(root, high, low)
+        while (root[root] != root).any():
+            root = root[root]
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[root])], ["id", "comp"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, comp): the smallest id reachable over edges (a, b), for every id that has an edge.
 
-    Labels spread to neighbours, and every label is replaced by its own label, until none changes. The rounds run in as
-    many tasks as the edges need, so that few edges don't leave many small files.
+    As many tasks as the edges need make stars of their own edges. One task's stars are the components; of several, labels
+    spread to neighbours, and every label is replaced by its own label, until none changes. The rounds run in as many tasks,
+    so that few edges don't leave many small files.
     """
-    both = cut_lineage(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    parts = both.count() // EDGES_A_TASK + 1
-    both = both.coalesce(parts)
+    parts = edges.count() // EDGES_A_TASK + 1
+    own = cut_lineage(edges.select("a", "b").coalesce(parts).mapInArrow(stars, "id long, comp long"))
+    if parts == 1:
+        release(edges.sparkSession)
+        return own
+    both = cut_lineage(own.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionAll(own.select(F.col("comp").alias("a"), F.col("id").alias("b"))).distinct()).coalesce(parts)
     labels = cut_lineage(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("comp")).withColumnRenamed("a", "id").coalesce(parts))
     while True:
-        near = both.join(labels.select(F.col("id").alias("b"), F.col("comp").alias("other")), "b").groupBy("a").agg(F.min("other").alias("other"))
-        spread = labels.join(near.withColumnRenamed("a", "id"), "id").select("id", F.col("comp").alias("before"), F.least("comp", "other").alias("comp"))
+        near = _joined(both, labels.select(F.col("id").alias("b"), F.col("comp").alias("other")), "b").groupBy("a").agg(F.min("other").alias("other"))
+        spread = _joined(labels, near.withColumnRenamed("a", "id"), "id").select("id", F.col("comp").alias("before"), F.least("comp", "other").alias("comp"))
         jump = labels.select(F.col("id").alias("comp"), F.col("comp").alias("further"))
-        after = cut_lineage(spread.join(jump, "comp", "left").select("id", "before", F.least("comp", F.coalesce("further", "comp")).alias("comp")).coalesce(parts))
+        after = cut_lineage(_joined(spread, jump, "comp", "left").select("id", "before", F.least("comp", F.coalesce("further", "comp")).alias("comp")).coalesce(parts))
         labels = after.select("id", "comp")
         if after.filter("before <> comp").isEmpty():
             release(edges.sparkSession)
@@ -165,7 +196,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], ["id", "set"])
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = map_arrow(docs, press, "id long, row long, packed binary").join(wanted, ["id", "row"]).select(F.col("rep").alias("id"), "packed")
+    packed = _joined(map_arrow(docs, press, "id long, row long, packed binary"), wanted, ["id", "row"]).select(F.col("rep").alias("id"), "packed")
     return map_arrow(packed.repartition(parts, "id").dropDuplicates(["id"]), shingle, "id long, set binary")
 
 
@@ -179,7 +210,8 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             ok.append(_linked(a, b))
         return pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    d = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+    d = _joined(pairs, sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
+    d = _joined(d, sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
     return map_arrow(d.select("a", "b", "x", "y"), run, "a long, b long")
 
 
@@ -200,7 +232,7 @@ def _wide(raw: bytes) -> np.ndarray:
 
 def _sketch_filter(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     side = lambda c: classes.select(F.col("rep").alias(c), *[F.col(f"k{i}") for i in range(4)]).alias(f"s{c}")
-    d = pairs.alias("p").join(side("a"), "a").join(side("b"), "b")
+    d = _joined(_joined(pairs.alias("p"), side("a"), "a"), side("b"), "b")
     return d.filter(agreement("sa", "sb") >= LEAST_AGREEMENT).select("a", "b")
 
 
@@ -209,7 +241,7 @@ def _meet(rest: DataFrame, rows: DataFrame, run, schema: str) -> DataFrame:
 
     rows are the members of rest with what run needs of them; groups are counted in rest alone."""
     sizes = rest.groupBy("unit", "second").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    d = rows.join(sizes.withColumnsRenamed({"unit": "u", "second": "v"}), (F.col("unit") == F.col("u")) & F.col("second").eqNullSafe(F.col("v"))).drop("u", "v")
+    d = _joined(rows, sizes.withColumnsRenamed({"unit": "u", "second": "v"}), (F.col("unit") == F.col("u")) & F.col("second").eqNullSafe(F.col("v"))).drop("u", "v")
     d = d.withColumn("own", F.pmod(F.xxhash64("rep", "unit"), F.col("blocks")).cast("int"))
     d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return d.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).groupBy("unit", "second", "x", "y").applyInArrow(run, schema)
@@ -274,9 +306,9 @@ def exhaust(rest: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
         a, b = zip(*links) if links else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    signed = lambda members: members.join(classes.select("rep", "groups", "k0", "k1", "k2", "k3"), "rep")
+    signed = lambda members: _joined(members, classes.select("rep", "groups", "k0", "k1", "k2", "k3"), "rep")
     close = cut_lineage(_meet(rest, signed(rest), near, "unit long, second long, rep long, comp long").distinct())
-    return _meet(close, signed(close).join(sets.withColumnRenamed("id", "rep"), "rep"), link, "a long, b long")
+    return _meet(close, _joined(signed(close), sets.withColumnRenamed("id", "rep"), "rep"), link, "a long, b long")
 
 
 def resolve(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -288,11 +320,11 @@ def resolve(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     classes = cut_lineage(classes.select("digest", "lead.id", "lead.row", "groups", "k0", "k1", "k2", "k3", F.monotonically_increasing_id().alias("rep")))
     every = bands(classes)
     shared = every.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("first")).filter("n > 1")
-    members = cut_lineage(every.join(shared, "band"))
+    members = cut_lineage(_joined(every, shared, "band"))
     degree = members.groupBy("rep").agg(F.sum("n").alias("degree"))
-    hubs = members.filter("n > 2").join(degree, "rep").groupBy("band").agg(F.expr("max_by(rep, struct(degree, -rep))").alias("hub"))
+    hubs = _joined(members.filter("n > 2"), degree, "rep").groupBy("band").agg(F.expr("max_by(rep, struct(degree, -rep))").alias("hub"))
     sketched = classes.select("rep", "k0", "k1", "k2", "k3")
-    sets = cut_lineage(_sets(d, classes.select("rep", "id", "row").join(members.select("rep"), "rep", "left_semi")))
+    sets = cut_lineage(_sets(d, _joined(classes.select("rep", "id", "row"), members.select("rep"), "rep", "left_semi")))
     release(docs.sparkSession)
 
     def pair(x: str, y: str) -> list[Column]:
@@ -305,10 +337,10 @@ def resolve(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # round two, between components only
     def placed(rows: DataFrame, column: str) -> DataFrame:
         own = comp.select(F.col("id").alias(column), F.col("comp").alias(f"{column}_comp"))
-        return rows.join(own, column, "left").withColumn(f"{column}_comp", F.coalesce(f"{column}_comp", column))
+        return _joined(rows, own, column, "left").withColumn(f"{column}_comp", F.coalesce(f"{column}_comp", column))
 
-    apart = placed(placed(members.join(hubs, "band").select("rep", "hub").distinct(), "rep"), "hub").filter("rep_comp <> hub_comp")
-    more = _sketch_filter(apart.select(*pair("rep", "hub")).distinct().join(checked, ["a", "b"], "left_anti"), sketched)
+    apart = placed(placed(_joined(members, hubs, "band").select("rep", "hub").distinct(), "rep"), "hub").filter("rep_comp <> hub_comp")
+    more = _sketch_filter(_joined(apart.select(*pair("rep", "hub")).distinct(), checked, ["a", "b"], "left_anti"), sketched)
     more = cut_lineage(more)
     links = links.unionAll(cut_lineage(confirm(more, sets)))
     checked = checked.unionAll(more)
@@ -316,24 +348,24 @@ def resolve(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # the rest: bands that still hold several components
     lone = placed(members.select("unit", "second", "band", "rep"), "rep")
     mixed = lone.groupBy("band").agg(F.min("rep_comp").alias("lo"), F.max("rep_comp").alias("hi")).filter("lo <> hi").select("band")
-    rest = cut_lineage(lone.join(mixed, "band", "left_semi").select("unit", "second", "rep", F.col("rep_comp").alias("comp")))
+    rest = cut_lineage(_joined(lone, mixed, "band", "left_semi").select("unit", "second", "rep", F.col("rep_comp").alias("comp")))
     hot = rest.groupBy("unit", "rep").count().groupBy("unit").agg(F.count("*").alias("n"))
     # dealing to blocks repeats a member once a block, splitting by band at most once for every other group
     hot = hot.filter(F.col("n") > (TABLES - 1) * BLOCK).select("unit")
-    whole = rest.join(hot, "unit", "left_anti").select("unit", F.lit(None).cast("long").alias("second"), "rep", "comp").distinct()
-    rest = cut_lineage(whole.unionByName(rest.join(hot, "unit", "left_semi").distinct()))
+    whole = _joined(rest, hot, "unit", "left_anti").select("unit", F.lit(None).cast("long").alias("second"), "rep", "comp").distinct()
+    rest = cut_lineage(whole.unionByName(_joined(rest, hot, "unit", "left_semi").distinct()))
     found = cut_lineage(exhaust(rest, classes, sets))
     release(docs.sparkSession)
     if not found.isEmpty():
         comp = components(links.unionAll(found))
 
     # a component is named by its smallest id; of equal ids the smallest digest leads
-    linked = cut_lineage(comp.withColumnRenamed("id", "rep").join(classes.select("rep", "id", "digest"), "rep"))
+    linked = cut_lineage(_joined(comp.withColumnRenamed("id", "rep"), classes.select("rep", "id", "digest"), "rep"))
     heads = linked.groupBy("comp").agg(F.min(F.struct("id", "digest")).alias("head"))
-    named = linked.join(heads, "comp").select("rep", F.col("head.id").alias("head_id"), (F.col("digest") == F.col("head.digest")).alias("leads"))
-    own = classes.select("digest", "rep", F.col("id").alias("lead_id")).join(named, "rep", "left")
+    named = _joined(linked, heads, "comp").select("rep", F.col("head.id").alias("head_id"), (F.col("digest") == F.col("head.digest")).alias("leads"))
+    own = _joined(classes.select("digest", "rep", F.col("id").alias("lead_id")), named, "rep", "left")
     own = own.select("digest", F.coalesce("head_id", "lead_id").alias("component_id"), F.coalesce("leads", F.lit(True)).alias("leads"))
-    told = some.select("id", "row", "n_shingles", "digest").join(own, "digest")
+    told = _joined(some.select("id", "row", "n_shingles", "digest"), own, "digest")
     told = told.select("id", "row", "n_shingles", "digest", "component_id", (F.col("leads") & (F.col("id") == F.col("component_id"))).alias("kept"))
     none = signed.filter("digest is null").select("id", "row", "n_shingles", "digest", F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     return told.unionAll(none)

@@ -87,3 +87,38 @@ def test_exhaustive_comparison_reads_its_members_once(spark):
     # what makes rest isn't run again for the links: members, classes, sets, their counts and their groups are moved
     assert links._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 8
     assert [tuple(r) for r in links.collect()] == [(1, 2)]
+
+
+def test_components_of_a_tasks_edges_take_no_round(spark, monkeypatch):
+    from paperloom.llm import op04_minhash as near
+
+    r = random.Random(3)
+    rows = [(a, a + 1) for a in range(100, 160)] + [(r.randrange(1000, 1400), r.randrange(1000, 1400)) for _ in range(250)]
+    edges, label = spark.createDataFrame(rows, "a long, b long").repartition(5), {x: x for e in rows for x in e}
+    for _ in rows:
+        for a, b in rows:
+            label[a] = label[b] = min(label[a], label[b])
+    cuts = []
+    monkeypatch.setattr(near, "cut_lineage", lambda d, cut=near.cut_lineage: cuts.append(d) or cut(d))
+    assert {x["id"]: x["comp"] for x in near.components(edges).collect()} == label and len(cuts) == 1
+    monkeypatch.setattr(near, "EDGES_A_TASK", 70)  # several tasks
+    assert {x["id"]: x["comp"] for x in near.components(edges).collect()} == label
+    assert near.components(edges.limit(0)).count() == 0
+
+
+def test_near_duplicates_gather_no_side_of_a_join_at_the_driver(spark, documents, monkeypatch):
+    from paperloom.llm import op04_minhash as near
+
+    plans = []
+
+    def cut(d, cut=near.cut_lineage):
+        plans.append(d)
+        return cut(d)
+
+    monkeypatch.setattr(near, "cut_lineage", cut)
+    text = [" ".join(f"w{(7 * k + i) % 90}" for i in range(60)) for k in range(12)]
+    d = near.resolve(documents([(i, text[i % 12] + f" x{i}") for i in range(60)]))
+    assert d.count() == 60
+    for plan in [*plans, d]:
+        plan.collect()  # then its plan is the last one
+        assert "BroadcastExchange" not in plan._jdf.queryExecution().executedPlan().toString()
