@@ -43,13 +43,21 @@ def _units(column: pa.Array) -> np.ndarray:
     return v / np.sqrt((v * v).sum(1))[:, None]
 
 
+def _nearest(v: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of every vector and its cosine, some rows at a time: the driver holds no matrix of all pairs."""
+    own, fit = np.zeros(len(v), np.int64), np.zeros(len(v))
+    for at in range(0, len(v), QUERIES):
+        near = v[at : at + QUERIES] @ centres.T
+        own[at : at + QUERIES], fit[at : at + QUERIES] = near.argmax(1), near.max(1)
+    return own, fit
+
+
 def fit_cells(v: np.ndarray, cells: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
     """Spherical k-means; an empty cell moves to the vector that fits its own worst."""
     random = np.random.default_rng(seed)
     centres = v[random.choice(len(v), min(cells, len(v)), replace=False)]
     for _ in range(rounds):
-        near = v @ centres.T
-        own, fit = near.argmax(1), near.max(1)
+        own, fit = _nearest(v, centres)
         sums = np.zeros_like(centres)
         np.add.at(sums, own, v)
         length = np.sqrt((sums * sums).sum(1))
@@ -82,7 +90,7 @@ class VectorIndex:
         if some.num_rows:
             v = _units(some.column("v").combine_chunks())
             centres = fit_cells(v, cells or max(1, min(MOST_CELLS, round(math.sqrt(n)))))
-            scale = np.maximum(np.abs(v - centres[(v @ centres.T).argmax(1)]).max(0), 1e-9) / 127
+            scale = np.maximum(np.abs(v - centres[_nearest(v, centres)[0]]).max(0), 1e-9) / 127
         else:
             centres, scale = np.zeros((0, 0)), np.zeros(0)
         index = cls(vectors, id_col, column, path, centres, scale, max(1, len(centres) // 8))
@@ -157,7 +165,8 @@ class VectorIndex:
                     own = [np.array([x[c] for x in qs], np.int64)[at] for c in ("qid", "qrow")]
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*own, ids[j], rows_[j], near[at, j])], ["qid", "qrow", "id", "row", "near"])
 
-        found = lists.join(packed, "cell").mapInArrow(scan, "qid long, qrow long, id long, row long, near double")
+        # a query is as many rows as it probes cells; Spark takes it for one and would collect all of them in the driver
+        found = lists.join(packed.hint("merge"), "cell").mapInArrow(scan, "qid long, qrow long, id long, row long, near double")
         each = Window.partitionBy("qid", "qrow").orderBy(F.desc("near"), "id")
         found = found.withColumn("n", F.row_number().over(each)).filter(F.col("n") <= rescore).select("qid", "qrow", "id", "row")
         exact = found.join(_rows(self.vectors, self.id_col, self.column), ["id", "row"])
